@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_duplicates as nd
+from . import similar_vectors as sv
 from .common import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = sv.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding", k=5, dim=64).where("cosine >= 0.9")
+    return near.select(F.least("id_a", "id_b").alias("vec_id_a"), F.greatest("id_a", "id_b").alias("vec_id_b")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
     return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
