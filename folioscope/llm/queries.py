@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_duplicates as nd
+from . import encoding, packing
 from . import similar_vectors as sv
 from .common import table
 
@@ -22,6 +23,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
