@@ -14,8 +14,9 @@ from .common import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = sv.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding", k=5, dim=64).where("cosine >= 0.9")
-    return near.select(F.least("id_a", "id_b").alias("vec_id_a"), F.greatest("id_a", "id_b").alias("vec_id_b")).distinct()
+    rows = table(spark, sf_dir, "chunk_vectors")
+    near = sv.similar_vectors(rows, "vec_id", "embedding", k=5, dim=64).where("cosine >= 0.895")
+    return sv.exact(near, rows, "vec_id", "embedding").where("cosine >= 0.9").select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
