@@ -8,22 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_duplicates as nd
-from . import encoding, packing
+from . import distinctive_terms as dt
+from . import encoding, packing, rank_fusion, site_lines, splitting
 from . import similar_vectors as sv
 from .common import table
 
 
+SCORES = ["semantic_score", "bm25_score", "rerank_score"]
+
+
+def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_fusion.aggregate_ranks(table(spark, sf_dir, "retrieval_results"), "query_id", "chunk_key", SCORES)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_ranking(spark, sf_dir).where("position = 1").select("query_id", "chunk_key")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "chunk_vectors")
     near = sv.similar_vectors(rows, "vec_id", "embedding", k=5, dim=64).where("cosine >= 0.895")
     return sv.exact(near, rows, "vec_id", "embedding").where("cosine >= 0.9").select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, sf_dir, "chunks"), "chunk_key", "source", "text", least=10, share=0.1).select("chunk_key", F.col("line_no").cast("int").alias("line_no"))
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.without_repeated(table(spark, sf_dir, "chunks").select("chunk_key", "source", "text"), "chunk_key", "source", "text", least=10, share=0.1)
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "chunks"), "chunk_key", "text", limit=1200, overlap=150)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).where("chunk_index = 0 and total_chunks > 1").select("chunk_key")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
     return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_key", "text", r"[a-z]{5,}", min_tf=3, min_df=2, max_df=12).select("chunk_key", "term")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
