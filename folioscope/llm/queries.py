@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import near_duplicates as nd
 from . import distinctive_terms as dt
-from . import encoding, packing, rank_fusion, site_lines, splitting
+from . import encoding, packing, rank_fusion, scan_noise, site_lines, splitting
 from . import similar_vectors as sv
 from .common import table
 
@@ -47,6 +47,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("chunk_index = 0 and total_chunks > 1").select("chunk_key")
 
 
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repair(table(spark, sf_dir, "parsed_sections"), "section_key", "text", "act_name", "chapter", "section_title")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_repaired(spark, sf_dir).select("section_key", F.explode("noise").alias("x")).select("section_key", "x.line_no", "x.kind")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
     return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
