@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import near_duplicates as nd
 from . import distinctive_terms as dt
-from . import encoding, packing, rank_fusion, scan_noise, site_lines, splitting
+from . import encoding, packing, rank_fusion, scan_noise, site_lines, splitting, subjects
 from . import similar_vectors as sv
 from .common import table
 
@@ -72,6 +72,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
