@@ -1,9 +1,568 @@
-"""Every query by name, with its SQL."""
+"""Every query by name, each over its whole tables. Their SQL is in `oracles`."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..config import FusionConfig, RouteConfig
+from ..functions import text as T
+from ..operators import chunks as C
+from ..operators import evaluation, fusion, ingestion, lexical, routing, sections, vectors
+from ..session import broadcast_if_small, read
+from ..sources import files
+from . import oracles
+from .retrieve import SHOWN, retrieve
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+c = F.col
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def chunks_of(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Chunks delivered again count once."""
+    return read(s, d, "chunks").select("chunk_key", *cols).distinct()
+
+
+def sections_of(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    return read(s, d, "parsed_sections").select("section_key", *cols).distinct()
+
+
+def results_of(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "retrieval_results").drop("retrieved_at").distinct()
+
+
+# Text ------------------------------------------------------------------------------------------------------------
+
+
+@query
+def clean_text(s, d):
+    return read(s, d, "documents").select("doc_id", T.clean(c("text")).alias("text"))
+
+
+@query
+def sentence_split(s, d):
+    rows = read(s, d, "documents").select("doc_id", F.posexplode(T.sentences(c("text"))).alias("pos", "sentence"))
+    return rows.select("doc_id", (c("pos") + 1).cast("long").alias("pos"), "sentence")
+
+
+@query
+def tokenize_alnum(s, d):
+    toks = T.tokens(c("text"))
+    return chunks_of(s, d, "text").select("chunk_key", F.size(toks).cast("long").alias("n"), F.array_join(toks, " ").alias("tokens")).where("tokens is not null")
+
+
+@query
+def tokenize_ws(s, d):
+    toks = T.tokens_ws(c("text"))
+    return chunks_of(s, d, "text").where("text is not null").select("chunk_key", F.size(toks).cast("long").alias("n"), F.array_join(toks, " ").alias("tokens"))
+
+
+@query
+def act_metadata(s, d):
+    rows = read(s, d, "chunks").where("source is not null").select("source").distinct().withColumn("stem", files.stem(c("source")))
+    return rows.select("source", *(v.alias(k) for k, v in sections.act_metadata(c("stem")).items()))
+
+
+@query
+def metadata_lookup(s, d):
+    """Metadata by source from the acts, with what the file's name tells where there is none."""
+    rows = read(s, d, "chunks").where("source is not null").select("source").distinct().withColumn("stem", files.stem(c("source")))
+    known = read(s, d, "acts").where("year > 0").select("source", "act_name", "ministry")
+    meta = sections.act_metadata(c("stem"))
+    return files.with_defaults(rows, known, "source", {k: meta[k] for k in ("act_name", "ministry")}).drop("stem")
+
+
+@query
+def topic_tags(s, d):
+    found = T.topics(c("text"), default=True)
+    return chunks_of(s, d, "text").select("chunk_key", F.array_join(found, ", ").alias("topics"))
+
+
+@query
+def topic_histogram(s, d):
+    rows = chunks_of(s, d, "text").select(F.explode(T.topics(c("text"), default=True)).alias("topic"))
+    return rows.groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query
+def low_value_filter(s, d):
+    phrases = [*T.LOW_VALUE, "inquiry into", "penalty in respect of"]
+    return chunks_of(s, d, "section_title").where(~T.is_low_value(c("section_title"), phrases))
+
+
+@query
+def search_text(s, d):
+    cols = ("act_name", "section_number", "section_title", "chapter", "text")
+    return chunks_of(s, d, *cols).select("chunk_key", T.search_text(*map(c, cols)).alias("search_text"))
+
+
+@query
+def document_text(s, d):
+    cols = ("act_name", "category", "section_number", "section_title", "text")
+    shown = T.document_text(c("act_name"), c("category"), c("section_number"), c("section_title"), T.topics(c("text")), c("text"))
+    return chunks_of(s, d, *cols).select("chunk_key", shown.alias("document_text"))
+
+
+@query
+def section_number_extract(s, d):
+    rows = read(s, d, "retrieval_queries").select("query_id", "original_query").unionByName(read(s, d, "documents").select(c("doc_id").alias("query_id"), c("text").alias("original_query")))
+    return rows.select("query_id", T.section_number(c("original_query")).alias("section_number"))
+
+
+# Sections --------------------------------------------------------------------------------------------------------
+
+
+def acts_text(s: SparkSession, d: str) -> DataFrame:
+    """Whole acts, put together from their sections, with chapter heads, and footnotes as amended prints have them."""
+    text = F.concat(
+        F.when(c("section_key") % 5 == 0, F.concat(F.lit("CHAPTER "), (c("section_key") % 20 + 1).cast("string"), F.lit("\n"), F.coalesce("chapter", F.lit("")), F.lit("\n"))).otherwise(""),
+        F.coalesce("text", F.lit("")),
+        F.when(c("section_key") % 7 == 0, F.lit(oracles.FOOTNOTE)).otherwise(""),
+    )
+    rows = sections_of(s, d, "source", "chapter", "text").withColumn("part", text)
+    rows = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("section_key", "part"))).alias("parts"))
+    return rows.select(F.regexp_replace("source", r"\.json$", "").alias("doc"), F.array_join(F.transform("parts", lambda x: x["part"]), "\n").alias("text"))
+
+
+@query
+def section_split(s, d):
+    rows = sections.spans(acts_text(s, d)).where("pos >= 1")
+    return rows.select("doc", c("pos").cast("long").alias("pos"), "section_number", "section_title", F.length("span").cast("long").alias("chars"), F.md5("span").alias("md5"))
+
+
+@query
+def chapter_asof(s, d):
+    rows = sections.with_chapters(sections.spans(acts_text(s, d)))
+    return rows.select("doc", c("pos").cast("long").alias("pos"), "section_number", "chapter")
+
+
+@query
+def footnote_classify(s, d):
+    rows = sections.spans(acts_text(s, d)).where("pos >= 1")
+    return rows.select("doc", c("pos").cast("long").alias("pos"), sections.is_footnote(c("section_title"), c("span")).alias("footnote"))
+
+
+@query
+def footnote_fold(s, d):
+    rows = sections.fold_footnotes(sections.with_chapters(sections.spans(acts_text(s, d))))
+    return rows.select("doc", c("pos").cast("long").alias("pos"), "section_number", F.length("text").cast("long").alias("chars"), F.md5("text").alias("md5"))
+
+
+@query
+def section_dedupe(s, d):
+    rows = sections.dedupe_numbers(sections.fold_footnotes(sections.with_chapters(sections.spans(acts_text(s, d)))))
+    return rows.select("doc", c("pos").cast("long").alias("pos"), "section_number", "section_title", "chapter", F.md5("text").alias("md5"))
+
+
+@query
+def paragraph_fallback(s, d):
+    docs = read(s, d, "documents").select(c("doc_id").alias("doc"), "text").where("text is not null")
+    return sections.paragraphs(docs).select("doc", c("pos").cast("long").alias("pos"), "section_number", "text")
+
+
+@query
+def parse_acts(s, d):
+    raw = acts_text(s, d).select(c("doc").alias("path"), F.lit("statute").alias("category"), "text")
+    rows = sections.parse_acts(raw)
+    return rows.select("path", "act_name", "short_name", "chapter", "section_number", "section_title", "citation", c("char_count").cast("long").alias("char_count"), c("pos").cast("long").alias("pos"), F.md5("text").alias("md5"))
+
+
+# Chunks ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def greedy_chunks(s, d):
+    rows = read(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(C.pieces(c("text"))).alias("pos", "chunk"))
+    return rows.select("doc_id", c("pos").cast("long").alias("pos"), "chunk")
+
+
+@query
+def legacy_chunks(s, d):
+    rows = read(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(C.legacy_pieces(c("text"))).alias("pos", "chunk"))
+    return rows.select("doc_id", c("pos").cast("long").alias("pos"), "chunk")
+
+
+@query
+def chunk_records(s, d):
+    rows = sections_of(s, d, "act_name", "section_number", "section_title", "chapter", "short_name", "year", "category", "source", "text", "citation")
+    return C.chunk_sections(rows, keep=("section_key",)).withColumns({x: c(x).cast("long") for x in ("chunk_index", "total_chunks")})
+
+
+# Lexical retrieval -----------------------------------------------------------------------------------------------
+
+
+def index_of(s: SparkSession, d: str) -> lexical.Bm25Index:
+    return lexical.build(chunks_of(s, d, "text"), "chunk_key", "text")
+
+
+def lexical_queries(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "retrieval_queries").select("query_id", routing.lexical_text(c("expanded_query"), c("anchors"), c("category"), c("intents")).alias("text"))
+
+
+@query
+def bm25_stats(s, d):
+    return index_of(s, d).terms.select("term", "df", F.round("idf", 4).alias("idf"))
+
+
+@query
+def bm25_scores(s, d):
+    rows = lexical.scores(index_of(s, d), lexical_queries(s, d), "query_id", "text")
+    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("score", 4).alias("score"))
+
+
+@query
+def bm25_topk(s, d):
+    rows = lexical.top_k(index_of(s, d), read(s, d, "retrieval_queries"), "query_id", "original_query", 5)
+    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("score", 4).alias("score"), c("rank").cast("long").alias("rank"))
+
+
+@query
+def bm25_zscore_sigmoid(s, d):
+    index = index_of(s, d)
+    rows = lexical.z_scores(index, lexical.scores(index, lexical_queries(s, d), "query_id", "text"))
+    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("z", 4).alias("z"), F.round("squashed", 4).alias("squashed"))
+
+
+# Vectors ---------------------------------------------------------------------------------------------------------
+
+
+def vectors_of(s: SparkSession, d: str) -> DataFrame:
+    rows = read(s, d, "chunk_vectors").select("vec_id", "embedding", c("metadata.category").alias("category"))
+    return rows.where(F.size("embedding") == 64).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.min("category").alias("category"))
+
+
+@query
+def knn_l2(s, d):
+    """Queries are the rows whose id 50 divides, against all rows."""
+    rows = vectors_of(s, d)
+    found = vectors.knn(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 50)
+    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), F.round("distance", 4).alias("distance"), F.round(vectors.similarity(c("distance")), 4).alias("similarity"), c("rank").cast("long").alias("rank"))
+
+
+@query
+def knn_filtered(s, d):
+    rows = vectors_of(s, d)
+    found = vectors.knn(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 20, "l2sq", "category")
+    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), F.round("distance", 4).alias("distance"), c("rank").cast("long").alias("rank"))
+
+
+@query
+def knn_cosine(s, d):
+    rows = vectors_of(s, d)
+    found = vectors.knn(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 10, "cosine")
+    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), F.round("distance", 4).alias("distance"), c("rank").cast("long").alias("rank"))
+
+
+def prototypes_of(s: SparkSession, d: str) -> DataFrame:
+    """A label's vector of the lowest id stands for it."""
+    rows = read(s, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("pos"), F.min_by("embedding", "vec_id").alias("vector"))
+    return rows.select(c("label").cast("string").alias("category"), "pos", "vector")
+
+
+def embedded(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "embeddings").select(c("vec_id").alias("query_id"), c("embedding").alias("vector"))
+
+
+@query
+def cosine_scores(s, d):
+    return routing.route_scores(embedded(s, d), prototypes_of(s, d)).select("query_id", "category", F.round("score", 4).alias("score"))
+
+
+@query
+def vector_mix(s, d):
+    """Each vector mixed with its label's prototype; without one where its id is odd."""
+    rows = read(s, d, "embeddings").select("vec_id", "embedding", c("label").cast("string").alias("category"))
+    rows = rows.join(broadcast_if_small(prototypes_of(s, d)), "category").withColumn("anchor", F.when(c("vec_id") % 2 == 0, c("vector")))
+    mixed = rows.withColumn("mixed", vectors.mix(c("embedding"), c("anchor")))
+    return mixed.select("vec_id", F.round(vectors.dot(c("mixed"), c("mixed")), 4).alias("norm2"), F.round(vectors.squared_l2(c("mixed"), c("embedding")), 4).alias("moved"))
+
+
+# Routing ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def route_category(s, d):
+    rows = routing.route(routing.route_scores(embedded(s, d), prototypes_of(s, d)))
+    return rows.select("query_id", "category", "confidence")
+
+
+@query
+def route_ranked(s, d):
+    """All scores of a query, best first."""
+    rows = routing.route(routing.route_scores(embedded(s, d), prototypes_of(s, d)))
+    return rows.select("query_id", F.posexplode("all_scores").alias("pos", "x")).select("query_id", c("pos").cast("long").alias("pos"), "x.category", "x.score")
+
+
+def intents_of(s: SparkSession, d: str) -> DataFrame:
+    """Every seventh vector is an intent of its label."""
+    name = F.concat(F.lit("intent_"), c("vec_id").cast("string"))
+    anchors = F.array(F.concat(F.lit("label "), c("label").cast("string")), name)
+    return read(s, d, "embeddings").where("vec_id % 7 = 0").select(name.alias("intent"), c("label").cast("string").alias("category"), anchors.alias("anchors"), c("vec_id").alias("pos"), c("embedding").alias("vector"))
+
+
+def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    queries = embedded(s, d)
+    routed = routing.route(routing.route_scores(queries, prototypes_of(s, d)))
+    return routed, routing.match_intents(queries, routed, intents_of(s, d), RouteConfig())
+
+
+@query
+def intent_gap_topk(s, d):
+    return matched(s, d)[1].select("query_id", "intent", F.round("score", 4).alias("score"), c("rank").cast("long").alias("rank"))
+
+
+@query
+def query_context(s, d):
+    routed, found = matched(s, d)
+    rows = routing.context(read(s, d, "embeddings").select(c("vec_id").alias("query_id"), F.concat(F.lit("query "), c("vec_id").cast("string")).alias("query")), routed, found)
+    return rows.select("query_id", "expanded_query", F.array_join("intents", "|").alias("intents"), "category", F.round("confidence", 4).alias("confidence"), F.array_join("anchors", "|").alias("anchors"))
+
+
+# Fusion ----------------------------------------------------------------------------------------------------------
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("query_id")
+    rows = results_of(s, d).withColumn("z", (c("bm25_score") - F.avg("bm25_score").over(w)) / (F.stddev_pop("bm25_score").over(w) + 1e-6))
+    queries = read(s, d, "retrieval_queries").select("query_id", c("original_query").alias("query"), "intents", "anchors", c("category").alias("asked_category"))
+    titles = chunks_of(s, d, "section_title", "text").withColumn("topics", T.topics(c("text"), default=True))
+    rows = rows.select("result_id", "query_id", "chunk_key", "act_name", "section_number", "category", c("semantic_score").alias("semantic"), c("rerank_score").alias("given_rerank"), "z")
+    return rows.join(broadcast_if_small(queries), "query_id").join(titles, "chunk_key")
+
+
+@query
+def fusion_features(s, d):
+    rows = candidates(s, d)
+    return rows.select(
+        "result_id", fusion.title_overlap(c("query"), c("section_title")).alias("title"), fusion.category_bonus(c("asked_category"), c("category"), c("topics")).alias("category_bonus"),
+        fusion.anchor_bonus(c("anchors"), c("act_name")).alias("anchor_bonus"), F.round(fusion.intent_boost(c("intents"), c("topics")), 4).alias("intent_boost"),
+    )
+
+
+@query
+def fusion_score(s, d):
+    return fusion.fuse(candidates(s, d)).select("result_id", F.round("score", 4).alias("score"))
+
+
+@query
+def fusion_top20(s, d):
+    rows = fusion.best(fusion.fuse(candidates(s, d)).withColumn("score", F.round("score", 6)), 20, "score", "result_id")
+    return rows.select("query_id", "result_id", "score", c("rank").cast("long").alias("rank"))
+
+
+@query
+def min_score_and_filter(s, d):
+    rows = fusion.fuse(candidates(s, d)).where((c("score") >= 0.45) & (c("asked_category").isNull() | (c("category") == c("asked_category"))))
+    return rows.select("query_id", "result_id", F.round("score", 4).alias("score"))
+
+
+@query
+def rerank_overlap(s, d):
+    rows = fusion.rerank(fusion.fuse(candidates(s, d)))
+    return rows.select("result_id", F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
+
+
+@query
+def rerank_blend(s, d):
+    rows = fusion.blend(results_of(s, d))
+    return rows.select("result_id", F.round("final_score", 4).alias("final_score"))
+
+
+@query
+def rerank_min_max(s, d):
+    rows = fusion.blend(results_of(s, d), FusionConfig(min_max_rerank=True))
+    return rows.select("result_id", F.round("final_score", 4).alias("final_score"))
+
+
+@query
+def limit_then_dedupe(s, d):
+    rows = fusion.finish(fusion.blend(results_of(s, d)).withColumn("final_score", F.round("final_score", 6)), 10, "result_id")
+    return rows.select("query_id", "result_id", "final_score", c("rank").cast("long").alias("rank"))
+
+
+@query
+def dedupe_then_limit(s, d):
+    rows = fusion.finish(fusion.blend(results_of(s, d)).withColumn("final_score", F.round("final_score", 6)), 10, "result_id", cfg=FusionConfig(dedupe_before_limit=True))
+    return rows.select("query_id", "result_id", "final_score", c("rank").cast("long").alias("rank"))
+
+
+# Evaluation ------------------------------------------------------------------------------------------------------
+
+
+def ranked(s: SparkSession, d: str) -> DataFrame:
+    return fusion.best(results_of(s, d), 1 << 30, "score", "result_id")
+
+
+def gold_of(s: SparkSession, d: str) -> DataFrame:
+    """The act and section of a query's first result by id are right; any section of its last one's act will do. Of every fourth query nothing is."""
+    rows = results_of(s, d).where("query_id % 4 <> 0").groupBy("query_id").agg(F.min_by(F.struct("act_name", "section_number"), "result_id").alias("a"), F.max_by("act_name", "result_id").alias("b"))
+    primary = rows.select("query_id", F.lit("primary").alias("kind"), F.upper(F.substring("a.act_name", 1, 12)).alias("act"), c("a.section_number").alias("section"))
+    return primary.unionByName(rows.select("query_id", F.lit("secondary").alias("kind"), F.substring("b", 1, 12).alias("act"), F.lit("").alias("section")))
+
+
+def outcomes_of(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.outcomes(ranked(s, d), gold_of(s, d), read(s, d, "retrieval_queries"))
+
+
+@query
+def first_match_rank(s, d):
+    rows = outcomes_of(s, d)
+    return rows.select("query_id", *(c(x).cast("long").alias(x) for x in rows.columns[1:]))
+
+
+@query
+def hit_mrr(s, d):
+    return evaluation.metrics(outcomes_of(s, d))
+
+
+@query
+def duplicate_citations(s, d):
+    return evaluation.duplicate_citations(results_of(s, d))
+
+
+@query
+def category_leakage(s, d):
+    asked = F.when(c("query_id") % 3 == 0, "criminal").otherwise(c("category"))
+    cases = read(s, d, "retrieval_queries").select("query_id", asked.alias("category_filter"))
+    return evaluation.category_leaks(results_of(s, d), cases)
+
+
+@query
+def wrong_but_sure(s, d):
+    rows = ranked(s, d).withColumn("final_score", c("score"))
+    return evaluation.wrong_but_sure(rows, outcomes_of(s, d), 0.4).withColumn("final_score", F.round("final_score", 4))
+
+
+# Sources, ingestion ----------------------------------------------------------------------------------------------
+
+
+@query
+def source_histogram(s, d):
+    return chunks_of(s, d, "source").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def distinct_acts(s, d):
+    return results_of(s, d).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("act_name")), "|").alias("acts"))
+
+
+def attempts(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(c("doc_id") % 4 == 0, "text/html").when(c("doc_id") % 4 == 1, "application/PDF").otherwise("application/octet-stream")
+    status = F.when(c("doc_id") % 3 == 0, 200).otherwise(404)
+    return read(s, d, "documents").select("source", c("doc_id").alias("pos"), F.concat(F.lit("u"), c("doc_id").cast("string")).alias("url"), status.alias("status"), kind.alias("content_type"))
+
+
+@query
+def fetch_first_success(s, d):
+    return files.first_fetched(attempts(s, d), "source")
+
+
+@query
+def fetch_summary(s, d):
+    rows = files.fetch_summary(files.first_fetched(attempts(s, d), "source"), "source")
+    return rows.select("ok", "n", F.array_join("items", "|").alias("items"))
+
+
+def keyed(s: SparkSession, d: str) -> DataFrame:
+    rows = read(s, d, "documents").select("doc_id", ingestion.file_key(F.coalesce("source", F.lit("")), c("doc_kind"), F.coalesce("text", F.lit(""))).alias("file_key"))
+    return rows
+
+
+def manifest_of(s: SparkSession, d: str) -> DataFrame:
+    """The keys of the labelled documents."""
+    return keyed(s, d).join(read(s, d, "doc_subject_labels").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query
+def incremental_new(s, d):
+    return ingestion.new_rows(keyed(s, d), manifest_of(s, d), "file_key").select("doc_id", "file_key")
+
+
+@query
+def incremental_skipped(s, d):
+    return ingestion.skipped_rows(keyed(s, d), manifest_of(s, d), "file_key").select("doc_id", "file_key")
+
+
+@query
+def ingest_summary(s, d):
+    rows, known = keyed(s, d), manifest_of(s, d)
+    return ingestion.summary(ingestion.new_rows(rows, known, "file_key"), ingestion.skipped_rows(rows, known, "file_key"), rows)
+
+
+def cached(s: SparkSession, d: str) -> DataFrame:
+    rows = read(s, d, "chunk_vectors").where(F.size("embedding") == 64)
+    return rows.groupBy(c("metadata.chunk_id").alias("chunk_id")).agg(F.min("embedding").alias("embedding"))
+
+
+@query
+def embed_cache_miss(s, d):
+    return ingestion.new_rows(read(s, d, "chunks").select("chunk_key", "chunk_id").distinct(), cached(s, d), "chunk_id").select("chunk_key", "chunk_id")
+
+
+@query
+def embed_cache_attach(s, d):
+    rows = ingestion.attach(read(s, d, "chunks").select("chunk_key", "chunk_id").distinct(), cached(s, d), "chunk_id")
+    return rows.select("chunk_key", F.round(c("embedding")[0].cast("double"), 4).alias("first"))
+
+
+@query
+def replace_source(s, d):
+    """The chunks with those of every source that has new rows replaced; the second half of the acts are new."""
+    old = chunks_of(s, d, "source")
+    new = old.join(read(s, d, "acts").where("act_key % 2 = 0").select("source"), "source", "left_semi").withColumn("chunk_key", -c("chunk_key"))
+    return ingestion.replace_source(old, new)
+
+
+@query
+def assign_ids(s, d):
+    return ingestion.assign_ids(read(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source")), ["source", "doc_id"], 100, "number").select("doc_id", c("number").cast("long").alias("number"))
+
+
+# The whole cascade -----------------------------------------------------------------------------------------------
+
+
+@query
+def hybrid_retrieve(s, d):
+    """All queries against all chunks; both sides by the hashing embedder, in the routed category."""
+    from ..functions.embed import hashing
+
+    cols = [x for x in SHOWN if x not in ("text",)]
+    rows = chunks_of(s, d, "text", *cols).withColumnRenamed("chunk_key", "doc")
+    rows = rows.withColumn("category", F.lower("category")).withColumn("topics", T.topics(c("text"), default=True))
+    text = T.search_text(*(c(x) for x in ("act_name", "section_number", "section_title", "chapter", "text")))
+    store = rows.select("doc", "category", hashing(64)(text).alias("embedding"))
+    found = retrieve(read(s, d, "retrieval_queries"), rows, store)
+    return found.select("query_id", c("rank").cast("long").alias("rank"), c("doc").alias("chunk_key"), "act_name", "section_number", "citation", "semantic_score", "bm25_score", F.round("score", 4).alias("score"), F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
+
+
+@query
+def stream_ingest(s, d):
+    """The parsed sections as a stream of files into a new store, run twice; the second run finds nothing new."""
+    import uuid
+
+    from ..session import shared_folder
+    from ..sources.store import Store
+    from ..streaming.ingest import ingest_stream
+
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    cols = ("category", "act_name", "year", "chapter", "section_number", "section_title", "topics", "text", "citation", "char_count", "short_name", "source")
+    sections_of(s, d, *cols).drop("section_key").withColumn("ministry", F.lit(None).cast("string")).write.parquet(f"{base}/in")
+    store = Store(s, f"{base}/store")
+    for run in ("first", "again"):
+        ingest_stream(s, f"{base}/in", store, f"{base}/{run}").awaitTermination()
+    return store.rows_by_source()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracles.sql().items() if k in QUERIES}
