@@ -204,9 +204,9 @@ def _filed(rows: Iterator[pa.RecordBatch], thresholds: list[int]) -> Iterator[pa
 
 
 def far(similarity: float) -> int:
-    """Sketch bits in which a pair at the limit may differ: four standard deviations above the mean."""
+    """Sketch bits in which a pair at the limit may differ: 3.3 standard deviations above the mean, which one such pair in 2,000 exceeds."""
     p = (1 - similarity) / 2
-    return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5)
+    return int(SKETCH * p + 3.3 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
