@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
+
+__all__ = ["broadcast_if_small", "gathered", "once", "staged", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def gathered(rows: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a task whose number its plan bounds; None if there are none."""
+    t = [b for b in rows if b.num_rows]
+    return pa.Table.from_batches(t) if t else None
+
+
 def once(df: DataFrame, key: str, *cols: str) -> DataFrame:
     """One row per key: rows delivered again count once. Rows without a key are left out.
 
@@ -23,36 +32,6 @@ def once(df: DataFrame, key: str, *cols: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(c).alias(c) for c in cols))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a local one is set only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = given.get() if given.isDefined() else None
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended
-        pass
-
-
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A staged table of narrow rows, marked for broadcast if it has few; beyond that Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, once, staged
+from .common import broadcast_if_small, gathered, once, staged
 
 PARTS, POSITIONS, SKETCH = 24, 3, 128
 BUCKETS = 1024
@@ -234,8 +234,8 @@ def _probed(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatc
 
     Records of a signature shared by more than BLOCK records come out again, for a second stage, with id_b = null.
     """
-    t = pa.Table.from_batches(list(rows))
-    if not t.num_rows:
+    t = gathered(rows)
+    if t is None:
         return
     sig, ids = t["sig"].to_numpy(), t["id"].to_numpy()
     bits = np.stack([t["bits0"].to_numpy(), t["bits1"].to_numpy()], 1).view(np.uint64)
@@ -284,8 +284,8 @@ class _Out:
 
 def _blocks(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Candidates between two blocks of one hot signature; a task holds whole pairs of blocks."""
-    t = pa.Table.from_batches(list(rows))
-    if not t.num_rows:
+    t = gathered(rows)
+    if t is None:
         return
     ids, block = t["id"].to_numpy(), t["block"].to_numpy()
     key = np.stack([t[c].to_numpy() for c in ("sig", "x", "y")], 1)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import gathered
 from .encoding import default_ranks, encoder, lists
 
 K1, B = 1.5, 0.75
@@ -111,8 +112,8 @@ def fill(size: np.ndarray, terms: list[np.ndarray], tf: list[np.ndarray], capaci
 
 
 def _filled(rows: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(list(rows))
-    if not t.num_rows:
+    t = gathered(rows)
+    if t is None:
         return
     t = t.sort_by([("shard", "ascending"), ("key", "ascending"), ("piece", "ascending")]).combine_chunks()
     shard = t["shard"].to_numpy()

@@ -27,21 +27,23 @@ from .common import broadcast_if_small, staged
 HOT, RANGES = 100_000, 256
 
 
-def _worst_rank(df: DataFrame, group: str, score: str, out: str, hot: DataFrame | None) -> DataFrame:
-    """Adds how many rows of the group are at least as good; nulls count as equal and worst."""
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+def _worst_rank(df: DataFrame, score: str, out: str, hot: DataFrame | None) -> DataFrame:
+    """Adds how many rows of the group g are at least as good; nulls count as equal and worst."""
+    w = Window.partitionBy("g").orderBy(F.desc_nulls_last(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     if hot is None:
         return df.withColumn(out, F.count(F.lit(1)).over(w))
-    plain = df.join(F.broadcast(hot), group, "left_anti").withColumn(out, F.count(F.lit(1)).over(w))
-    big = df.join(F.broadcast(hot), group, "left_semi")
-    cuts = big.groupBy(group).agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    big = big.join(F.broadcast(cuts), group).withColumn("range", F.when(F.col(score).isNull(), RANGES).otherwise(F.size(F.filter("cuts", lambda c: c >= F.col(score))))).drop("cuts")
-    per = big.groupBy(group, "range", score).agg(F.count("*").alias("n"))
-    before = per.groupBy(group, "range").agg(F.sum("n").alias("n"))
-    before = before.select(group, "range", (F.sum("n").over(Window.partitionBy(group).orderBy("range")) - F.col("n")).alias("before"))
-    inner = Window.partitionBy(group, "range").orderBy(F.desc_nulls_last(score))
-    place = per.withColumn("n", F.sum("n").over(inner)).join(F.broadcast(before), [group, "range"]).select(F.col(group).alias("g"), F.col(score).alias("s"), (F.col("n") + F.col("before")).alias(out))
-    big = big.drop("range").join(place, (F.col(group) == F.col("g")) & F.col(score).eqNullSafe(F.col("s")), "left").drop("g", "s")
+    plain = df.join(F.broadcast(hot), "g", "left_anti").withColumn(out, F.count(F.lit(1)).over(w))
+    big = df.join(F.broadcast(hot), "g", "left_semi")
+    cuts = big.groupBy("g").agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    ahead = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c >= F.col(score)))
+    part = big.join(F.broadcast(cuts), "g").withColumn("range", F.when(F.col(score).isNull(), RANGES).otherwise(ahead))
+    per = part.groupBy("g", "range", score).agg(F.count("*").alias("n"))
+    before = per.groupBy("g", "range").agg(F.sum("n").alias("n"))
+    before = before.select("g", "range", (F.sum("n").over(Window.partitionBy("g").orderBy("range")) - F.col("n")).alias("before"))
+    inner = Window.partitionBy("g", "range").orderBy(F.desc_nulls_last(score))
+    place = per.withColumn("n", F.sum("n").over(inner)).join(F.broadcast(before), ["g", "range"])
+    place = place.select(F.col("g").alias("_g"), F.col(score).alias("_s"), (F.col("n") + F.col("before")).alias(out))
+    big = big.join(place, (F.col("g") == F.col("_g")) & F.col(score).eqNullSafe(F.col("_s")), "left").drop("_g", "_s")
     return plain.unionByName(big)
 
 
@@ -53,48 +55,43 @@ def order_statistic(r: Column, k: int, n: int) -> Column:
 def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], shortlist: int = 3, hot_rows: int = HOT) -> DataFrame:
     """group, item, the scores, significance, majority, position: position 1 is the first of its group."""
     n = len(scores)
-    missing = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in scores]
-    rows = df.select(group, item, *(F.col(c).cast("double").alias(c) for c in scores)).select(group, item, *missing)
-    rows = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*(F.max(c).alias(c) for c in scores))
-    rows = staged(rows, "scores")
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
-    hot = staged(sizes.where(F.col("size") > hot_rows).select(group), "hot")  # at most one in hot_rows rows
+    own = [f"s{i}" for i in range(n)]  # names of its own, whatever the columns are called
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), *(F.col(c).cast("double").alias(s) for c, s in zip(scores, own)))
+    rows = rows.select("g", "item", *(F.when(~F.isnan(s), F.col(s)).alias(s) for s in own)).where("g is not null and item is not null")
+    rows = staged(rows.groupBy("g", "item").agg(*(F.max(s).alias(s) for s in own)), "scores")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    hot = staged(sizes.where(F.col("size") > hot_rows).select("g"), "hot")  # at most one in hot_rows rows
     hot = hot if hot.limit(1).count() else None
     ranked = rows
-    for i, c in enumerate(scores):
-        ranked = _worst_rank(ranked, group, c, f"_rank{i}", hot)
-    ranked = ranked.join(sizes, group)
-    by_size = F.array_sort(F.array(*(F.col(f"_rank{i}") / F.col("size") for i in range(n))))
-    ranked = ranked.withColumn("_r", by_size)
-    least = F.array_min(F.array(*(order_statistic(F.col("_r")[k - 1], k, n) for k in range(1, n + 1))))
-    ranked = ranked.withColumn("significance", F.least(F.lit(1.0), F.lit(float(n)) * least))
-    ranked = ranked.withColumn("_total", reduce(lambda a, b: a + b, (F.col(f"_rank{i}") for i in range(n))))
-    ranked = staged(ranked.select(group, item, *scores, "significance", "_total"), "significances")
-
-    key = F.struct(F.col("significance"), F.col("_total"), F.col(item))
-    # The few best of each group: an array of at most `shortlist` per partial result, so that hot groups combine early.
-    part = F.pmod(F.xxhash64(item), F.lit(64))
-    w = Window.partitionBy(group, "_part").orderBy("significance", "_total", item)
-    few = ranked.withColumn("_part", part).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= shortlist)
-    few = few.groupBy(group).agg(F.slice(F.array_sort(F.collect_list(key)), 1, shortlist).alias("few")).select(group, F.explode("few").alias("x")).select(F.col(group).alias("_g"), F.col(f"x.{item}").alias("_item"))
-    own = ranked.select(F.col(group).alias("_g"), F.col(item).alias("_item"), *(F.col(c).alias(f"_{c}") for c in scores)).join(few, ["_g", "_item"])
-    duel = ranked.join(own, (F.col(group) == F.col("_g")) & (F.col(item) != F.col("_item")))
-    ahead = reduce(lambda a, b: a + b, (F.when(F.col(f"_{c}").isNotNull() & (F.col(c).isNull() | (F.col(f"_{c}") > F.col(c))), 1).otherwise(0) for c in scores))
-    beaten = duel.groupBy("_g", "_item").agg(F.min(ahead * 2 > n).alias("majority")).where("majority")
-    beaten = broadcast_if_small(staged(beaten.select(F.col("_g").alias(group), F.col("_item").alias(item), "majority"), "majority"))
-    ranked = ranked.join(beaten, [group, item], "left").withColumn("majority", F.coalesce("majority", F.lit(False)))
-    return _positions(ranked, group, item, hot).select(group, item, *scores, "significance", "majority", "position")
-
-
-def _positions(df: DataFrame, group: str, item: str, hot: DataFrame | None) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc("majority"), "significance", "_total", item)
+    for i, s in enumerate(own):
+        ranked = _worst_rank(ranked, s, f"rank{i}", hot)
+    ranked = ranked.join(sizes, "g").withColumn("r", F.array_sort(F.array(*(F.col(f"rank{i}") / F.col("size") for i in range(n)))))
+    least = F.array_min(F.array(*(order_statistic(F.col("r")[k - 1], k, n) for k in range(1, n + 1))))
+    total = reduce(lambda a, b: a + b, (F.col(f"rank{i}") for i in range(n)))
+    ranked = staged(ranked.select("g", "item", *own, F.least(F.lit(1.0), F.lit(float(n)) * least).alias("significance"), total.alias("total")), "significances")
+
+    # The few best of each group, first of each of its parts, so that a hot group is not sorted in one task.
+    w = Window.partitionBy("g", "part").orderBy("significance", "total", "item")
+    few = ranked.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(64))).withColumn("r", F.row_number().over(w)).where(F.col("r") <= shortlist)
+    few = few.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct("significance", "total", "item"))), 1, shortlist).alias("few"))
+    few = few.select("g", F.explode("few").alias("x")).select("g", F.col("x.item").alias("item"))
+    first = ranked.join(few, ["g", "item"]).select("g", F.col("item").alias("first"), *(F.col(s).alias(f"f{s}") for s in own))
+    duel = ranked.join(first, "g").where("item <> first")
+    ahead = reduce(lambda a, b: a + b, (F.when(F.col(f"f{s}").isNotNull() & (F.col(s).isNull() | (F.col(f"f{s}") > F.col(s))), 1).otherwise(0) for s in own))
+    beaten = duel.groupBy("g", "first").agg(F.min(ahead * 2 > n).alias("majority")).where("majority").withColumnRenamed("first", "item")
+    ranked = ranked.join(broadcast_if_small(staged(beaten, "majority")), ["g", "item"], "left").withColumn("majority", F.coalesce("majority", F.lit(False)))
+    ranked = _positions(ranked, hot)
+    return ranked.select(F.col("g").alias(group), F.col("item").alias(item), *(F.col(s).alias(c) for c, s in zip(scores, own)), "significance", "majority", "position")
+
+
+def _positions(df: DataFrame, hot: DataFrame | None) -> DataFrame:
+    w = Window.partitionBy("g").orderBy(F.desc("majority"), "significance", "total", "item")
     if hot is None:
         return df.withColumn("position", F.row_number().over(w).cast("long"))
-    plain = df.join(F.broadcast(hot), group, "left_anti").withColumn("position", F.row_number().over(w).cast("long"))
-    # A hot group is ordered by ranges of the significance; a range of equal ones is dealt further by the sum of ranks.
-    big = df.join(F.broadcast(hot), group, "left_semi").withColumn("_s", -(F.when(F.col("majority"), -1.0).otherwise(F.col("significance"))))
-    big = _worst_rank(big, group, "_s", "_upto", hot)
-    inner = Window.partitionBy(group, "_upto").orderBy("_total", item)
-    size = Window.partitionBy(group, "_upto")
-    big = big.withColumn("position", F.col("_upto") - F.count(F.lit(1)).over(size) + F.row_number().over(inner)).drop("_s", "_upto")
+    plain = df.join(F.broadcast(hot), "g", "left_anti").withColumn("position", F.row_number().over(w).cast("long"))
+    # A hot group is ordered by ranges of the significance, and equal ones of it further by the sum of ranks.
+    big = df.join(F.broadcast(hot), "g", "left_semi").withColumn("s", -(F.when(F.col("majority"), -1.0).otherwise(F.col("significance"))))
+    big = _worst_rank(big, "s", "upto", hot)
+    inner = Window.partitionBy("g", "upto").orderBy("total", "item")
+    big = big.withColumn("position", F.col("upto") - F.count(F.lit(1)).over(Window.partitionBy("g", "upto")) + F.row_number().over(inner)).drop("s", "upto")
     return plain.unionByName(big)

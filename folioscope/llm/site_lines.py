@@ -100,6 +100,6 @@ def without_repeated(df: DataFrame, key: str, source: str, text: str, least: int
     """The rows of df, with the repeated lines gone from the text and `removed_lines`, the numbers of those."""
     found = repeated_lines(df, key, source, text, least, share)
     numbers = broadcast_if_small(staged(found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "numbers"), 20_000)
-    rows = df.join(numbers, F.col(key) == F.col("_key"), "left").drop("_key")
+    rows = df.drop("removed_lines").join(numbers, F.col(key) == F.col("_key"), "left").drop("_key")
     kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed_lines", i + 1))
     return rows.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
