@@ -226,7 +226,8 @@ def bm25_topk(s, d):
 @query
 def bm25_zscore_sigmoid(s, d):
     index = index_of(s, d)
-    rows = lexical.z_scores(index, lexical.scores(index, lexical_queries(s, d), "query_id", "text"))
+    asked = lexical_queries(s, d), "query_id", "text"
+    rows = lexical.z_scores(index, lexical.scores(index, *asked), lexical.moments(index, *asked))
     return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("z", 4).alias("z"), F.round("squashed", 4).alias("squashed"))
 
 

@@ -229,7 +229,7 @@ def sql() -> dict[str, str]:
             sha256(coalesce(act_name, '') || '|' || coalesce(section_number, '') || '|' || chunk_index || '|' || piece) AS chunk_id, total_chunks FROM x""",
         "bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 4) AS idf FROM terms",
         "bm25_scores": f"{bm25(LEXICAL_TEXT)} SELECT query_id, chunk_key, round(score, 4) AS score FROM scored",
-        "bm25_topk": f"{bm25('original_query')}, every AS (SELECT q.query_id, l.chunk_key, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS rank FROM every) SELECT query_id, chunk_key, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
+        "bm25_topk": f"{bm25('original_query')}, every AS (SELECT q.query_id, l.chunk_key, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM every) SELECT query_id, chunk_key, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
         "bm25_zscore_sigmoid": f"{bm25(LEXICAL_TEXT)}, every AS (SELECT q.query_id, l.chunk_key, s.score AS own, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), z AS (SELECT *, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-6::DOUBLE) AS z FROM every WINDOW w AS (PARTITION BY query_id)) SELECT query_id, chunk_key, round(z, 4) AS z, round(1 / (1 + exp(-z)), 4) AS squashed FROM z WHERE own IS NOT NULL",
         "knn_l2": f"{knn(SQUARED, FINITE, 50)} SELECT query_id, vec_id, round(distance, 4) AS distance, round(exp(-distance), 4) AS similarity, rank FROM r WHERE rank <= 50",
         "knn_filtered": f"{knn(SQUARED, FINITE, 20, 'AND (a.category IS NULL OR a.category = b.category)')} SELECT query_id, vec_id, round(distance, 4) AS distance, rank FROM r WHERE rank <= 20",

@@ -37,14 +37,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Confi
     near = vectors.knn(store, q, "doc", "embedding", "query_id", "vector", f.vector_depth, filter_col="category", query_filter="asked_category", dim=dim)
     near = near.select(c("query").alias("query_id"), c("id").alias("doc"), "distance", vectors.similarity(c("distance")).alias("semantic"))
     index = lexical.build(chunks, "doc", "text", cfg.bm25)
-    scored = lexical.scores(index, q, "query_id", "lexical_text").withColumnRenamed("query", "query_id")
-    n = float(index.n)
-    moments = scored.groupBy("query_id").agg((F.sum("score") / n).alias("mean"), (F.sum(c("score") * c("score")) / n).alias("sq"))
-    std = F.sqrt(F.greatest(c("sq") - c("mean") * c("mean"), F.lit(0.0))) + f.std_guard
+    near = staged(near, "near")
+    pairs = near.select(c("query_id").alias("query"), "doc")
+    scored = lexical.scores(index, q, "query_id", "lexical_text", pairs).withColumnRenamed("query", "query_id")
+    moments = lexical.moments(index, q, "query_id", "lexical_text").withColumnRenamed("query", "query_id")
 
     rows = near.join(scored, ["query_id", "doc"], "left").join(broadcast_if_small(moments), "query_id", "left")
     bm25 = F.coalesce("score", F.lit(0.0))
-    z = F.coalesce((bm25 - c("mean")) / std, F.lit(0.0))
+    z = F.coalesce((bm25 - c("mean")) / (c("std") + f.std_guard), F.lit(0.0))
     rows = rows.select("query_id", "doc", "distance", "semantic", bm25.alias("bm25"), z.alias("z"))
     rows = rows.join(broadcast_if_small(q.select("query_id", "query", "intents", "anchors", "asked_category")), "query_id")
     rows = rows.join(chunks.select("doc", "topics", *SHOWN), "doc").where(F.coalesce("text", F.lit("")) != "")
