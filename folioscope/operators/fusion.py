@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FusionConfig
 from ..functions.text import tokens
+from ..session import broadcast_if_small
 
 
 def title_overlap(query: Column, title: Column, cfg: FusionConfig = FusionConfig()) -> Column:
@@ -76,8 +77,10 @@ def rerank(rows: DataFrame, cfg: FusionConfig = FusionConfig(), scorer: Callable
 def blend(rows: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
     r = F.col("rerank_score")
     if cfg.min_max_rerank:
-        w = Window.partitionBy("query_id")
-        r = (r - F.min(r).over(w)) / (F.max(r).over(w) - F.min(r).over(w) + 1e-8)
+        span = rows.groupBy("query_id").agg(F.min(r).alias("_low"), F.max(r).alias("_high"))
+        rows = rows.join(broadcast_if_small(span), "query_id")
+        r = (r - F.col("_low")) / (F.col("_high") - F.col("_low") + 1e-8)
+        return rows.withColumn("final_score", F.lit(cfg.rerank) * r + F.lit(cfg.retrieval) * F.col("score")).drop("_low", "_high")
     return rows.withColumn("final_score", F.lit(cfg.rerank) * r + F.lit(cfg.retrieval) * F.col("score"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FusionConfig, RouteConfig
@@ -330,8 +330,9 @@ def query_context(s, d):
 
 
 def candidates(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("query_id")
-    rows = results_of(s, d).withColumn("z", (c("bm25_score") - F.avg("bm25_score").over(w)) / (F.stddev_pop("bm25_score").over(w) + 1e-6))
+    rows = results_of(s, d)
+    stats = rows.groupBy("query_id").agg(F.avg("bm25_score").alias("mean"), F.stddev_pop("bm25_score").alias("std"))
+    rows = rows.join(broadcast_if_small(stats), "query_id").withColumn("z", (c("bm25_score") - c("mean")) / (c("std") + 1e-6))
     queries = read(s, d, "retrieval_queries").select("query_id", c("original_query").alias("query"), "intents", "anchors", c("category").alias("asked_category"))
     titles = chunks_of(s, d, "section_title", "text").withColumn("topics", T.topics(c("text"), default=True))
     rows = rows.select("result_id", "query_id", "chunk_key", "act_name", "section_number", "category", c("semantic_score").alias("semantic"), c("rerank_score").alias("given_rerank"), "z")
@@ -467,8 +468,7 @@ def fetch_first_success(s, d):
 
 @query
 def fetch_summary(s, d):
-    rows = files.fetch_summary(files.first_fetched(attempts(s, d), "source"), "source")
-    return rows.select("ok", "n", F.array_join("items", "|").alias("items"))
+    return files.fetch_summary(files.first_fetched(attempts(s, d), "source"))
 
 
 def keyed(s: SparkSession, d: str) -> DataFrame:

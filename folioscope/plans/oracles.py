@@ -264,7 +264,7 @@ def sql() -> dict[str, str]:
         "source_histogram": f"SELECT source, count(*) AS n FROM {chunks('source')} GROUP BY source",
         "distinct_acts": f"SELECT query_id, string_agg(act_name, '|' ORDER BY act_name) AS acts FROM (SELECT DISTINCT query_id, act_name FROM {RESULTS}) GROUP BY query_id",
         "fetch_first_success": f"SELECT * FROM {FETCHED}",
-        "fetch_summary": f"SELECT url IS NOT NULL AS ok, count(*) AS n, coalesce(string_agg(source, '|' ORDER BY source), '') AS items FROM {FETCHED} GROUP BY 1",
+        "fetch_summary": f"SELECT url IS NOT NULL AS ok, count(*) AS n FROM {FETCHED} GROUP BY 1",
         "incremental_new": f"WITH {KEYED} SELECT doc_id, file_key FROM keyed WHERE file_key NOT IN (SELECT file_key FROM manifest)",
         "incremental_skipped": f"WITH {KEYED} SELECT doc_id, file_key FROM keyed WHERE file_key IN (SELECT file_key FROM manifest)",
         "ingest_summary": f"WITH {KEYED} SELECT count(*) FILTER (file_key NOT IN (SELECT file_key FROM manifest)) AS \"new\", count(*) FILTER (file_key IN (SELECT file_key FROM manifest)) AS skipped, count(*) AS total FROM keyed",

@@ -83,5 +83,6 @@ def first_fetched(attempts: DataFrame, key: str) -> DataFrame:
     return attempts.groupBy(key).agg(F.min_by(F.when(good, F.col("url")), F.when(good, F.col("pos"))).alias("url"))
 
 
-def fetch_summary(fetched: DataFrame, key: str) -> DataFrame:
-    return fetched.groupBy(F.col("url").isNotNull().alias("ok")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("items"))
+def fetch_summary(fetched: DataFrame) -> DataFrame:
+    """How many were fetched and how many failed; which ones, the rows of first_fetched tell."""
+    return fetched.groupBy(F.col("url").isNotNull().alias("ok")).agg(F.count("*").alias("n"))

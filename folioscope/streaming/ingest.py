@@ -20,12 +20,12 @@ def ingest_stream(spark: SparkSession, folder: str, store: Store, checkpoint: st
     rows = spark.readStream.schema(schemas.SECTION + ", source string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def batch(df: DataFrame, _: int) -> None:
-        # A file's key is its category, source and content, as for files read at once.
-        content = F.md5(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("section_number", "section_title", "text"))))
-        keyed = df.withColumn("_h", content)
+        # A file's key is its category, source and content, whatever the order of its rows.
+        content = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("section_number", "section_title", "text")))
         name = F.concat(F.coalesce("category", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.lit(":"))
-        keyed = keyed.withColumn("_n", name)
-        keys = keyed.groupBy("_n").agg(F.md5(F.array_join(F.array_sort(F.collect_list("_h")), "")).alias("_k"))
+        keyed = df.withColumns({"_h": content, "_n": name})
+        digest = F.concat(F.hex(F.bit_xor("_h")), F.lit("-"), F.hex(F.bit_xor(F.xxhash64("_h", F.lit(1)))), F.lit("-"), F.count("*").cast("string"))
+        keys = keyed.groupBy("_n").agg(digest.alias("_k"))
         store.ingest(keyed.join(keys, "_n").withColumn("file_key", F.concat("_n", "_k")).drop("_h", "_n", "_k"), embed)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
