@@ -93,3 +93,8 @@ def finish(rows: DataFrame, k: int, *ties: str, cfg: FusionConfig = FusionConfig
     rows = best(rows, k, "final_score", *ties, out="rank")
     rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "rank")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
+def of_acts(rows: DataFrame, acts: list[str], by: str = "score") -> DataFrame:
+    """For diagnosis: the candidates from some acts, best first."""
+    return rows.where(F.col("act_name").isin(*acts)).orderBy("query_id", F.desc_nulls_last(by))

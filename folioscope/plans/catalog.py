@@ -326,6 +326,12 @@ def query_context(s, d):
     return rows.select("query_id", "expanded_query", F.array_join("intents", "|").alias("intents"), "category", F.round("confidence", 4).alias("confidence"), F.array_join("anchors", "|").alias("anchors"))
 
 
+@query
+def intent_text(s, d):
+    text = routing.intent_text(F.split("prototype", ", "), c("hindi_terms"), c("prototype"), c("subject"))
+    return read(s, d, "subject_areas").select("subject", text.alias("intent_text"))
+
+
 # Fusion ----------------------------------------------------------------------------------------------------------
 
 
@@ -365,6 +371,14 @@ def min_score_and_filter(s, d):
     return rows.select("query_id", "result_id", F.round("score", 4).alias("score"))
 
 
+@query
+def diagnostic_acts(s, d):
+    """The candidates from the acts of even years."""
+    acts = read(s, d, "acts").where("year % 2 = 0").select("act_name").distinct()
+    rows = fusion.fuse(candidates(s, d)).join(broadcast_if_small(acts), "act_name", "left_semi")
+    return rows.select("query_id", "result_id", "act_name", F.round("score", 4).alias("score"))
+
+
 @query
 def rerank_overlap(s, d):
     rows = fusion.rerank(fusion.fuse(candidates(s, d)))

@@ -242,6 +242,8 @@ def sql() -> dict[str, str]:
         "query_context": f"""WITH {INTENTS}, m AS (SELECT query_id, list(intent ORDER BY rank) AS names, flatten(list(anchors ORDER BY rank)) AS anchors, max(score) AS confidence FROM matched GROUP BY query_id)
             SELECT r.query_id, array_to_string(list_concat(['query ' || r.query_id], coalesce(list_transform(names, lambda n: replace(n, '_', ' ')), [])), ' ') AS expanded_query, coalesce(array_to_string(names, '|'), '') AS intents, r.category, round(coalesce(m.confidence, 0.0), 4) AS confidence,
             coalesce(array_to_string(list_filter(anchors, lambda a, i: list_position(anchors, a) = i), '|'), '') AS anchors FROM routed r LEFT JOIN m USING (query_id)""",
+        "intent_text": "SELECT subject, array_to_string(list_concat(string_split(prototype, ', '), hindi_terms, [prototype, replace(subject, '_', ' ')]), ' ') AS intent_text FROM subject_areas",
+        "diagnostic_acts": f"WITH {CANDIDATES} SELECT query_id, result_id, act_name, round(score, 4) AS score FROM fused WHERE act_name IN (SELECT act_name FROM acts WHERE year % 2 = 0)",
         "fusion_features": f"WITH {CANDIDATES} SELECT result_id, title, category_bonus, anchor_bonus, round(intent_boost, 4) AS intent_boost FROM feat",
         "fusion_score": f"WITH {CANDIDATES} SELECT result_id, round(score, 4) AS score FROM fused",
         "fusion_top20": f"WITH {CANDIDATES}, o AS (SELECT query_id, result_id, round(score, 6) AS score FROM fused), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, result_id) AS rank FROM o) SELECT query_id, result_id, score, rank FROM r WHERE rank <= 20",

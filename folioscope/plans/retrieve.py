@@ -17,6 +17,30 @@ from ..session import broadcast_if_small, staged
 SHOWN = ["text", "citation", "section_number", "section_title", "chapter", "act_name", "short_name", "year", "category", "source"]
 
 
+def contexts(queries: DataFrame, prototypes: DataFrame, intents: DataFrame, cfg: Config = Config(), embed: Embedder | None = None) -> DataFrame:
+    """query_id, query -> a context row each, as `retrieve` takes them.
+
+    prototypes: category, prototype, in the order in which ties are broken (column pos). intents: intent, category,
+    anchors, prototype, examples, pos. Both are dimension tables; they and the queries are embedded once.
+    """
+    embed = embed or hashing()
+    c = F.col
+    asked = staged(queries.select("query_id", "query", embed(c("query")).alias("vector")), "asked")
+    known = staged(prototypes.select("category", "pos", embed(c("prototype")).alias("vector")), "prototypes")
+    text = routing.intent_text(c("examples"), c("anchors"), c("prototype"), c("intent"))
+    wanted = staged(intents.select("intent", "category", "anchors", "pos", embed(text).alias("vector")), "intents")
+    routed = staged(routing.route(routing.route_scores(asked, known), cfg.route), "routed")
+    return routing.context(asked, routed, routing.match_intents(asked, routed, wanted, cfg.route))
+
+
+def nearest_texts(queries: DataFrame, store: DataFrame, k: int = 20, category: str | None = None, embed: Embedder | None = None, dim: int = 64) -> DataFrame:
+    """For a look at the store: query_id, doc, distance, rank of the k nearest rows of each query's text."""
+    embed = embed or hashing(dim)
+    rows = store.where(F.col("category") == category) if category else store
+    found = vectors.knn(rows, queries.select("query_id", embed(F.col("query")).alias("vector")), "doc", "embedding", "query_id", "vector", k, dim=dim)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("doc"), "distance", "rank")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Config = Config(), top_k: int | None = None, min_score: float | None = None, embed: Embedder | None = None, dim: int = 64) -> DataFrame:
     """queries: a context row each (query_id, original_query, expanded_query, intents, anchors, category, category_filter or not).
 

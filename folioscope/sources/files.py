@@ -86,3 +86,10 @@ def first_fetched(attempts: DataFrame, key: str) -> DataFrame:
 def fetch_summary(fetched: DataFrame) -> DataFrame:
     """How many were fetched and how many failed; which ones, the rows of first_fetched tell."""
     return fetched.groupBy(F.col("url").isNotNull().alias("ok")).agg(F.count("*").alias("n"))
+
+
+def write_report(metrics: DataFrame, folder: str) -> None:
+    """A table of a few rows, as one JSON and one CSV file."""
+    one = metrics.coalesce(1)
+    one.write.mode("overwrite").json(f"{folder}/json")
+    one.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")

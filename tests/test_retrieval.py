@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.config import Config, FusionConfig, RouteConfig
 from folioscope.functions.embed import from_batches, hashing
 from folioscope.operators import evaluation, fusion, lexical, routing, vectors
-from folioscope.plans.retrieve import retrieve
+from folioscope.plans.retrieve import contexts, nearest_texts, retrieve
 
 DOCS = {1: "the court shall hear the appeal", 2: "the appeal lies to the high court court", 3: "", 4: "a bail bond", 5: None, 6: "the the the"}
 
@@ -135,3 +135,24 @@ def test_cascade(spark):
     assert len(keys) == len(set(keys))
     assert retrieve(q.withColumn("category_filter", F.lit("family")), chunks, store, top_k=3).where("category <> 'family'").count() == 0
     assert retrieve(q, chunks, store, min_score=99.0).count() == 0
+
+
+def test_contexts(spark):
+    q = spark.createDataFrame([(1, "bail bond of the accused"), (2, "zzz")], "query_id long, query string")
+    p = spark.createDataFrame([("criminal", 0, "accused bail bond"), ("family", 1, "deed of adoption")], "category string, pos int, prototype string")
+    i = spark.createDataFrame([("bail_application", "criminal", ["Act A"], "bail bond", ["bail of the accused"], 0), ("theft", "criminal", ["Act B"], "stolen goods", ["theft"], 1)], "intent string, category string, anchors array<string>, prototype string, examples array<string>, pos int")
+    got = {r.query_id: r for r in contexts(q, p, i).collect()}
+    assert (got[1].category, got[1].intents, got[1].anchors, got[1].expanded_query) == ("criminal", ["bail_application"], ["Act A"], "bail bond of the accused bail application")
+    assert (got[2].category, got[2].intents, got[2].expanded_query) == (None, [], "zzz")
+
+
+def test_probe_and_saved_index(spark, index, tmp_path):
+    store = spark.createDataFrame([(1, "x", "bail bond"), (2, "x", "deed of adoption"), (3, "y", "bail")], "doc long, category string, t string").select("doc", "category", hashing(64)(F.col("t")).alias("embedding"))
+    q = spark.createDataFrame([(1, "bail")], "query_id long, query string")
+    assert [r.doc for r in nearest_texts(q, store, 2).orderBy("rank").collect()] == [3, 1]
+    assert [r.doc for r in nearest_texts(q, store, 2, "x").orderBy("rank").collect()] == [1, 2]
+    lexical.save(index, f"{tmp_path}/bm25")
+    again = lexical.load(spark, f"{tmp_path}/bm25")
+    asked = spark.createDataFrame([(1, "court appeal")], "q long, t string")
+    rows = lambda i: sorted(tuple(r) for r in lexical.top_k(i, asked, "q", "t", 4).collect())
+    assert rows(again) == rows(index)
