@@ -6,10 +6,13 @@ callable from Column to Column, such as an Arrow pandas UDF around an encoder, m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,24 +23,32 @@ Embedder = Callable[[Column], Column]
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
-def hashing(dim: int = 64) -> Embedder:
-    """Null and token-less texts give all zeros."""
+def token_hash(token: str) -> int:
+    """The first 32 bits of the token's MD5."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
 
-    @F.pandas_udf("array<float>")
-    def count(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in hashes:
-            out = np.zeros((len(s), dim), np.float32)
-            n = np.array([0 if h is None else len(h) for h in s])
-            if n.sum():
-                flat = np.concatenate([h for h in s if h is not None and len(h)]).astype(np.int64).view(np.uint64)
-                row = np.repeat(np.arange(len(s)), n)
-                sign = np.where((flat >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-                np.add.at(out, (row, (flat % np.uint64(dim)).astype(np.int64)), sign)
-                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-            yield pd.Series(list(out))
-
-    return lambda text: count(F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda t: F.xxhash64(t)))
+
+def hashing(dim: int = 64) -> Embedder:
+    """A token adds 1 or -1 (by one bit of its hash) to one dimension. Null and token-less texts give all zeros."""
+
+    @F.arrow_udf("array<float>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
+        for toks in batches:
+            coded = toks.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            if len(known) > 1_000_000:
+                known.clear()
+            h = np.array([known[t] if t in known else known.setdefault(t, token_hash(t)) for t in names], np.int64)
+            out = np.zeros((len(toks), dim))
+            if len(h):
+                h = h[coded.indices.to_numpy()]
+                np.add.at(out, (pc.list_parent_indices(toks).to_numpy(), h % dim), np.where(h // dim % 2 == 1, 1.0, -1.0))
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
+            yield pa.ListArray.from_arrays(np.arange(0, dim * len(toks) + 1, dim, dtype=np.int32), out.ravel())
+
+    return lambda text: count(F.coalesce(tokens(text), F.array().cast("array<string>")))
 
 
 def with_prefix(embedder: Embedder, prefix: str = QUERY_PREFIX) -> Embedder:

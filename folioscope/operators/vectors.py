@@ -61,7 +61,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: st
 
     metric "l2sq" (squared distance) or "cosine" (1 - cosine). With filter_col only rows whose value equals the
     query's are looked at, where the query has one. Vectors of another length, null or with NaN have no place.
-    Ties go to the lower id. Queries are taken in blocks of bounded size, each of which is sent to all tasks.
+    Ties, to twelve decimals, go to the lower id. Queries are taken in blocks of bounded size, each of which is sent to all tasks.
     """
     import pyarrow.compute  # noqa: F401
 
@@ -97,6 +97,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: st
                         m = min(k + 8, len(sel))
                         best = np.argpartition(near, m - 1, axis=1)[:, :m]
                         d = 1 - (x[q][:, None, :] * yy[best]).sum(axis=2) if metric == "cosine" else ((x[q][:, None, :] - yy[best]) ** 2).sum(axis=2)
+                        d = d.round(12)
                         order = np.lexsort((rid[sel][best], d), axis=1)[:, :k]
                         d, r = np.take_along_axis(d, order, 1), np.take_along_axis(rid[sel][best], order, 1)
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], d.shape[1])), pa.array(r.ravel()), pa.array(d.ravel())], names=["query", "id", "distance"])

@@ -149,16 +149,17 @@ near AS (SELECT e.vec_id AS query_id, i.intent, i.anchors, i.pos, list_dot_produ
 gap AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM near),
 matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM gap WHERE score >= 0.5 AND best - score <= 0.05::DOUBLE) WHERE rank <= 2)"""
 
-CANDIDATES = f"""cand AS (SELECT r.result_id, r.query_id, r.chunk_key, r.act_name, r.section_number, r.category, r.semantic_score AS semantic,
-    (r.bm25_score - avg(r.bm25_score) OVER w) / (stddev_pop(r.bm25_score) OVER w + 1e-6::DOUBLE) AS z FROM {RESULTS} r WINDOW w AS (PARTITION BY query_id)),
-full_ AS (SELECT c.*, q.original_query AS query, q.intents, q.anchors, q.category AS asked, k.section_title, k.text, {topics("k.text")} AS topics
-  FROM cand c JOIN retrieval_queries q USING (query_id) JOIN {chunks("section_title", "text")} k USING (chunk_key)),
-feat AS (SELECT *,
+FEATURES = f"""feat AS (SELECT *,
   CASE WHEN len(list_intersect(coalesce({tokens("query")}, []), coalesce({tokens("section_title")}, []))) = 0 THEN -0.05::DOUBLE ELSE 0.02::DOUBLE END AS title,
   CASE WHEN asked IS NULL OR asked = '' OR category IS NULL OR category = '' THEN 0.0::DOUBLE WHEN category = asked THEN 0.10::DOUBLE WHEN contains(array_to_string(topics, ', '), asked) THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END AS category_bonus,
   CASE WHEN len(list_filter(coalesce(anchors, []), lambda a: contains(lower(a), lower(coalesce(act_name, ''))))) > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS anchor_bonus,
   len(list_intersect(coalesce(intents, []), topics)) * 0.08::DOUBLE AS intent_boost FROM full_),
 fused AS (SELECT *, 0.7::DOUBLE * semantic + 0.3::DOUBLE * (1 / (1 + exp(-z))) + category_bonus + anchor_bonus + intent_boost + title AS score FROM feat)"""
+CANDIDATES = f"""cand AS (SELECT r.result_id, r.query_id, r.chunk_key, r.act_name, r.section_number, r.category, r.semantic_score AS semantic,
+    (r.bm25_score - avg(r.bm25_score) OVER w) / (stddev_pop(r.bm25_score) OVER w + 1e-6::DOUBLE) AS z FROM {RESULTS} r WINDOW w AS (PARTITION BY query_id)),
+full_ AS (SELECT c.*, q.original_query AS query, q.intents, q.anchors, q.category AS asked, k.section_title, k.text, {topics("k.text")} AS topics
+  FROM cand c JOIN retrieval_queries q USING (query_id) JOIN {chunks("section_title", "text")} k USING (chunk_key)),
+{FEATURES}"""
 
 RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, result_id) AS rank FROM {RESULTS})"
 OUTCOMES = f"""{RANKED},
@@ -186,6 +187,39 @@ def finish(before: bool) -> str:
     return f"WITH {base}, x AS (SELECT *, {first} AS n FROM b), y AS (SELECT * EXCLUDE (n), {second} AS n FROM x WHERE n <= {lim[0]}), z AS (SELECT * FROM y WHERE n <= {lim[1]}) SELECT query_id, result_id, f AS final_score, {cut} AS rank FROM z"
 
 
+def embedded(x: str) -> str:
+    """The hashing embedder, as a list of 64 numbers that went through float32."""
+    hashes = f"list_transform({tokens(x)}, lambda t: ('0x' || substring(md5(t), 1, 8))::BIGINT)"
+    v = f"(SELECT list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(hs, lambda h: h % 64 = d), lambda h: CASE WHEN (h // 64) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0.0::DOUBLE)) FROM (SELECT {hashes} AS hs))"
+    return f"(SELECT list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / sqrt(n))::FLOAT::DOUBLE ELSE 0.0::DOUBLE END) FROM (SELECT v, list_sum(list_transform(v, lambda x: x * x)) AS n FROM (SELECT {v} AS v)))"
+
+
+def cascade(search: str) -> str:
+    cols = ("text", "citation", "section_number", "section_title", "chapter", "act_name", "short_name", "year", "category", "source")
+    pair = f"list_distinct({tokens("query || '. Related legal concepts: ' || array_to_string(intents, ' ')")})"
+    shown = tokens("coalesce(act_name, '') || ' Section ' || coalesce(section_number, '') || ' ' || coalesce(section_title, '') || '. ' || text")
+    return f"""{bm25(LEXICAL_TEXT)},
+docs AS MATERIALIZED (SELECT chunk_key, text, citation, section_number, section_title, act_name, lower(category) AS category, {topics("text")} AS topics, {embedded(search)} AS e FROM {chunks(*cols)}),
+asked_ AS MATERIALIZED (SELECT query_id, original_query AS query, coalesce(intents, []) AS intents, coalesce(anchors, []) AS anchors, category AS asked,
+  {embedded("trim(concat_ws(' ', expanded_query, array_to_string(anchors, ' '), coalesce(category, ''), array_to_string(intents, ' ')))")} AS main,
+  {embedded("array_to_string(anchors, ' ')")} AS anchor FROM retrieval_queries),
+mixed AS (SELECT *, CASE WHEN len(anchors) > 0 THEN list_transform(range(1, 65), lambda i: 0.7::DOUBLE * main[i] + 0.3::DOUBLE * anchor[i]) ELSE list_transform(range(1, 65), lambda i: 0.7::DOUBLE * main[i]) END AS q FROM asked_),
+dist AS (SELECT m.query_id, d.chunk_key, round(list_sum(list_transform(range(1, 65), lambda i: (m.q[i] - d.e[i]) * (m.q[i] - d.e[i]))), 12) AS distance FROM mixed m JOIN docs d ON m.asked IS NULL OR m.asked = d.category),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_key) AS r FROM dist) WHERE r <= 50),
+stats AS (SELECT query_id, sum(score) / (SELECT n FROM total) AS mean, sqrt(greatest(sum(score * score) / (SELECT n FROM total) - (sum(score) / (SELECT n FROM total)) ** 2, 0.0)) AS std FROM scored GROUP BY query_id),
+full_ AS (SELECT n.query_id, n.chunk_key, n.distance, exp(-n.distance) AS semantic, coalesce(s.score, 0.0) AS bm25, coalesce((coalesce(s.score, 0.0) - t.mean) / (t.std + 1e-6::DOUBLE), 0.0) AS z,
+  m.query, m.intents, m.anchors, m.asked, d.* EXCLUDE (chunk_key, e)
+  FROM near n LEFT JOIN scored s ON s.query_id = n.query_id AND s.chunk_key = n.chunk_key LEFT JOIN stats t ON t.query_id = n.query_id JOIN mixed m ON m.query_id = n.query_id JOIN docs d ON d.chunk_key = n.chunk_key WHERE coalesce(d.text, '') <> ''),
+{FEATURES},
+cut AS (SELECT * FROM (SELECT * EXCLUDE (score), round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, distance, chunk_key) AS r FROM fused) WHERE r <= 20),
+pairs AS (SELECT *, {pair} AS qt, {shown} AS dt FROM cut),
+reranked AS (SELECT *, coalesce(len(list_intersect(qt, dt))::DOUBLE / nullif(len(qt), 0), 0.0) AS rr FROM pairs),
+final AS (SELECT *, 0.4::DOUBLE * rr + 0.6::DOUBLE * score AS f FROM reranked),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_key) AS k FROM final) WHERE k <= 5),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, act_name, section_number ORDER BY f DESC, chunk_key) AS o FROM top) WHERE o = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_key) AS rank, chunk_key, act_name, section_number, citation, round(semantic, 4) AS semantic_score, round(bm25, 4) AS bm25_score, round(score, 4) AS score, round(rr, 4) AS rerank_score, round(f, 4) AS final_score FROM one"""
+
+
 def sql() -> dict[str, str]:
     low = " OR ".join(f"contains(lower(coalesce(section_title, '')), {q(p)})" for p in [*LOW_VALUE, "inquiry into", "penalty in respect of"])
     number = "coalesce(nullif(regexp_extract(lower(x), '(section|sec)\\s+(\\d+)', 2), ''), nullif(regexp_extract(lower(x), '\\b(\\d{2,4})\\b', 1), ''))"
@@ -273,5 +307,6 @@ def sql() -> dict[str, str]:
         "embed_cache_miss": f"SELECT DISTINCT chunk_key, chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM {CACHED} WHERE chunk_id IS NOT NULL)",
         "embed_cache_attach": f"SELECT c.chunk_key, round(v.embedding[1]::DOUBLE, 4) AS \"first\" FROM (SELECT DISTINCT chunk_key, chunk_id FROM chunks) c JOIN {CACHED} v USING (chunk_id)",
         "replace_source": f"WITH o AS (SELECT * FROM {chunks('source')}), n AS (SELECT source FROM acts WHERE act_key % 2 = 0) SELECT chunk_key, source FROM o WHERE source IS NULL OR source NOT IN (SELECT source FROM n) UNION ALL SELECT -chunk_key, source FROM o WHERE source IN (SELECT source FROM n)",
+        "hybrid_retrieve": cascade(search),
         "assign_ids": "SELECT doc_id, 99 + row_number() OVER (ORDER BY coalesce(source, ''), doc_id) AS number FROM documents",
     }

@@ -72,7 +72,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Confi
     rows = rows.select("query_id", "doc", "distance", "semantic", bm25.alias("bm25"), z.alias("z"))
     rows = rows.join(broadcast_if_small(q.select("query_id", "query", "intents", "anchors", "asked_category")), "query_id")
     rows = rows.join(chunks.select("doc", "topics", *SHOWN), "doc").where(F.coalesce("text", F.lit("")) != "")
-    rows = fusion.best(fusion.fuse(rows, f), f.fused_depth, "score", "distance", "doc", out="_r").drop("_r")
+    # To nine decimals, so that the order of a sum decides nothing.
+    rows = fusion.fuse(rows, f).withColumn("score", F.round("score", 9))
+    rows = fusion.best(rows, f.fused_depth, "score", "distance", "doc", out="_r").drop("_r")
     if min_score is not None:
         rows = rows.where(c("score") >= min_score)
     rows = fusion.finish(fusion.rerank(rows, f), top_k or f.top_k, "doc", cfg=f)
