@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import near_duplicates as nd
 from . import distinctive_terms as dt
-from . import encoding, packing, rank_fusion, scan_noise, site_lines, splitting, subjects
+from . import encoding, oracles, packing, rank_fusion, scan_noise, site_lines, splitting, subjects
 from . import similar_vectors as sv
 from .common import table
 
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
