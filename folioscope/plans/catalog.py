@@ -25,6 +25,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def r4(name: str):
+    """To four decimals, and no negative zero."""
+    return F.round(name, 4) + F.lit(0.0)
+
+
 def chunks_of(s: SparkSession, d: str, *cols: str) -> DataFrame:
     """Chunks delivered again count once."""
     return read(s, d, "chunks").select("chunk_key", *cols).distinct()
@@ -214,13 +219,13 @@ def bm25_stats(s, d):
 @query
 def bm25_scores(s, d):
     rows = lexical.scores(index_of(s, d), lexical_queries(s, d), "query_id", "text")
-    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("score", 4).alias("score"))
+    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), r4("score").alias("score"))
 
 
 @query
 def bm25_topk(s, d):
     rows = lexical.top_k(index_of(s, d), read(s, d, "retrieval_queries"), "query_id", "original_query", 5)
-    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("score", 4).alias("score"), c("rank").cast("long").alias("rank"))
+    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), r4("score").alias("score"), c("rank").cast("long").alias("rank"))
 
 
 @query
@@ -228,7 +233,7 @@ def bm25_zscore_sigmoid(s, d):
     index = index_of(s, d)
     asked = lexical_queries(s, d), "query_id", "text"
     rows = lexical.z_scores(index, lexical.scores(index, *asked), lexical.moments(index, *asked))
-    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), F.round("z", 4).alias("z"), F.round("squashed", 4).alias("squashed"))
+    return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), r4("z").alias("z"), F.round("squashed", 4).alias("squashed"))
 
 
 # Vectors ---------------------------------------------------------------------------------------------------------
@@ -244,21 +249,21 @@ def knn_l2(s, d):
     """Queries are the rows whose id 50 divides, against all rows."""
     rows = vectors_of(s, d)
     found = vectors.knn(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 50)
-    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), F.round("distance", 4).alias("distance"), F.round(vectors.similarity(c("distance")), 4).alias("similarity"), c("rank").cast("long").alias("rank"))
+    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), r4("distance").alias("distance"), F.round(vectors.similarity(c("distance")), 4).alias("similarity"), c("rank").cast("long").alias("rank"))
 
 
 @query
 def knn_filtered(s, d):
     rows = vectors_of(s, d)
     found = vectors.knn(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 20, "l2sq", "category")
-    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), F.round("distance", 4).alias("distance"), c("rank").cast("long").alias("rank"))
+    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), r4("distance").alias("distance"), c("rank").cast("long").alias("rank"))
 
 
 @query
 def knn_cosine(s, d):
     rows = vectors_of(s, d)
     found = vectors.knn(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 10, "cosine")
-    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), F.round("distance", 4).alias("distance"), c("rank").cast("long").alias("rank"))
+    return found.select(c("query").alias("query_id"), c("id").alias("vec_id"), r4("distance").alias("distance"), c("rank").cast("long").alias("rank"))
 
 
 def prototypes_of(s: SparkSession, d: str) -> DataFrame:
@@ -273,7 +278,7 @@ def embedded(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_scores(s, d):
-    return routing.route_scores(embedded(s, d), prototypes_of(s, d)).select("query_id", "category", F.round("score", 4).alias("score"))
+    return routing.route_scores(embedded(s, d), prototypes_of(s, d)).select("query_id", "category", r4("score").alias("score"))
 
 
 @query
@@ -316,7 +321,7 @@ def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def intent_gap_topk(s, d):
-    return matched(s, d)[1].select("query_id", "intent", F.round("score", 4).alias("score"), c("rank").cast("long").alias("rank"))
+    return matched(s, d)[1].select("query_id", "intent", r4("score").alias("score"), c("rank").cast("long").alias("rank"))
 
 
 @query
@@ -356,7 +361,7 @@ def fusion_features(s, d):
 
 @query
 def fusion_score(s, d):
-    return fusion.fuse(candidates(s, d)).select("result_id", F.round("score", 4).alias("score"))
+    return fusion.fuse(candidates(s, d)).select("result_id", r4("score").alias("score"))
 
 
 @query
@@ -368,7 +373,7 @@ def fusion_top20(s, d):
 @query
 def min_score_and_filter(s, d):
     rows = fusion.fuse(candidates(s, d)).where((c("score") >= 0.45) & (c("asked_category").isNull() | (c("category") == c("asked_category"))))
-    return rows.select("query_id", "result_id", F.round("score", 4).alias("score"))
+    return rows.select("query_id", "result_id", r4("score").alias("score"))
 
 
 @query
@@ -376,7 +381,7 @@ def diagnostic_acts(s, d):
     """The candidates from the acts of even years."""
     acts = read(s, d, "acts").where("year % 2 = 0").select("act_name").distinct()
     rows = fusion.fuse(candidates(s, d)).join(broadcast_if_small(acts), "act_name", "left_semi")
-    return rows.select("query_id", "result_id", "act_name", F.round("score", 4).alias("score"))
+    return rows.select("query_id", "result_id", "act_name", r4("score").alias("score"))
 
 
 @query
@@ -554,7 +559,7 @@ def hybrid_retrieve(s, d):
     text = T.search_text(*(c(x) for x in ("act_name", "section_number", "section_title", "chapter", "text")))
     store = rows.select("doc", "category", hashing(64)(text).alias("embedding"))
     found = retrieve(read(s, d, "retrieval_queries"), rows, store)
-    return found.select("query_id", c("rank").cast("long").alias("rank"), c("doc").alias("chunk_key"), "act_name", "section_number", "citation", "semantic_score", "bm25_score", F.round("score", 4).alias("score"), F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
+    return found.select("query_id", c("rank").cast("long").alias("rank"), c("doc").alias("chunk_key"), "act_name", "section_number", "citation", "semantic_score", "bm25_score", r4("score").alias("score"), F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
 
 
 @query

@@ -175,7 +175,7 @@ FETCHED = """(SELECT source, arg_min(url, pos) FILTER (status = 200 AND (contain
 
 
 def knn(metric: str, rows: str, k: int, on: str = "") -> str:
-    return f"WITH v AS MATERIALIZED {rows}, d AS (SELECT a.vec_id AS query_id, b.vec_id, {metric} AS distance FROM v a JOIN v b ON a.vec_id % 50 = 0 {on}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)"
+    return f"WITH v AS MATERIALIZED {rows}, d AS (SELECT a.vec_id AS query_id, b.vec_id, {metric} AS distance FROM v a JOIN v b ON a.vec_id % 50 = 0 {on}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), vec_id) AS rank FROM d)"
 
 
 def finish(before: bool) -> str:
@@ -217,7 +217,7 @@ reranked AS (SELECT *, coalesce(len(list_intersect(qt, dt))::DOUBLE / nullif(len
 final AS (SELECT *, 0.4::DOUBLE * rr + 0.6::DOUBLE * score AS f FROM reranked),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_key) AS k FROM final) WHERE k <= 5),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, act_name, section_number ORDER BY f DESC, chunk_key) AS o FROM top) WHERE o = 1)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_key) AS rank, chunk_key, act_name, section_number, citation, round(semantic, 4) AS semantic_score, round(bm25, 4) AS bm25_score, round(score, 4) AS score, round(rr, 4) AS rerank_score, round(f, 4) AS final_score FROM one"""
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_key) AS rank, chunk_key, act_name, section_number, citation, round(semantic, 4) AS semantic_score, round(bm25, 4) AS bm25_score, round(score, 4) + 0.0::DOUBLE AS score, round(rr, 4) AS rerank_score, round(f, 4) AS final_score FROM one"""
 
 
 def sql() -> dict[str, str]:
@@ -262,26 +262,26 @@ def sql() -> dict[str, str]:
             section_number, section_title, coalesce(chapter, '') AS chapter, act_name, coalesce(short_name, '') AS short_name, year, coalesce(category, 'general') AS category, coalesce(source, '') AS source, chunk_index,
             sha256(coalesce(act_name, '') || '|' || coalesce(section_number, '') || '|' || chunk_index || '|' || piece) AS chunk_id, total_chunks FROM x""",
         "bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 4) AS idf FROM terms",
-        "bm25_scores": f"{bm25(LEXICAL_TEXT)} SELECT query_id, chunk_key, round(score, 4) AS score FROM scored",
-        "bm25_topk": f"{bm25('original_query')}, every AS (SELECT q.query_id, l.chunk_key, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM every) SELECT query_id, chunk_key, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
-        "bm25_zscore_sigmoid": f"{bm25(LEXICAL_TEXT)}, every AS (SELECT q.query_id, l.chunk_key, s.score AS own, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), z AS (SELECT *, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-6::DOUBLE) AS z FROM every WINDOW w AS (PARTITION BY query_id)) SELECT query_id, chunk_key, round(z, 4) AS z, round(1 / (1 + exp(-z)), 4) AS squashed FROM z WHERE own IS NOT NULL",
-        "knn_l2": f"{knn(SQUARED, FINITE, 50)} SELECT query_id, vec_id, round(distance, 4) AS distance, round(exp(-distance), 4) AS similarity, rank FROM r WHERE rank <= 50",
-        "knn_filtered": f"{knn(SQUARED, FINITE, 20, 'AND (a.category IS NULL OR a.category = b.category)')} SELECT query_id, vec_id, round(distance, 4) AS distance, rank FROM r WHERE rank <= 20",
-        "knn_cosine": f"{knn('1 - list_cosine_similarity(a.v, b.v)', NONZERO, 10)} SELECT query_id, vec_id, round(distance, 4) AS distance, rank FROM r WHERE rank <= 10",
-        "cosine_scores": f"WITH {ROUTED} SELECT query_id, category, round(score, 4) AS score FROM cosines",
+        "bm25_scores": f"{bm25(LEXICAL_TEXT)} SELECT query_id, chunk_key, round(score, 4) + 0.0::DOUBLE AS score FROM scored",
+        "bm25_topk": f"{bm25('original_query')}, every AS (SELECT q.query_id, l.chunk_key, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM every) SELECT query_id, chunk_key, round(score, 4) + 0.0::DOUBLE AS score, rank FROM r WHERE rank <= 5",
+        "bm25_zscore_sigmoid": f"{bm25(LEXICAL_TEXT)}, every AS (SELECT q.query_id, l.chunk_key, s.score AS own, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM retrieval_queries) q CROSS JOIN lens l LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_key = l.chunk_key), z AS (SELECT *, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-6::DOUBLE) AS z FROM every WINDOW w AS (PARTITION BY query_id)) SELECT query_id, chunk_key, round(z, 4) + 0.0::DOUBLE AS z, round(1 / (1 + exp(-z)), 4) AS squashed FROM z WHERE own IS NOT NULL",
+        "knn_l2": f"{knn(SQUARED, FINITE, 50)} SELECT query_id, vec_id, round(distance, 4) + 0.0::DOUBLE AS distance, round(exp(-distance), 4) AS similarity, rank FROM r WHERE rank <= 50",
+        "knn_filtered": f"{knn(SQUARED, FINITE, 20, 'AND (a.category IS NULL OR a.category = b.category)')} SELECT query_id, vec_id, round(distance, 4) + 0.0::DOUBLE AS distance, rank FROM r WHERE rank <= 20",
+        "knn_cosine": f"{knn('1 - list_cosine_similarity(a.v, b.v)', NONZERO, 10)} SELECT query_id, vec_id, round(distance, 4) + 0.0::DOUBLE AS distance, rank FROM r WHERE rank <= 10",
+        "cosine_scores": f"WITH {ROUTED} SELECT query_id, category, round(score, 4) + 0.0::DOUBLE AS score FROM cosines",
         "vector_mix": f"WITH {PROTOTYPES}, x AS (SELECT vec_id, embedding::DOUBLE[] AS v, p FROM embeddings e JOIN protos ON category = e.label::VARCHAR), y AS (SELECT vec_id, v, list_transform(range(1, 65), lambda i: CASE WHEN vec_id % 2 = 0 THEN 0.7::DOUBLE * v[i] + 0.3::DOUBLE * p[i] ELSE 0.7::DOUBLE * v[i] END) AS m FROM x) SELECT vec_id, round({dot}, 4) AS norm2, round(list_sum(list_transform(range(1, 65), lambda i: (m[i] - v[i]) * (m[i] - v[i]))), 4) AS moved FROM y",
         "route_category": f"WITH {ROUTED} SELECT query_id, category, confidence FROM routed",
-        "route_ranked": f"WITH {ROUTED} SELECT query_id, r - 1 AS pos, category, round(score, 4) AS score FROM placed",
-        "intent_gap_topk": f"WITH {INTENTS} SELECT query_id, intent, round(score, 4) AS score, rank FROM matched",
+        "route_ranked": f"WITH {ROUTED} SELECT query_id, r - 1 AS pos, category, round(score, 4) + 0.0::DOUBLE AS score FROM placed",
+        "intent_gap_topk": f"WITH {INTENTS} SELECT query_id, intent, round(score, 4) + 0.0::DOUBLE AS score, rank FROM matched",
         "query_context": f"""WITH {INTENTS}, m AS (SELECT query_id, list(intent ORDER BY rank) AS names, flatten(list(anchors ORDER BY rank)) AS anchors, max(score) AS confidence FROM matched GROUP BY query_id)
             SELECT r.query_id, array_to_string(list_concat(['query ' || r.query_id], coalesce(list_transform(names, lambda n: replace(n, '_', ' ')), [])), ' ') AS expanded_query, coalesce(array_to_string(names, '|'), '') AS intents, r.category, round(coalesce(m.confidence, 0.0), 4) AS confidence,
             coalesce(array_to_string(list_filter(anchors, lambda a, i: list_position(anchors, a) = i), '|'), '') AS anchors FROM routed r LEFT JOIN m USING (query_id)""",
         "intent_text": "SELECT subject, array_to_string(list_concat(string_split(prototype, ', '), hindi_terms, [prototype, replace(subject, '_', ' ')]), ' ') AS intent_text FROM subject_areas",
-        "diagnostic_acts": f"WITH {CANDIDATES} SELECT query_id, result_id, act_name, round(score, 4) AS score FROM fused WHERE act_name IN (SELECT act_name FROM acts WHERE year % 2 = 0)",
+        "diagnostic_acts": f"WITH {CANDIDATES} SELECT query_id, result_id, act_name, round(score, 4) + 0.0::DOUBLE AS score FROM fused WHERE act_name IN (SELECT act_name FROM acts WHERE year % 2 = 0)",
         "fusion_features": f"WITH {CANDIDATES} SELECT result_id, title, category_bonus, anchor_bonus, round(intent_boost, 4) AS intent_boost FROM feat",
-        "fusion_score": f"WITH {CANDIDATES} SELECT result_id, round(score, 4) AS score FROM fused",
+        "fusion_score": f"WITH {CANDIDATES} SELECT result_id, round(score, 4) + 0.0::DOUBLE AS score FROM fused",
         "fusion_top20": f"WITH {CANDIDATES}, o AS (SELECT query_id, result_id, round(score, 6) AS score FROM fused), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, result_id) AS rank FROM o) SELECT query_id, result_id, score, rank FROM r WHERE rank <= 20",
-        "min_score_and_filter": f"WITH {CANDIDATES} SELECT query_id, result_id, round(score, 4) AS score FROM fused WHERE score >= 0.45 AND (asked IS NULL OR category = asked)",
+        "min_score_and_filter": f"WITH {CANDIDATES} SELECT query_id, result_id, round(score, 4) + 0.0::DOUBLE AS score FROM fused WHERE score >= 0.45 AND (asked IS NULL OR category = asked)",
         "rerank_overlap": f"""WITH {CANDIDATES}, p AS (SELECT *, list_distinct({tokens("query || '. Related legal concepts: ' || coalesce(array_to_string(intents, ' '), '')")}) AS qt,
             {tokens("coalesce(act_name, '') || ' Section ' || coalesce(section_number, '') || ' ' || coalesce(section_title, '') || '. ' || text")} AS dt FROM fused),
             s AS (SELECT *, CASE WHEN coalesce(text, '') <> '' THEN coalesce(len(list_intersect(qt, dt))::DOUBLE / nullif(len(qt), 0), 0.0) END AS rr FROM p)
