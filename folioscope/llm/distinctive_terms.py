@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,10 +42,9 @@ def _counted(rows: Iterator[pa.RecordBatch], pattern: str, min_tf: int) -> Itera
             tf = Counter(terms)
             docs.update(tf.keys())
             total.update(tf)
-            for term, c in tf.items():
-                if c >= min_tf:
-                    for o, v in zip(out, (k, term, c, len(terms))):
-                        o.append(v)
+            kept = tf if min_tf <= 1 else {term: c for term, c in tf.items() if c >= min_tf}
+            for o, v in zip(out, (repeat(k, len(kept)), kept.keys(), kept.values(), repeat(len(terms), len(kept)))):
+                o.extend(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["key", "term", "n", "m"])
         if len(docs) > KEPT_TERMS:
             yield from flush()

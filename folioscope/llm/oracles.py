@@ -9,6 +9,11 @@ LINE = rf"trim(regexp_replace(lower(regexp_replace(l, '\p{{Nd}}+', '0', 'g')), '
 AHEAD = " + ".join(f"(a.{s} IS NOT NULL AND (b.{s} IS NULL OR a.{s} > b.{s}))::INT" for s in ("semantic_score", "bm25_score", "rerank_score"))
 
 
+#: The cells of a term's two-by-two table with their row and column sums.
+CELLS = (("tf", "cf", "m"), ("cf - tf", "cf", "n - m"), ("m - tf", "n - cf", "m"), ("n - cf - m + tf", "n - cf", "n - m"))
+LOG_LIKELIHOOD = " + ".join(f"CASE WHEN {k} > 0 THEN ({k}) * ln(({k}) * n / (({a}) * ({b}))) ELSE 0 END" for k, a, b in CELLS)
+
+
 def sql() -> dict[str, str]:
     return {
         "p1_found": f"""WITH r AS (SELECT DISTINCT query_id, chunk_key, semantic_score, bm25_score, rerank_score FROM retrieval_results)
@@ -30,6 +35,12 @@ def sql() -> dict[str, str]:
             z AS (SELECT chunk_key, count(*) AS n FROM s GROUP BY chunk_key HAVING count(*) >= 60),
             b AS (SELECT x.chunk_key AS chunk_key_a, y.chunk_key AS chunk_key_b, count(*) AS shared FROM s x JOIN s y ON x.run = y.run AND x.chunk_key < y.chunk_key GROUP BY ALL)
             SELECT chunk_key_a, chunk_key_b FROM b JOIN z p ON p.chunk_key = chunk_key_a JOIN z q ON q.chunk_key = chunk_key_b WHERE shared * 10 >= 6 * (p.n + q.n - shared)""",
+        "p7_scores": f"""WITH t AS (SELECT chunk_key, term, count(*)::DOUBLE AS tf FROM (SELECT chunk_key, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS term FROM {CHUNKS}) GROUP BY ALL),
+            d AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY term),
+            r AS (SELECT chunk_key, sum(tf) AS m FROM t GROUP BY chunk_key),
+            c AS (SELECT * FROM t JOIN d USING (term) JOIN r USING (chunk_key) CROSS JOIN (SELECT sum(tf) AS n FROM t)),
+            s AS (SELECT *, 2 * ({LOG_LIKELIHOOD}) AS g FROM c)
+            SELECT chunk_key, term, tf::BIGINT AS tf, df, cf::BIGINT AS cf, CASE WHEN tf * n >= cf * m THEN g ELSE -g END AS score FROM s""",
         "p7_found": f"""WITH t AS (SELECT chunk_key, term, count(*) AS tf FROM (SELECT chunk_key, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS term FROM {CHUNKS}) GROUP BY ALL),
             d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
             SELECT chunk_key, term FROM t JOIN d USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 12""",

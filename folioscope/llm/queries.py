@@ -11,7 +11,7 @@ from . import near_duplicates as nd
 from . import distinctive_terms as dt
 from . import encoding, oracles, packing, rank_fusion, scan_noise, site_lines, splitting, subjects
 from . import similar_vectors as sv
-from .common import table
+from .common import staged, table
 
 
 SCORES = ["semantic_score", "bm25_score", "rerank_score"]
@@ -60,8 +60,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
 
 
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_key", "text", r"[a-z]{5,}")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_key", "text", r"[a-z]{5,}", min_tf=3, min_df=2, max_df=12).select("chunk_key", "term")
+    # Staged, as Spark would else drop the unread score, and with it the work, from the plan.
+    return staged(p7_scores(spark, sf_dir), "scores").where("tf >= 3 and df between 2 and 12").select("chunk_key", "term")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
