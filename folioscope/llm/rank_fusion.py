@@ -9,8 +9,9 @@ Ties share the worse rank, a missing score ranks behind all present ones. Equal
 the sum of the ranks, then by key. NaN counts as missing. Rows with a null group or key are left out; a row
 delivered again (the same group and item) counts once. An empty table gives an empty result.
 
-An exact check follows on the `shortlist` of each group: an item that is ahead of every other item of the group
-in more than half of the scores goes first, whatever its significance.
+An item that is ahead of every other item of the group in more than half of the scores goes first, whatever its
+significance. It wins each duel, so it survives any knockout of its group; the one survivor is then verified
+against all rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import broadcast_if_small, staged
 
 #: A group of more rows is not ranked in one task; its ranks come from counts by ranges of the score.
 HOT, RANGES = 100_000, 256
+#: Rows of a group that meet in one knockout, about.
+PART = 10_000
 
 
 def _worst_rank(df: DataFrame, score: str, out: str, hot: DataFrame | None) -> DataFrame:
@@ -52,7 +55,27 @@ def order_statistic(r: Column, k: int, n: int) -> Column:
     return reduce(lambda a, b: a + b, (F.lit(float(comb(n, i))) * F.pow(r, F.lit(i)) * F.pow(1 - r, F.lit(n - i)) for i in range(k, n + 1)))
 
 
-def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], shortlist: int = 3, hot_rows: int = HOT) -> DataFrame:
+def _ahead(a: list[Column], b: list[Column]) -> Column:
+    """In how many scores a is ahead of b; a missing score is behind all present ones."""
+    return reduce(lambda x, y: x + y, (F.when(p.isNotNull() & (q.isNull() | (p > q)), 1).otherwise(0) for p, q in zip(a, b)))
+
+
+def _survivors(df: DataFrame, own: list[str], part_rows: int) -> DataFrame:
+    """g, item, the scores: one survivor a group of a knockout by majority, within parts of it and then between their survivors."""
+
+    def duel(a: Column, b: Column) -> Column:
+        wins = _ahead([b[s] for s in own], [a[s] for s in own]) * 2 > len(own)
+        return F.when(a.isNull() | wins, b).otherwise(a)
+
+    def knockout(rows: DataFrame, *by: str) -> DataFrame:
+        x = rows.groupBy(*by).agg(F.collect_list("x").alias("x"))
+        return x.select(*by, F.reduce("x", F.lit(None).cast(rows.schema["x"].dataType), duel).alias("x"))
+
+    part = F.pmod(F.xxhash64("item"), F.ceil(F.col("size") / part_rows)).alias("part")
+    return knockout(knockout(df.select("g", part, F.struct("item", *own).alias("x")), "g", "part"), "g").select("g", "x.*")
+
+
+def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], hot_rows: int = HOT, part_rows: int = PART) -> DataFrame:
     """group, item, the scores, significance, majority, position: position 1 is the first of its group."""
     n = len(scores)
     own = [f"s{i}" for i in range(n)]  # names of its own, whatever the columns are called
@@ -70,14 +93,10 @@ def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], sho
     total = reduce(lambda a, b: a + b, (F.col(f"rank{i}") for i in range(n)))
     ranked = staged(ranked.select("g", "item", *own, F.least(F.lit(1.0), F.lit(float(n)) * least).alias("significance"), total.alias("total")), "significances")
 
-    # The few best of each group, first of each of its parts, so that a hot group is not sorted in one task.
-    w = Window.partitionBy("g", "part").orderBy("significance", "total", "item")
-    few = ranked.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(64))).withColumn("r", F.row_number().over(w)).where(F.col("r") <= shortlist)
-    few = few.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct("significance", "total", "item"))), 1, shortlist).alias("few"))
-    few = few.select("g", F.explode("few").alias("x")).select("g", F.col("x.item").alias("item"))
-    first = ranked.join(few, ["g", "item"]).select("g", F.col("item").alias("first"), *(F.col(s).alias(f"f{s}") for s in own))
+    survivor = _survivors(ranked.join(sizes, "g"), own, part_rows)
+    first = survivor.select("g", F.col("item").alias("first"), *(F.col(s).alias(f"f{s}") for s in own))
     duel = ranked.join(first, "g").where("item <> first")
-    ahead = reduce(lambda a, b: a + b, (F.when(F.col(f"f{s}").isNotNull() & (F.col(s).isNull() | (F.col(f"f{s}") > F.col(s))), 1).otherwise(0) for s in own))
+    ahead = _ahead([F.col(f"f{s}") for s in own], [F.col(s) for s in own])
     beaten = duel.groupBy("g", "first").agg(F.min(ahead * 2 > n).alias("majority")).where("majority").withColumnRenamed("first", "item")
     ranked = ranked.join(broadcast_if_small(staged(beaten, "majority")), ["g", "item"], "left").withColumn("majority", F.coalesce("majority", F.lit(False)))
     ranked = _positions(ranked, hot)

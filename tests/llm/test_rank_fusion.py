@@ -61,3 +61,18 @@ def test_nan_and_empty(spark):
     df = spark.createDataFrame([(1, 1, float("nan"), 1.0), (1, 2, 0.1, 2.0)], "q long, d long, a double, b double")
     assert [r.d for r in rf.aggregate_ranks(df, "q", "d", ["a", "b"]).orderBy("position").collect()] == [2, 1]
     assert rf.aggregate_ranks(df.limit(0), "q", "d", ["a", "b"]).count() == 0
+
+
+def test_majority_winner_far_down_the_significances_goes_first(spark):
+    n, m = 1000, 10
+    rows = [(1, 0, float(n), float(n), None)]  # ahead of all in two scores, the third is missing
+    rows += [(1, i, float(n - i), float(n - i), float(n - i) if i <= m else -float(i)) for i in range(1, n)]
+    rows += [(2, i, float(i), float(-i), None) for i in range(5)]  # nobody is ahead of all
+    rows += [(3, 0, None, None, None)]
+    df = spark.createDataFrame(rows, "q long, d long, a double, b double, c double")
+    for more in ({}, {"part_rows": 7}, {"part_rows": 7, "hot_rows": 20}):
+        got = rf.aggregate_ranks(df, "q", "d", ["a", "b", "c"], **more).collect()
+        by_significance = sorted((r.significance, r.d) for r in got if r.q == 1)
+        assert by_significance.index(next(x for x in by_significance if x[1] == 0)) >= 3
+        assert [r.d for r in got if r.q == 1 and r.position == 1] == [0]
+        assert {(r.q, r.d) for r in got if r.majority} == {(1, 0)}
