@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "chunk_vectors")
-    near = sv.similar_vectors(rows, "vec_id", "embedding", k=5, dim=64).where("cosine >= 0.88")
+    near = sv.similar_vectors(rows, "vec_id", "embedding", k=5, dim=64).where(F.col("cosine") >= 0.9 - sv.bound(64))
     return sv.exact(near, rows, "vec_id", "embedding").where("cosine >= 0.9").select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
 
 
