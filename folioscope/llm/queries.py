@@ -25,6 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_ranking(spark, sf_dir).where("position = 1").select("query_id", "chunk_key")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = sv.similar_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding", k=5, dim=64)
+    return near.select(F.col("id_a").alias("vec_id"), F.col("id_b").alias("near_vec_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "chunk_vectors")
     near = sv.similar_vectors(rows, "vec_id", "embedding", k=5, dim=64).where(F.col("cosine") >= 0.9 - sv.bound(64))
@@ -55,6 +60,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_repaired(spark, sf_dir).select("section_key", F.explode("noise").alias("x")).select("section_key", "x.line_no", "x.kind")
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
+    return nd.groups(pairs, members).toDF("chunk_key", "class_id", "links")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
     return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
