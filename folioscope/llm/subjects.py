@@ -3,7 +3,8 @@
 Documents that share a distinctive phrase are alike in what they are about; instead of an edge for each such pair,
 the graph has the phrase as a hub, linked to each of its documents. A phrase (a word or two adjacent words) is
 distinctive, and its links are verified, if the lower bound of the share of one subject among its labelled
-documents is high enough. Labels go from documents to phrases and back, by joins, `rounds` times:
+documents is high enough. The phrases are chosen once, from the labels given. Labels go from documents to phrases, by
+a groupBy, and back, by broadcast weights, `rounds` times:
 
 * a phrase's distribution over the subjects is that of its documents, known so far;
 * a sentence deals with the subject for which its phrases speak most, if they speak clearly; a document's shares
