@@ -14,8 +14,22 @@ CELLS = (("tf", "cf", "m"), ("cf - tf", "cf", "n - m"), ("m - tf", "n - cf", "m"
 LOG_LIKELIHOOD = " + ".join(f"CASE WHEN {k} > 0 THEN ({k}) * ln(({k}) * n / (({a}) * ({b}))) ELSE 0 END" for k, a, b in CELLS)
 
 
+def ranking() -> str:
+    """Robust rank aggregation of three scores: worst ranks of ties, the least beta order statistic, corrected."""
+    scores = ("semantic_score", "bm25_score", "rerank_score")
+    ranks = ", ".join(f"count(*) OVER (PARTITION BY query_id ORDER BY {s} DESC NULLS LAST RANGE UNBOUNDED PRECEDING) AS k{i}" for i, s in enumerate(scores))
+    r = "list_sort([k0 / n, k1 / n, k2 / n])"
+    tails = "3 * r[1] * (1 - r[1]) ** 2 + 3 * r[1] ** 2 * (1 - r[1]) + r[1] ** 3", "3 * r[2] ** 2 * (1 - r[2]) + r[2] ** 3", "r[3] ** 3"
+    return f"""WITH d AS (SELECT query_id, chunk_key, {", ".join(f"max({s}) AS {s}" for s in scores)} FROM retrieval_results GROUP BY query_id, chunk_key),
+            k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, {ranks} FROM d), s AS (SELECT *, {r} AS r FROM k),
+            p AS (SELECT *, least(1.0, 3 * least({", ".join(tails)})) AS significance FROM s)
+            SELECT query_id, chunk_key, {", ".join(scores)}, round(significance, 9) AS significance,
+              row_number() OVER (PARTITION BY query_id ORDER BY significance, k0 + k1 + k2, chunk_key) AS position FROM p"""
+
+
 def sql() -> dict[str, str]:
     return {
+        "p1_ranking": ranking(),
         "p1_found": f"""WITH r AS (SELECT DISTINCT query_id, chunk_key, semantic_score, bm25_score, rerank_score FROM retrieval_results)
             SELECT a.query_id, a.chunk_key FROM r a JOIN r b ON a.query_id = b.query_id AND a.chunk_key <> b.chunk_key GROUP BY ALL HAVING min({AHEAD}) >= 2""",
         "p2_found": """WITH v AS MATERIALIZED (SELECT vec_id, e / sqrt(n) AS scale, v FROM (SELECT vec_id, v, 1.0::DOUBLE AS e, list_sum(list_transform(v, lambda x: x * x)) AS n FROM

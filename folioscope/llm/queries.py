@@ -18,7 +18,8 @@ SCORES = ["semantic_score", "bm25_score", "rerank_score"]
 
 
 def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_fusion.aggregate_ranks(table(spark, sf_dir, "retrieval_results"), "query_id", "chunk_key", SCORES)
+    rows = rank_fusion.aggregate_ranks(table(spark, sf_dir, "retrieval_results"), "query_id", "chunk_key", SCORES)
+    return rows.withColumn("significance", F.round("significance", 9))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

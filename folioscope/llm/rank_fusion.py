@@ -9,9 +9,8 @@ Ties share the worse rank, a missing score ranks behind all present ones. Equal
 the sum of the ranks, then by key. NaN counts as missing. Rows with a null group or key are left out; a row
 delivered again (the same group and item) counts once. An empty table gives an empty result.
 
-An item that is ahead of every other item of the group in more than half of the scores goes first, whatever its
-significance. It wins each duel, so it survives any knockout of its group; the one survivor is then verified
-against all rows.
+A group of more than `hot_rows` rows never meets in one task: its ranks come from counts by ranges of the score, its
+positions from ranges of the whole order, each with the number of rows before it.
 """
 
 from __future__ import annotations
@@ -24,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, staged
 
-#: A group of more rows is not ranked in one task; its ranks come from counts by ranges of the score.
+#: A group of more rows is not ranked in one task.
 HOT, RANGES = 100_000, 256
-#: Rows of a group that meet in one knockout, about.
-PART = 10_000
+
+
+def _split(df: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the plain groups and those of the hot ones."""
+    hot = broadcast_if_small(hot)
+    return df.join(hot, "g", "left_anti"), df.join(hot, "g", "left_semi")
 
 
 def _worst_rank(df: DataFrame, score: str, out: str, hot: DataFrame | None) -> DataFrame:
@@ -35,19 +38,20 @@ def _worst_rank(df: DataFrame, score: str, out: str, hot: DataFrame | None) -> D
     w = Window.partitionBy("g").orderBy(F.desc_nulls_last(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     if hot is None:
         return df.withColumn(out, F.count(F.lit(1)).over(w))
-    plain = df.join(F.broadcast(hot), "g", "left_anti").withColumn(out, F.count(F.lit(1)).over(w))
-    big = df.join(F.broadcast(hot), "g", "left_semi")
+    plain, big = _split(df, hot)
+    plain = plain.withColumn(out, F.count(F.lit(1)).over(w))
     cuts = big.groupBy("g").agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    ahead = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c >= F.col(score)))
-    part = big.join(F.broadcast(cuts), "g").withColumn("range", F.when(F.col(score).isNull(), RANGES).otherwise(ahead))
-    per = part.groupBy("g", "range", score).agg(F.count("*").alias("n"))
+    cuts = broadcast_if_small(staged(cuts, "cuts"), 10_000)
+    per = big.where(F.col(score).isNotNull()).groupBy("g", score).agg(F.count("*").alias("n")).join(cuts, "g")
+    per = staged(per.withColumn("range", F.size(F.filter("cuts", lambda c: c >= F.col(score)))).drop("cuts"), "values")
     before = per.groupBy("g", "range").agg(F.sum("n").alias("n"))
     before = before.select("g", "range", (F.sum("n").over(Window.partitionBy("g").orderBy("range")) - F.col("n")).alias("before"))
-    inner = Window.partitionBy("g", "range").orderBy(F.desc_nulls_last(score))
-    place = per.withColumn("n", F.sum("n").over(inner)).join(F.broadcast(before), ["g", "range"])
-    place = place.select(F.col("g").alias("_g"), F.col(score).alias("_s"), (F.col("n") + F.col("before")).alias(out))
-    big = big.join(place, (F.col("g") == F.col("_g")) & F.col(score).eqNullSafe(F.col("_s")), "left").drop("_g", "_s")
-    return plain.unionByName(big)
+    inner = Window.partitionBy("g", "range").orderBy(F.desc(score))
+    place = per.withColumn("n", F.sum("n").over(inner)).join(broadcast_if_small(staged(before, "ranges")), ["g", "range"])
+    place = place.select("g", score, (F.col("n") + F.col("before")).alias(out))
+    known = big.where(F.col(score).isNotNull()).join(place, ["g", score])
+    missing = big.where(F.col(score).isNull()).withColumn(out, F.col("size"))
+    return plain.unionByName(known).unionByName(missing)
 
 
 def order_statistic(r: Column, k: int, n: int) -> Column:
@@ -55,62 +59,39 @@ def order_statistic(r: Column, k: int, n: int) -> Column:
     return reduce(lambda a, b: a + b, (F.lit(float(comb(n, i))) * F.pow(r, F.lit(i)) * F.pow(1 - r, F.lit(n - i)) for i in range(k, n + 1)))
 
 
-def _ahead(a: list[Column], b: list[Column]) -> Column:
-    """In how many scores a is ahead of b; a missing score is behind all present ones."""
-    return reduce(lambda x, y: x + y, (F.when(p.isNotNull() & (q.isNull() | (p > q)), 1).otherwise(0) for p, q in zip(a, b)))
-
-
-def _survivors(df: DataFrame, own: list[str], part_rows: int) -> DataFrame:
-    """g, item, the scores: one survivor a group of a knockout by majority, within parts of it and then between their survivors."""
-
-    def duel(a: Column, b: Column) -> Column:
-        wins = _ahead([b[s] for s in own], [a[s] for s in own]) * 2 > len(own)
-        return F.when(a.isNull() | wins, b).otherwise(a)
-
-    def knockout(rows: DataFrame, *by: str) -> DataFrame:
-        x = rows.groupBy(*by).agg(F.collect_list("x").alias("x"))
-        return x.select(*by, F.reduce("x", F.lit(None).cast(rows.schema["x"].dataType), duel).alias("x"))
-
-    part = F.pmod(F.xxhash64("item"), F.ceil(F.col("size") / part_rows)).alias("part")
-    return knockout(knockout(df.select("g", part, F.struct("item", *own).alias("x")), "g", "part"), "g").select("g", "x.*")
-
-
-def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], hot_rows: int = HOT, part_rows: int = PART) -> DataFrame:
-    """group, item, the scores, significance, majority, position: position 1 is the first of its group."""
+def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], hot_rows: int = HOT) -> DataFrame:
+    """group, item, the scores, significance, position: position 1 is the first of its group."""
     n = len(scores)
     own = [f"s{i}" for i in range(n)]  # names of its own, whatever the columns are called
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), *(F.col(c).cast("double").alias(s) for c, s in zip(scores, own)))
     rows = rows.select("g", "item", *(F.when(~F.isnan(s), F.col(s)).alias(s) for s in own)).where("g is not null and item is not null")
     rows = staged(rows.groupBy("g", "item").agg(*(F.max(s).alias(s) for s in own)), "scores")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
-    hot = staged(sizes.where(F.col("size") > hot_rows).select("g"), "hot")  # at most one in hot_rows rows
+    sizes = staged(rows.groupBy("g").agg(F.count("*").alias("size")), "sizes")
+    hot = sizes.where(F.col("size") > hot_rows).select("g")  # at most one in hot_rows rows
     hot = hot if hot.limit(1).count() else None
-    ranked = rows
+    ranked = rows.join(broadcast_if_small(sizes), "g")
     for i, s in enumerate(own):
         ranked = _worst_rank(ranked, s, f"rank{i}", hot)
-    ranked = ranked.join(sizes, "g").withColumn("r", F.array_sort(F.array(*(F.col(f"rank{i}") / F.col("size") for i in range(n)))))
+    ranked = ranked.withColumn("r", F.array_sort(F.array(*(F.col(f"rank{i}") / F.col("size") for i in range(n)))))
     least = F.array_min(F.array(*(order_statistic(F.col("r")[k - 1], k, n) for k in range(1, n + 1))))
     total = reduce(lambda a, b: a + b, (F.col(f"rank{i}") for i in range(n)))
-    ranked = staged(ranked.select("g", "item", *own, F.least(F.lit(1.0), F.lit(float(n)) * least).alias("significance"), total.alias("total")), "significances")
-
-    survivor = _survivors(ranked.join(sizes, "g"), own, part_rows)
-    first = survivor.select("g", F.col("item").alias("first"), *(F.col(s).alias(f"f{s}") for s in own))
-    duel = ranked.join(first, "g").where("item <> first")
-    ahead = _ahead([F.col(f"f{s}") for s in own], [F.col(s) for s in own])
-    beaten = duel.groupBy("g", "first").agg(F.min(ahead * 2 > n).alias("majority")).where("majority").withColumnRenamed("first", "item")
-    ranked = ranked.join(broadcast_if_small(staged(beaten, "majority")), ["g", "item"], "left").withColumn("majority", F.coalesce("majority", F.lit(False)))
+    ranked = ranked.select("g", "item", *own, F.least(F.lit(1.0), F.lit(float(n)) * least).alias("significance"), total.alias("total"))
     ranked = _positions(ranked, hot)
-    return ranked.select(F.col("g").alias(group), F.col("item").alias(item), *(F.col(s).alias(c) for c, s in zip(scores, own)), "significance", "majority", "position")
+    return ranked.select(F.col("g").alias(group), F.col("item").alias(item), *(F.col(s).alias(c) for c, s in zip(scores, own)), "significance", "position")
 
 
 def _positions(df: DataFrame, hot: DataFrame | None) -> DataFrame:
-    w = Window.partitionBy("g").orderBy(F.desc("majority"), "significance", "total", "item")
+    w = Window.partitionBy("g").orderBy("significance", "total", "item")
     if hot is None:
         return df.withColumn("position", F.row_number().over(w).cast("long"))
-    plain = df.join(F.broadcast(hot), "g", "left_anti").withColumn("position", F.row_number().over(w).cast("long"))
-    # A hot group is ordered by ranges of the significance, and equal ones of it further by the sum of ranks.
-    big = df.join(F.broadcast(hot), "g", "left_semi").withColumn("s", -(F.when(F.col("majority"), -1.0).otherwise(F.col("significance"))))
-    big = _worst_rank(big, "s", "upto", hot)
-    inner = Window.partitionBy("g", "upto").orderBy("total", "item")
-    big = big.withColumn("position", F.col("upto") - F.count(F.lit(1)).over(Window.partitionBy("g", "upto")) + F.row_number().over(inner)).drop("s", "upto")
-    return plain.unionByName(big)
+    plain, big = _split(staged(df, "significances"), hot)
+    plain = plain.withColumn("position", F.row_number().over(w).cast("long"))
+    # Ranges of the whole order, the item's key included, so that no tie is too large for a task.
+    order = ["g", "significance", "total", "item"]
+    big = big.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    big = big.withColumns({"_part": F.shiftrightunsigned("_m", 33), "_at": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m")
+    big = staged(big, "ordered")
+    per = big.groupBy("_part", "g").agg(F.count("*").alias("n"), F.min("_at").alias("_lo"))
+    per = per.select("_part", "g", "_lo", (F.sum("n").over(Window.partitionBy("g").orderBy("_part")) - F.col("n")).alias("_before"))
+    big = big.join(broadcast_if_small(staged(per, "ranges")), ["_part", "g"])
+    return plain.unionByName(big.withColumn("position", F.col("_before") + F.col("_at") - F.col("_lo") + 1).drop("_part", "_at", "_lo", "_before"))
