@@ -14,6 +14,16 @@ CELLS = (("tf", "cf", "m"), ("cf - tf", "cf", "n - m"), ("m - tf", "n - cf", "m"
 LOG_LIKELIHOOD = " + ".join(f"CASE WHEN {k} > 0 THEN ({k}) * ln(({k}) * n / (({a}) * ({b}))) ELSE 0 END" for k, a, b in CELLS)
 
 
+def repeated() -> str:
+    """f: each occurrence of a line that is repeated in its source."""
+    return f"""WITH c AS (SELECT * FROM {CHUNKS} WHERE source IS NOT NULL),
+            l AS (SELECT chunk_key, source, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS l FROM (SELECT *, string_split(text, chr(10)) AS ls FROM c WHERE text IS NOT NULL)),
+            n AS (SELECT chunk_key, source, line_no, {LINE} AS line FROM l WHERE line_no > 1),
+            k AS (SELECT source, line, count(DISTINCT chunk_key) AS docs FROM n WHERE line <> '' GROUP BY ALL),
+            s AS (SELECT source, count(*) AS total FROM c GROUP BY source),
+            f AS (SELECT chunk_key, line_no FROM n JOIN k USING (source, line) JOIN s USING (source) WHERE docs >= 10 AND docs * 10 >= total)"""
+
+
 def ranking() -> str:
     """Robust rank aggregation of three scores: worst ranks of ties, the least beta order statistic, corrected."""
     scores = ("semantic_score", "bm25_score", "rerank_score")
@@ -37,12 +47,11 @@ def sql() -> dict[str, str]:
             c AS (SELECT a.vec_id AS x, b.vec_id AS y, list_dot_product(a.v, b.v) * a.scale * b.scale AS cos FROM v a JOIN v b ON a.vec_id <> b.vec_id),
             t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(cos, 9) DESC, y) AS r FROM c) WHERE r <= 5)
             SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM t WHERE cos >= 0.9""",
-        "p3_found": f"""WITH c AS (SELECT * FROM {CHUNKS} WHERE source IS NOT NULL),
-            l AS (SELECT chunk_key, source, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS l FROM (SELECT *, string_split(text, chr(10)) AS ls FROM c WHERE text IS NOT NULL)),
-            n AS (SELECT chunk_key, source, line_no, {LINE} AS line FROM l WHERE line_no > 1),
-            k AS (SELECT source, line, count(DISTINCT chunk_key) AS docs FROM n WHERE line <> '' GROUP BY ALL),
-            s AS (SELECT source, count(*) AS total FROM c GROUP BY source)
-            SELECT chunk_key, line_no::INT AS line_no FROM n JOIN k USING (source, line) JOIN s USING (source) WHERE docs >= 10 AND docs * 10 >= total""",
+        "p3_found": f"{repeated()} SELECT chunk_key, line_no::INT AS line_no FROM f",
+        "p3_cleaned": f"""{repeated()}, g AS (SELECT chunk_key, list(line_no ORDER BY line_no) AS nos FROM f GROUP BY chunk_key)
+            SELECT chunk_key, array_to_string(nos, ',') AS removed_lines,
+              CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda l, i: NOT list_contains(nos, i)), chr(10)) END AS text
+            FROM chunks LEFT JOIN g USING (chunk_key)""",
         "p4_found": f"SELECT chunk_key FROM {CHUNKS} WHERE length(text) > 1200",
         "p6_found": rf"""WITH w AS (SELECT chunk_key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {CHUNKS}),
             s AS MATERIALIZED (SELECT DISTINCT chunk_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT chunk_key, w, unnest(range(1, len(w) - 1)) AS i FROM w)),

@@ -41,7 +41,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_lines.without_repeated(table(spark, sf_dir, "chunks").select("chunk_key", "source", "text"), "chunk_key", "source", "text", least=10, share=0.1)
+    rows = site_lines.without_repeated(table(spark, sf_dir, "chunks").select("chunk_key", "source", "text"), "chunk_key", "source", "text", least=10, share=0.1)
+    return rows.select("chunk_key", "text", F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,101 +5,141 @@ white space (leading and trailing counts for nothing, any run is one space) or i
 digits equals any other). A line is repeated if it stands in at least `least` documents of its source and in at
 least the share `share` of them; documents with null or empty text count among these. Line 1 (a heading) and
 blank lines are never removed. Rows with a null source or key are left out of the counts and kept as they are.
-A row delivered again counts once.
-
-First pass: Misra-Gries summaries of each source, or of each part of a large source, as mergeable as their
-counters: batches are added, and where a summary grows too large the counter in its middle is subtracted from
-all. A line's counter and what was subtracted together are at least its true count, and a repeated line's share in
-at least one part of its source is at least its share in the whole; so it is a candidate of that part, however the
-source is dealt. What was subtracted stays below half of that share, so nothing is a candidate for that alone. Second pass: exact counts of
-the candidates over all documents. The confirmed lines are removed with a broadcast set, where it is small.
+A row delivered again counts once; of a key that comes with several texts each text's lines count for it.
+
+First pass: every task keeps a Misra-Gries summary of each source it meets, over hashes of the lines. Summaries merge:
+counters of equal lines add up, and so does what each may have lost; a batch's own counts are a summary that is merged
+into the task's, and the tasks' are merged by a groupBy. So no text is shuffled, a large source needs no task of
+its own, and a task whose counters grow too many hands them on and starts anew. A line's counter and what was lost
+are together at least its true count, so every repeated line is a candidate. Second pass: exact counts of the
+candidates over all documents. The confirmed lines are removed with broadcast sets, one a source: a document holds
+only so many lines, so at most 1 / `share` as many are repeated in its source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, staged
 
-PART = 50_000  # documents of a source in one summary, about
-CAPACITY = 512
+#: Counters of a summary below which it loses nothing, and counters of all summaries of a task.
+CAPACITY, HELD = 512, 1_000_000
 
 
-def normal_text(text: Column) -> Column:
-    """The whole text with its lines in the form in which they are compared, but for blanks at their ends."""
-    return F.regexp_replace(F.lower(F.regexp_replace(text, r"\p{Nd}+", "0")), r"(?U)[^\S\n ][^\S\n]*|  +", " ")
+def lines_of(text: Column) -> Column:
+    """The lines in the form in which they are compared."""
+    digits = F.lower(F.regexp_replace(text, r"\p{Nd}+", "0"))
+    return F.transform(F.split(F.regexp_replace(digits, r"(?U)[^\S\n]{2,}|[^\S\n ]", " "), "\n"), lambda x: F.trim(x))
 
 
-def lines_of(normal: Column) -> Column:
-    return F.transform(F.split(normal, "\n"), lambda x: F.trim(F.regexp_replace(x, "  +", " ")))
+class Summary:
+    """A Misra-Gries summary of a source's lines: no counter is further below the true count than `lost`."""
 
+    __slots__ = ("line", "count", "docs", "lost")
 
-class Summary:
-    """A Misra-Gries summary whose counters are never further below the true counts than `lost`."""
+    def __init__(self, line: np.ndarray, count: np.ndarray, docs: int, lost: int = 0) -> None:
+        self.line, self.count, self.docs, self.lost = line, count, docs, lost
 
-    def __init__(self) -> None:
-        self.count: dict[str, int] = {}
-        self.docs = self.lines = self.lost = 0
+    def merge(self, other: Summary, share: float) -> None:
+        """Adds the counters and the losses; if there are too many counters, the one in the middle is subtracted from all."""
+        line, at = np.unique(np.concatenate([self.line, other.line]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([self.count, other.count])).astype(np.int64)
+        self.line, self.count, self.docs, self.lost = line, count, self.docs + other.docs, self.lost + other.lost
+        if len(line) > max(CAPACITY, 2 * int(other.count.sum() / max(1, other.docs) / share)):
+            # No more is lost than a quarter of what makes a line repeated, so that alone makes no candidate.
+            self.drop(min(int(np.median(count)), int(share * self.docs / 4) - self.lost))
 
-    def add(self, lines: list[str], share: float) -> None:
-        count = self.count
-        self.docs += 1
-        self.lines += len(lines)
-        for x in lines:
-            count[x] = count.get(x, 0) + 1
-        if len(count) > max(CAPACITY, 8 / share * self.lines / self.docs):
-            middle = sorted(count.values(), reverse=True)[len(count) // 2]
-            # Subtracted in all is at most 2 * lines / size of the summary, hence at most share / 4 of the documents.
-            self.count = {x: c - middle for x, c in count.items() if c > middle}
-            self.lost += middle
+    def drop(self, n: int) -> None:
+        if n > 0:
+            kept = self.count > n
+            self.line, self.count, self.lost = self.line[kept], self.count[kept] - n, self.lost + n
 
 
 def _summaries(rows: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, int], Summary] = {}
+    """source, line (a hash), n: the counters of each source, and, without a line, what they may have lost."""
+    held: dict[str, Summary] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for s in held.values():
+            s.drop(int(share * s.docs / 4) - s.lost)
+        names = pa.array(list(held), pa.string())
+        sizes = [len(s.line) for s in held.values()]
+        if held:
+            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(held), pa.int64()), pa.array([s.lost for s in held.values()], pa.int64())], names=["source", "line", "n"])
+            of = names.take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            yield pa.RecordBatch.from_arrays([of, pa.array(np.concatenate([s.line for s in held.values()])), pa.array(np.concatenate([s.count for s in held.values()]))], names=["source", "line", "n"])
+        held.clear()
+
     for b in rows:
-        col = b.column("lines")
-        for source, part, lines in zip(b.column("source").to_pylist(), b.column("part").to_pylist(), col.to_pylist()):
-            s = held.get((source, part))
-            if s is None:
-                s = held[source, part] = Summary()
-            s.add(lines or [], share)
-    out: list[tuple[str, str]] = []
-    for (source, _), s in held.items():
-        out += [(source, x) for x, c in s.count.items() if c + s.lost >= s.docs * share - 1e-9]
-    for lo in range(0, len(out), 50_000):
-        a, b = zip(*out[lo : lo + 50_000])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["source", "line"])
-
-
-def repeated_lines(df: DataFrame, key: str, source: str, text: str, least: int = 10, share: float = 0.1, part: int = PART) -> DataFrame:
-    """key, source, line_no, line (as compared), docs: each occurrence of a repeated line."""
-    rows = df.where(F.col(source).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    large = staged(rows.groupBy("source").count().where(F.col("count") > part).select("source", F.ceil(F.col("count") / part).cast("int").alias("parts")), "large")
-    rows = rows.join(broadcast_if_small(large), "source", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).repartition("source", "part")
-    rows = rows.groupBy("source", "part", "key").agg(F.min("text").alias("text"))
-    rows = staged(rows.select("key", "source", "part", normal_text(F.col("text")).alias("normal")), "lines")
-
-    found = F.array_distinct(F.filter(F.slice(lines_of(F.col("normal")), 2, 2_000_000_000), lambda x: x != ""))
-    parts = rows.select("source", "part", found.alias("lines"))
-    candidates = staged(parts.mapInArrow(lambda it: _summaries(it, share), "source string, line string").distinct(), "candidates")
-    lines = rows.select("key", "source", F.posexplode(lines_of(F.col("normal")))).select("key", "source", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line")).where("line_no > 1 and line <> ''")
-    hits = staged(lines.join(broadcast_if_small(candidates, 50_000), ["source", "line"]), "hits")
-    docs = rows.groupBy("source").agg(F.count("*").alias("all_docs"))
+        coded = b.column("source").dictionary_encode()
+        doc, col = coded.indices.to_numpy(), b.column("lines")
+        source, line = doc[pc.list_parent_indices(col).to_numpy()], col.flatten().to_numpy()
+        order = np.lexsort((line, source))
+        source, line = source[order], line[order]
+        edge = np.flatnonzero(np.concatenate([[True], (source[1:] != source[:-1]) | (line[1:] != line[:-1])])) if len(line) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(line)))
+        source, line = source[edge], line[edge]
+        docs = np.bincount(doc, minlength=len(coded.dictionary))
+        cut = np.searchsorted(source, np.arange(len(docs) + 1))
+        for i, name in enumerate(coded.dictionary.to_pylist()):
+            new = Summary(line[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]].astype(np.int64), int(docs[i]))
+            old = held.get(name)
+            if old is None:
+                held[name] = new
+                size += len(new.line)
+            else:
+                size -= len(old.line)
+                old.merge(new, share)
+                size += len(old.line)
+        if size + len(held) > HELD:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def _rows(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    rows = df.where(F.col(source).isNotNull() & F.col(key).isNotNull())
+    return rows.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+
+
+def _confirmed(rows: DataFrame, least: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(hits, confirmed): the occurrences of candidates (key, source, line_no, line), and of these the repeated (source, line, docs)."""
+    docs = staged(rows.select("source", "key").distinct().groupBy("source").agg(F.count("*").alias("all_docs")), "sources")
+    hashed = F.transform(F.filter(F.slice(lines_of(F.col("text")), 2, 2_000_000_000), lambda x: x != ""), lambda x: F.xxhash64(x))
+    found = rows.select("source", F.coalesce(F.array_distinct(hashed), F.array().cast("array<long>")).alias("lines"))
+    merged = found.mapInArrow(lambda it: _summaries(it, share), "source string, line long, n long").groupBy("source", "line").agg(F.sum("n").alias("n"))
+    merged = staged(merged, "summaries")
+    lost = merged.where("line is null").select("source", F.col("n").alias("lost"))
+    bar = broadcast_if_small(docs.where(F.col("all_docs") >= least).join(lost, "source"))
+    known = merged.where("line is not null").join(bar, "source").where((F.col("n") + F.col("lost") >= least) & (F.col("n") + F.col("lost") >= share * F.col("all_docs") - 1e-9))
+    candidates = staged(known.select("source", F.col("line").alias("h")), "candidates")
+    lines = rows.select("key", "source", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where("pos > 0 and line <> ''")
+    lines = lines.select("key", "source", (F.col("pos") + 1).alias("line_no"), "line", F.xxhash64("line").alias("h"))
+    hits = staged(lines.join(broadcast_if_small(candidates), ["source", "h"], "left_semi").drop("h").distinct(), "hits")
     counts = hits.groupBy("source", "line").agg(F.count_distinct("key").alias("docs"))
-    confirmed = counts.join(docs, "source").where((F.col("docs") >= least) & (F.col("docs") >= share * F.col("all_docs"))).drop("all_docs")
-    confirmed = broadcast_if_small(staged(confirmed, "confirmed"), 50_000)
-    return hits.join(confirmed, ["source", "line"]).select(F.col("key").alias(key), F.col("source"), "line_no", "line", "docs")
+    confirmed = counts.join(broadcast_if_small(docs), "source").where((F.col("docs") >= least) & (F.col("docs") >= share * F.col("all_docs"))).drop("all_docs")
+    return hits, staged(confirmed, "confirmed")
+
+
+def repeated_lines(df: DataFrame, key: str, source: str, text: str, least: int = 10, share: float = 0.1) -> DataFrame:
+    """key, source, line_no, line (as compared), docs: each occurrence of a repeated line."""
+    hits, confirmed = _confirmed(_rows(df, key, source, text), least, share)
+    return hits.join(broadcast_if_small(confirmed), ["source", "line"]).select(F.col("key").alias(key), F.col("source"), "line_no", "line", "docs")
 
 
 def without_repeated(df: DataFrame, key: str, source: str, text: str, least: int = 10, share: float = 0.1) -> DataFrame:
-    """The rows of df, with the repeated lines gone from the text and `removed_lines`, the numbers of those."""
-    found = repeated_lines(df, key, source, text, least, share)
-    numbers = broadcast_if_small(staged(found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "numbers"), 20_000)
-    rows = df.drop("removed_lines").join(numbers, F.col(key) == F.col("_key"), "left").drop("_key")
+    """The rows of df, with the repeated lines gone from the text and `removed_lines`, the numbers of those (null for none)."""
+    confirmed = _confirmed(_rows(df, key, source, text), least, share)[1]
+    sets = confirmed.groupBy(F.col("source").alias("_source")).agg(F.collect_set("line").alias("_set"))
+    rows = df.drop("removed_lines").join(broadcast_if_small(staged(sets, "sets"), 20_000), F.col(source).cast("string") == F.col("_source"), "left")
+    numbers = F.filter(F.transform(lines_of(F.col(text)), lambda x, i: F.when((i > 0) & F.array_contains("_set", x), i + 1)), lambda x: x.isNotNull())
+    rows = rows.withColumn("removed_lines", F.when(F.col(key).isNotNull() & F.col("_set").isNotNull() & (F.size(numbers) > 0), numbers)).drop("_source", "_set")
     kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed_lines", i + 1))
     return rows.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from folioscope.llm import site_lines as sl
 
 
@@ -39,9 +42,24 @@ def data(seed=0):
 def test_matches_brute_force(spark):
     rows = data()
     df = spark.createDataFrame(rows + rows[:20], "k long, src string, body string").selectExpr("*", "1 as key", "'z' as source", "'y' as line", "7 as parts")
-    for part in (50_000, 30):
-        got = [(r.k, r.line_no) for r in sl.repeated_lines(df, "k", "src", "body", 10, 0.1, part).collect()]
-        assert len(got) == len(set(got)) and set(got) == brute(rows, 10, 0.1)
+    got = [(r.k, r.line_no) for r in sl.repeated_lines(df, "k", "src", "body", 10, 0.1).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 10, 0.1)
+
+
+def test_small_summaries_and_early_flushes_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sl, "CAPACITY", 8)
+    monkeypatch.setattr(sl, "HELD", 60)
+    rows = data(3)
+    parts = [list(sl._summaries(iter([b]), 0.1)) for b in batches(rows)]
+    assert len(parts) > 3
+    df = spark.createDataFrame(rows, "k long, src string, body string").repartition(7)
+    assert {(r.k, r.line_no) for r in sl.repeated_lines(df, "k", "src", "body", 10, 0.1).collect()} == brute(rows, 10, 0.1)
+
+
+def batches(rows):
+    for lo in range(0, len(rows), 50):
+        some = [(s, [hash(x) for x in (t or "").split("\n")]) for _, s, t in rows[lo : lo + 50] if s]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in some]), pa.array([x for _, x in some], pa.list_(pa.int64()))], names=["source", "lines"])
 
 
 def test_removed(spark):
@@ -53,16 +71,24 @@ def test_removed(spark):
         assert got[k] == (t if t is None else "\n".join(x for i, x in enumerate(t.split("\n"), 1) if (k, i) not in found))
 
 
-def test_summary_never_undercounts_by_more_than_it_says():
+def test_merged_summaries_never_undercount_by_more_than_they_say():
     r = random.Random(2)
-    s, true = sl.Summary(), {}
-    for i in range(4000):
-        lines = list({"common" if r.random() < 0.15 else f"x{i}", f"y{r.randrange(3000)}", f"z{i}"})
-        for x in lines:
-            true[x] = true.get(x, 0) + 1
-        s.add(lines, 0.1)
-    assert len(s.count) <= 1000 and s.lost <= 0.05 * s.docs
-    assert all(s.count.get(x, 0) <= c <= s.count.get(x, 0) + s.lost for x, c in true.items())
+    true, parts = {}, []
+    for p in range(8):
+        s = sl.Summary(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+        for i in range(500):
+            lines = sorted({1 if r.random() < 0.15 else 10_000 + 500 * p + i, 100 + r.randrange(3000), -500 * p - i - 1})
+            for x in lines:
+                true[x] = true.get(x, 0) + 1
+            s.merge(sl.Summary(np.array(lines), np.ones(len(lines), np.int64), 1), 0.1)
+        parts.append(s)
+    for order in (parts, parts[::-1]):
+        whole = sl.Summary(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+        for s in order:
+            whole.merge(s, 0.1)
+        got = dict(zip(whole.line.tolist(), whole.count.tolist()))
+        assert whole.docs == 4000 and len(got) < 0.7 * len(true) and whole.lost <= 0.1 * whole.docs / 4
+        assert all(got.get(x, 0) <= c <= got.get(x, 0) + whole.lost for x, c in true.items())
 
 
 def test_empty(spark):
