@@ -9,47 +9,11 @@ Nulls and empty texts have no terms. A record delivered again counts once. All c
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, once, staged
 
-KEPT_TERMS = 500_000
-
-
-def _counted(rows: Iterator[pa.RecordBatch], pattern: str, min_tf: int) -> Iterator[pa.RecordBatch]:
-    """(key, term, tf, terms of the record) where tf >= min_tf; and, with a null key, (term, records, count) of the task."""
-    find = re.compile(pattern).findall
-    docs: Counter[str] = Counter()
-    total: Counter[str] = Counter()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), pa.int64()), pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64()), pa.array([total[t] for t in docs], pa.int64())], names=["key", "term", "n", "m"])
-            docs.clear()
-            total.clear()
-
-    for b in rows:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            terms = find(t.lower())
-            tf = Counter(terms)
-            docs.update(tf.keys())
-            total.update(tf)
-            kept = tf if min_tf <= 1 else {term: c for term, c in tf.items() if c >= min_tf}
-            for o, v in zip(out, (repeat(k, len(kept)), kept.keys(), kept.values(), repeat(len(terms), len(kept)))):
-                o.extend(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["key", "term", "n", "m"])
-        if len(docs) > KEPT_TERMS:
-            yield from flush()
-    yield from flush()
-
 
 def log_likelihood(tf: Column, cf: Column, m: Column, n: Column) -> Column:
     rows = ((tf, cf, m), (cf - tf, cf, n - m), (m - tf, n - cf, m), (n - cf - m + tf, n - cf, n - m))
@@ -60,12 +24,14 @@ def log_likelihood(tf: Column, cf: Column, m: Column, n: Column) -> Column:
 def distinctive_terms(df: DataFrame, key: str, text: str, pattern: str = r"[a-z]{5,}", min_tf: int = 1, min_df: int = 1, max_df: int | None = None) -> DataFrame:
     """key, term, tf, df, cf, score of the terms a record uses at least min_tf times and min_df to max_df records use."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = once(rows, "key", "text").select("key", "text")
-    counted = staged(rows.mapInArrow(lambda it: _counted(it, pattern, min_tf), "key long, term string, n long, m long"), "terms")
-    stats = counted.where("key is null").groupBy("term").agg(F.sum("n").alias("df"), F.sum("m").alias("cf"))
+    terms = once(rows, "key", "text").select("key", F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0).alias("terms"))
+    # A record's terms meet where the record is, so that this count needs no shuffle of its own.
+    counted = terms.select("key", F.size("terms").alias("m"), F.explode("terms").alias("term")).groupBy("key", "m", "term").agg(F.count("*").alias("tf"))
+    counted = staged(counted, "terms")
+    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats = staged(stats, "stats")
     total = stats.agg(F.sum("cf")).first()[0] or 0
     stats = stats.where(F.col("df").between(min_df, max_df if max_df is not None else 1 << 62))
-    stats = broadcast_if_small(staged(stats, "stats"), 100_000)
-    used = counted.where("key is not null").select(F.col("key").alias(key), "term", F.col("n").alias("tf"), "m").join(stats, "term")
+    used = counted.where(F.col("tf") >= min_tf).join(broadcast_if_small(stats, 100_000), "term")
     d = [F.col(c).cast("double") for c in ("tf", "cf", "m")]
-    return used.select(key, "term", "tf", "df", "cf", log_likelihood(*d, F.lit(float(total))).alias("score"))
+    return used.select(F.col("key").alias(key), "term", "tf", "df", "cf", log_likelihood(*d, F.lit(float(total))).alias("score"))

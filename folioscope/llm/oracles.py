@@ -72,7 +72,7 @@ def sql() -> dict[str, str]:
             r AS (SELECT chunk_key, sum(tf) AS m FROM t GROUP BY chunk_key),
             c AS (SELECT * FROM t JOIN d USING (term) JOIN r USING (chunk_key) CROSS JOIN (SELECT sum(tf) AS n FROM t)),
             s AS (SELECT *, 2 * ({LOG_LIKELIHOOD}) AS g FROM c)
-            SELECT chunk_key, term, tf::BIGINT AS tf, df, cf::BIGINT AS cf, CASE WHEN tf * n >= cf * m THEN g ELSE -g END AS score FROM s""",
+            SELECT chunk_key, term, tf::BIGINT AS tf, df, cf::BIGINT AS cf, round(CASE WHEN tf * n >= cf * m THEN g ELSE -g END, 6) + 0.0 AS score FROM s""",
         "p7_found": f"""WITH t AS (SELECT chunk_key, term, count(*) AS tf FROM (SELECT chunk_key, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS term FROM {CHUNKS}) GROUP BY ALL),
             d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
             SELECT chunk_key, term FROM t JOIN d USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 12""",

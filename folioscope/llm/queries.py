@@ -72,7 +72,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_key", "text", r"[a-z]{5,}")
+    rows = dt.distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_key", "text", r"[a-z]{5,}")
+    return rows.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
