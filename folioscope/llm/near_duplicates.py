@@ -1,15 +1,22 @@
 """Near-duplicate records with small edits, by the generalised pigeonhole principle.
 
 A text becomes the set of its runs of `width` words, and the set a vector of `PARTS * POSITIONS` minimum
-hashes. Written one-hot, such a vector is binary; the bits that belong to one minimum hash exclude each other,
-the most correlated bits there are, so they always stay together, and `POSITIONS` of them form a partition.
-Two sets of similarity s differ in a share 1 - s of the minimum hashes.
+hashes. Written one-hot, such a vector is binary; the bits that belong to one minimum hash exclude each other, so they
+stay together. Two sets of similarity s differ in a share 1 - s of the minimum hashes.
+
+Some minimum hashes carry a value that is common, as a run that many records share (a standing phrase) has a low hash
+there; such positions bring false candidates, and bring them together. How the positions' common values go with each
+other is measured over all records, and the positions that are most correlated form a partition.
 
 Each partition gets its own threshold: -1 (not probed), 0 (all its positions equal) or 1 (all but one equal).
 A dynamic program picks the thresholds that need the fewest candidates, as estimated for every partition and
 threshold from second-moment sketches over *all* records, among those that find a pair at the similarity limit
 with at least `1 - miss`. A pair that agrees in a probed partition is a candidate; a sketch of 128 further bits
-drops most of the false ones on the spot, and the rest is verified on the texts, exactly.
+drops most of the false ones on the spot (and one in 30,000 pairs at the limit), the rest is verified on the texts,
+exactly. `miss` must be above 0: hashing promises no certainty.
+
+A signature shared by very many records is known from a part of them before the records are dealt; its records are
+cut to blocks, and a task gets two blocks. That plan changes where pairs are found, not which.
 
 Nulls: a null or empty text has no runs and is in no pair. Records with fewer than `least` runs are left out.
 Records with equal sets of runs form one class, of which only the representative (least key) is compared.
@@ -18,7 +25,7 @@ Records with equal sets of runs form one class, of which only the representative
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb, log
 
 import numpy as np
@@ -30,9 +37,11 @@ from .common import broadcast_if_small, gathered, once, staged
 
 PARTS, POSITIONS, SKETCH = 24, 3, 128
 BUCKETS = 1024
-#: A group of records that share a signature is compared in one task up to this many; larger ones by blocks.
+#: A group of records that share a signature is compared in one task up to this many, about; larger ones by blocks.
 BLOCK = 4096
-PROBED = ["id_a", "id_b", "sig", "bits0", "bits1", "n"]
+#: One in SEEN records is looked at to know the large groups, of which at most HOT are told to the tasks.
+SEEN, HOT = 64, 500_000
+FILED = "sig long, x int, y int, block int, id long, bits0 long, bits1 long"
 WORD = re.compile(r"[a-z0-9]+")
 MASK = (1 << 64) - 1
 
@@ -119,9 +128,9 @@ def minima(run: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, bits
 
 
-def variants(mins: np.ndarray, part: int, threshold: int) -> list[np.ndarray]:
-    """The signatures a record is filed and probed under in a partition."""
-    own = mins[:, part * POSITIONS : (part + 1) * POSITIONS].astype(np.uint64)
+def variants(mins: np.ndarray, part: int, threshold: int, order: np.ndarray) -> list[np.ndarray]:
+    """The signatures a record is filed and probed under in a partition; order: the positions, partition by partition."""
+    own = mins[:, order[part * POSITIONS : (part + 1) * POSITIONS]].astype(np.uint64)
     kept = [range(POSITIONS)] if threshold == 0 else [[i for i in range(POSITIONS) if i != j] for j in range(POSITIONS)] if threshold == 1 else []
     out = []
     for cols in kept:
@@ -177,14 +186,53 @@ def _signed(rows: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[
             )
 
 
-def _moments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each position has each value, by buckets of these."""
+    h = PARTS * POSITIONS
+    total = np.zeros(h * BUCKETS, np.int64)
+    for b in rows:
+        m = _mins(b.column("mins"))
+        total += np.bincount(((m % BUCKETS).astype(np.int64) + np.arange(h) * BUCKETS).ravel(), minlength=h * BUCKETS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(h * BUCKETS)), pa.array(total)], names=["i", "n"])
+
+
+def _together(rows: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """In how many records two positions both have a common value."""
+    h = PARTS * POSITIONS
+    total = np.zeros((h, h))
+    for b in rows:
+        x = common[np.arange(h), _mins(b.column("mins")) % BUCKETS].astype(np.float32)
+        total += x.T @ x
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(h * h)), pa.array(total.ravel().astype(np.int64))], names=["i", "n"])
+
+
+def grouped(together: np.ndarray, n: int) -> np.ndarray:
+    """The positions, partition by partition: the most correlated ones together."""
+    p = np.diag(together) / n
+    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+    like = (together / n - np.outer(p, p)) / np.outer(spread, spread)
+    np.fill_diagonal(like, -9)
+    free, order = set(range(len(p))), []
+    while free:
+        left = sorted(free)
+        sub = like[np.ix_(left, left)]
+        own = [left[int(sub.max(axis=1).argmax())]]
+        while len(own) < POSITIONS:
+            rest = [i for i in left if i not in own]
+            own.append(max(rest, key=lambda i: (like[i, own].sum(), -i)))
+        order += own
+        free -= set(own)
+    return np.array(order)
+
+
+def _moments(rows: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Signed counts by bucket: their squares estimate how many pairs share a signature."""
     total = np.zeros((PARTS, 2, BUCKETS), np.int64)
     for b in rows:
         m = _mins(b.column("mins"))
         for part in range(PARTS):
             for t in (0, 1):
-                for s in variants(m, part, t):
+                for s in variants(m, part, t, order):
                     sign = 1 - 2 * ((s >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
                     total[part, t] += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), weights=sign, minlength=BUCKETS).astype(np.int64)
     at = np.indices(total.shape).reshape(3, -1)
@@ -195,18 +243,28 @@ def _mins(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, PARTS * POSITIONS)
 
 
-def _filed(rows: Iterator[pa.RecordBatch], thresholds: list[int]) -> Iterator[pa.RecordBatch]:
+def _filed(rows: Iterator[pa.RecordBatch], thresholds: list[int], order: np.ndarray, hot: np.ndarray, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each record under each of its signatures; x, y: the two blocks that meet there, if the signature is among the hot ones (sorted)."""
     for b in rows:
-        m = _mins(b.column("mins"))
+        m, ids = _mins(b.column("mins")), b.column("id").to_numpy()
+        spread = (_mix(ids.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
         for part, t in enumerate(thresholds):
-            for s in variants(m, part, t):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column("id"), b.column("bits0"), b.column("bits1")], names=["sig", "id", "bits0", "bits1"])
+            for s in variants(m, part, t, order):
+                s = s.view(np.int64)
+                at = np.searchsorted(hot, s)
+                n = np.where(hot[np.minimum(at, len(hot) - 1)] == s, blocks[np.minimum(at, len(hot) - 1)], 1) if len(hot) else np.ones(len(s), np.int64)
+                block = spread % n
+                row = np.repeat(np.arange(len(s)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                own, some = block[row], pa.array(row)
+                pair = [pa.array(v.astype(np.int32)) for v in (np.minimum(own, other), np.maximum(own, other), own)]
+                yield pa.RecordBatch.from_arrays([pa.array(s[row]), *pair, b.column("id").take(some), b.column("bits0").take(some), b.column("bits1").take(some)], names=["sig", "x", "y", "block", "id", "bits0", "bits1"])
 
 
 def far(similarity: float) -> int:
-    """Sketch bits in which a pair at the limit may differ: 3.3 standard deviations above the mean, which one such pair in 2,000 exceeds."""
+    """Sketch bits in which a pair at the limit may differ: 4 standard deviations above the mean, which one such pair in 30,000 exceeds."""
     p = (1 - similarity) / 2
-    return int(SKETCH * p + 3.3 * (SKETCH * p * (1 - p)) ** 0.5)
+    return int(SKETCH * p + 4.0 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -214,48 +272,43 @@ def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return d + np.bitwise_count(a[:, 1] ^ b[:, 1]) <= most
 
 
-def _pairs_of(ids: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(bits: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within one group, as places in it, in strips of bounded size."""
-    left, right = [], []
-    n = len(ids)
+    n = len(bits)
     strip = max(1, 2_000_000 // n)
     for lo in range(0, n, strip):
-        x = bits[lo : lo + strip]
-        d = np.bitwise_count(x[:, None, 0] ^ bits[None, :, 0]).astype(np.uint8) + np.bitwise_count(x[:, None, 1] ^ bits[None, :, 1])
+        x, y = bits[lo : lo + strip], bits[lo:]
+        d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint8) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
         i, j = np.nonzero(d <= most)
-        keep = i + lo < j
-        left.append(i[keep] + lo)
-        right.append(j[keep])
-    return np.concatenate(left), np.concatenate(right)
+        yield i[i < j] + lo, j[i < j] + lo
 
 
 def _probed(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of the records of one task, which holds all records of each of its signatures.
-
-    Records of a signature shared by more than BLOCK records come out again, for a second stage, with id_b = null.
-    """
+    """Candidates of the records of one task, which holds all records of each of its signatures, or of two blocks of a hot one."""
     t = gathered(rows)
     if t is None:
         return
-    sig, ids = t["sig"].to_numpy(), t["id"].to_numpy()
+    key = np.stack([t["sig"].to_numpy(), t["x"].to_numpy().astype(np.int64) << 32 | t["y"].to_numpy()], 1)
+    ids, block = t["id"].to_numpy(), t["block"].to_numpy()
     bits = np.stack([t["bits0"].to_numpy(), t["bits1"].to_numpy()], 1).view(np.uint64)
     del t
-    order = np.argsort(sig, kind="stable")
-    sig, ids, bits = sig[order], ids[order], bits[order]
-    edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    key, ids, block, bits = key[order], ids[order], block[order], bits[order]
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
     size = np.diff(edge)
+    of, same = np.repeat(np.arange(len(size)), size), key[:, 1] >> 32 == key[:, 1] & 0xFFFFFFFF
     out = _Out()
-    at = edge[:-1]
     for k in range(1, 16):  # small groups, all at once: each record with the k-th after it
-        i = np.flatnonzero((sig[k:] == sig[:-k]) & np.repeat(size <= 16, size)[:-k]) if k < len(sig) else np.zeros(0, np.int64)
-        near = _close(bits[i], bits[i + k], most)
-        yield from out.add(ids[i[near]], ids[i[near] + k])
-    for lo, n in zip(at[(size > 16) & (size <= BLOCK)].tolist(), size[(size > 16) & (size <= BLOCK)].tolist()):
-        i, j = _pairs_of(ids[lo : lo + n], bits[lo : lo + n], most)
-        yield from out.add(ids[lo + i], ids[lo + j])
-    for lo, n in zip(at[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
-        cut = slice(lo, lo + n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array([None] * n, pa.int64()), pa.array(sig[cut]), pa.array(bits[cut, 0].view(np.int64)), pa.array(bits[cut, 1].view(np.int64)), pa.array([n] * n, pa.int64())], names=PROBED)
+        i = np.flatnonzero((of[k:] == of[:-k]) & (size[of] <= 16)[:-k]) if k < len(of) else np.zeros(0, np.int64)
+        # A pair within one block is found where the block meets itself only.
+        i = i[(same[i] | (block[i] != block[i + k])) & _close(bits[i], bits[i + k], most)]
+        yield from out.add(ids[i], ids[i + k])
+    large = size > 16
+    for lo, n in zip(edge[:-1][large].tolist(), size[large].tolist()):
+        for i, j in _pairs_of(bits[lo : lo + n], most):
+            i, j = i + lo, j + lo
+            keep = same[lo] | (block[i] != block[j])
+            yield from out.add(ids[i[keep]], ids[j[keep]])
     yield from out.end()
 
 
@@ -278,29 +331,7 @@ class _Out:
         if self.held:
             both = np.unique(np.stack([np.concatenate([x[0] for x in self.held]), np.concatenate([x[1] for x in self.held])], 1), axis=0)
             self.held, self.n = [], 0
-            none = pa.nulls(len(both), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none, none, none], names=PROBED)
-
-
-def _blocks(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Candidates between two blocks of one hot signature; a task holds whole pairs of blocks."""
-    t = gathered(rows)
-    if t is None:
-        return
-    ids, block = t["id"].to_numpy(), t["block"].to_numpy()
-    key = np.stack([t[c].to_numpy() for c in ("sig", "x", "y")], 1)
-    bits = np.stack([t["bits0"].to_numpy(), t["bits1"].to_numpy()], 1).view(np.uint64)
-    order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-    key, ids, block, bits = key[order], ids[order], block[order], bits[order]
-    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
-    out = _Out()
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        i, j = _pairs_of(ids[lo:hi], bits[lo:hi], most)
-        i, j = i + lo, j + lo
-        # A pair within one block is found at (x, x) only.
-        keep = (block[i] != block[j]) | (key[lo, 1] == key[lo, 2])
-        yield from out.add(ids[i[keep]], ids[j[keep]])
-    yield from out.end()
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id_a", "id_b"])
 
 
 def _verified(rows: Iterator[pa.RecordBatch], width: int, similarity: float, least: int) -> Iterator[pa.RecordBatch]:
@@ -333,6 +364,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, similari
     delivered again is the same record. Empty tables give empty results; other columns are ignored.
     """
     spark = df.sparkSession
+    if not 0 < miss < 1:
+        raise ValueError("miss must be between 0 and 1, both excluded")
     base = staged(signed(df, key, text, width, least), "runs")
     n = base.count()
     multiple = base.groupBy("class").agg(F.min("id").alias("class_id"), F.max("id").alias("last")).where("class_id < last").drop("last")
@@ -341,28 +374,38 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, similari
     reps = base.join(copies_small, "id", "left_anti")
     members = base.select("id").distinct().join(copies_small, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
-    moments = base.mapInArrow(_moments, "part int, t int, bucket int, c long")
+    h = PARTS * POSITIONS
+
+    def summed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], size: int) -> np.ndarray:
+        """Counts by number over all records; as many as the numbers, so few enough for the driver."""
+        total = np.zeros(size, np.int64)
+        rows = base.mapInArrow(f, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        total[rows["i"].to_numpy()] = rows["n"].to_numpy()
+        return total
+
+    values = summed(_common, h * BUCKETS).reshape(h, BUCKETS)
+    mean = max(n, 1) / BUCKETS
+    common = values > mean + 6 * mean**0.5
+    order = grouped(summed(lambda it: _together(it, common), h * h).reshape(h, h), max(n, 1))
+    moments = base.mapInArrow(lambda it: _moments(it, order), "part int, t int, bucket int, c long")
     squares = moments.groupBy("part", "t", "bucket").agg(F.sum("c").alias("c")).groupBy("part", "t").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("f2"))
     cost = {(p, t): 50.0 * n * (1, POSITIONS)[t] for p in range(PARTS) for t in (0, 1)}
     for r in squares.collect():  # PARTS * 2 rows
         cost[r.part, r.t] += max(0.0, r.f2 - n) / 2
     thresholds = allocate(cost, similarity, miss)
 
-    filed = reps.select("id", "mins", "bits0", "bits1").mapInArrow(lambda it: _filed(it, thresholds), "sig long, id long, bits0 long, bits1 long")
+    slim = reps.select("id", "mins", "bits0", "bits1")
+    none = np.zeros(0, np.int64)
+    seen = slim.where(F.pmod(F.xxhash64("id"), F.lit(SEEN)) == 0).mapInArrow(lambda it: _filed(it, thresholds, order, none, none), FILED)
+    large = seen.groupBy("sig").count().where(F.col("count") * SEEN > max(BLOCK // 2, n * sum(t + 2 for t in thresholds if t >= 0) // HOT))
+    large = large.select("sig", F.ceil(F.col("count") * SEEN / BLOCK).alias("blocks")).orderBy("sig").toArrow()  # at most HOT rows
+    hot = spark.sparkContext.broadcast((large["sig"].to_numpy(), large["blocks"].to_numpy()))
+    filed = slim.mapInArrow(lambda it: _filed(it, thresholds, order, *hot.value), FILED)
     rows = n * sum((0, 1, POSITIONS)[t + 1] for t in thresholds)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
     most = far(similarity)
-    kind = "id_a long, id_b long, sig long, bits0 long, bits1 long, n long"
-    probed = staged(filed.repartition(parts, "sig").mapInArrow(lambda it: _probed(it, most), kind), "probed")
-    candidates = probed.where("id_b is not null").select("id_a", "id_b")
-    hot = probed.where("id_b is null")
-    if hot.limit(1).count():
-        g = F.ceil(F.col("n") / BLOCK)
-        hot = hot.withColumn("block", F.pmod(F.xxhash64("id_a"), g)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), g - 1)))
-        hot = hot.select("sig", F.col("id_a").alias("id"), "bits0", "bits1", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        within = hot.repartition("sig", "x", "y").mapInArrow(lambda it: _blocks(it, most), kind)
-        candidates = candidates.unionByName(within.select("id_a", "id_b"))
-    candidates = staged(candidates.distinct(), "candidates")
+    probed = filed.repartition(parts, "sig", "x", "y").mapInArrow(lambda it: _probed(it, most), "id_a long, id_b long")
+    candidates = staged(probed.distinct(), "candidates")
 
     wanted = staged(candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "wanted")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
@@ -372,17 +415,35 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 5, similari
     return pairs, members
 
 
-def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """id, class_id, links: every record with its class of equal texts and how many other classes it is linked to."""
-    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return members.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+def components(edges: DataFrame) -> DataFrame:
+    """u, v: every node of the graph (but the least of each component) with the least node of its component.
 
+    Rounds of large and small stars: each node hands its larger neighbours, then its smaller ones, to its least one,
+    until nothing changes; the rounds grow with the logarithm of the longest chain. Every round is staged.
+    """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    edges = staged(edges.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = mark(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = staged(small.where("u <> v").distinct(), "edges")
+        after = mark(edges)
+        if after == before:
+            return edges
+        before = after
 
-def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of records, from pairs of classes and membership. Where nearly all classes have one member this adds little."""
-    more = members.where("id <> class_id")
-    own = more.select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
-    peers = more.alias("p").join(more.alias("q"), (F.col("p.class_id") == F.col("q.class_id")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
-    a = pairs.select("id_a", "id_b").join(more.withColumnRenamed("class_id", "id_a").withColumnRenamed("id", "m"), "id_a", "left").select(F.explode(F.array_compact(F.array("id_a", "m"))).alias("id_a"), "id_b").distinct()
-    b = a.join(more.withColumnRenamed("class_id", "id_b").withColumnRenamed("id", "m"), "id_b", "left").select("id_a", F.explode(F.array_compact(F.array("id_b", "m"))).alias("id_b")).distinct()
-    return b.unionByName(own).unionByName(peers).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """id, class_id, links, group_id of every record: its class of equal texts, how many other classes it is linked to, and
+    the least class of all that links lead to."""
+    pairs = staged(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    tied = ends.join(components(pairs.select("id_a", "id_b")).toDF("class_id", "group_id"), "class_id", "left")
+    rows = members.join(broadcast_if_small(staged(tied, "tied")), "class_id", "left")
+    return rows.select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))

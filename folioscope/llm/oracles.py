@@ -58,15 +58,17 @@ def sql() -> dict[str, str]:
             z AS (SELECT chunk_key, count(*) AS n FROM s GROUP BY chunk_key HAVING count(*) >= 60),
             b AS (SELECT x.chunk_key AS chunk_key_a, y.chunk_key AS chunk_key_b, count(*) AS shared FROM s x JOIN s y ON x.run = y.run AND x.chunk_key < y.chunk_key GROUP BY ALL)
             SELECT chunk_key_a, chunk_key_b FROM b JOIN z p ON p.chunk_key = chunk_key_a JOIN z q ON q.chunk_key = chunk_key_b WHERE shared * 10 >= 6 * (p.n + q.n - shared)""",
-        "p6_groups": rf"""WITH w AS (SELECT chunk_key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {CHUNKS}),
+        "p6_groups": rf"""WITH RECURSIVE w AS (SELECT chunk_key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {CHUNKS}),
             s AS MATERIALIZED (SELECT DISTINCT chunk_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT chunk_key, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
             c AS MATERIALIZED (SELECT chunk_key, n, min(chunk_key) OVER (PARTITION BY runs) AS class_id FROM
               (SELECT chunk_key, count(*) AS n, list(run ORDER BY run) AS runs FROM s GROUP BY chunk_key HAVING count(*) >= 60)),
             r AS (SELECT s.chunk_key, run, n FROM s JOIN c ON c.chunk_key = s.chunk_key WHERE c.chunk_key = class_id),
             b AS (SELECT x.chunk_key AS class_id, y.chunk_key AS other FROM r x JOIN r y ON x.run = y.run AND x.chunk_key <> y.chunk_key
               GROUP BY ALL HAVING count(*) * 10 >= 6 * (min(x.n) + min(y.n) - count(*))),
-            l AS (SELECT class_id, count(*) AS links FROM b GROUP BY class_id)
-            SELECT chunk_key, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (class_id)""",
+            l AS (SELECT class_id, count(*) AS links FROM b GROUP BY class_id),
+            p AS (SELECT class_id AS v, class_id AS root FROM b UNION SELECT b.other, p.root FROM p JOIN b ON b.class_id = p.v),
+            g AS (SELECT v AS class_id, min(root) AS group_id FROM p GROUP BY v)
+            SELECT chunk_key, class_id, coalesce(links, 0) AS links, coalesce(group_id, class_id) AS group_id FROM c LEFT JOIN l USING (class_id) LEFT JOIN g USING (class_id)""",
         "p7_scores": f"""WITH t AS (SELECT chunk_key, term, count(*)::DOUBLE AS tf FROM (SELECT chunk_key, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS term FROM {CHUNKS}) GROUP BY ALL),
             d AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY term),
             r AS (SELECT chunk_key, sum(tf) AS m FROM t GROUP BY chunk_key),

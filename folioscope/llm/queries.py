@@ -63,12 +63,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
-    return nd.groups(pairs, members).toDF("chunk_key", "class_id", "links")
+    return nd.groups(pairs, members).toDF("chunk_key", "class_id", "links", "group_id")
+
+
+def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of records, as this query's rows are, from pairs of classes and membership. Where nearly all classes have one member this adds little."""
+    more = members.where("id <> class_id")
+    own = more.select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    peers = more.alias("p").join(more.alias("q"), (F.col("p.class_id") == F.col("q.class_id")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
+    a = pairs.select("id_a", "id_b").join(more.withColumnRenamed("class_id", "id_a").withColumnRenamed("id", "m"), "id_a", "left").select(F.explode(F.array_compact(F.array("id_a", "m"))).alias("id_a"), "id_b").distinct()
+    b = a.join(more.withColumnRenamed("class_id", "id_b").withColumnRenamed("id", "m"), "id_b", "left").select("id_a", F.explode(F.array_compact(F.array("id_b", "m"))).alias("id_b")).distinct()
+    return b.unionByName(own).unionByName(peers).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = nd.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_key", "text", width=3, similarity=0.6, least=60)
-    return nd.expanded(pairs, members).toDF("chunk_key_a", "chunk_key_b")
+    return record_pairs(pairs, members).toDF("chunk_key_a", "chunk_key_b")
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
