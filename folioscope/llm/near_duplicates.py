@@ -12,7 +12,7 @@ Each partition gets its own threshold: -1 (not probed), 0 (all its positions equ
 A dynamic program picks the thresholds that need the fewest candidates, as estimated for every partition and
 threshold from second-moment sketches over *all* records, among those that find a pair at the similarity limit
 with at least `1 - miss`. A pair that agrees in a probed partition is a candidate; a sketch of 128 further bits
-drops most of the false ones on the spot (and one in 30,000 pairs at the limit), the rest is verified on the texts,
+drops most of the false ones on the spot (and one in 2,000 pairs at the limit), the rest is verified on the texts,
 exactly. `miss` must be above 0: hashing promises no certainty.
 
 A signature shared by very many records is known from a part of them before the records are dealt; its records are
@@ -262,9 +262,9 @@ def _filed(rows: Iterator[pa.RecordBatch], thresholds: list[int], order: np.ndar
 
 
 def far(similarity: float) -> int:
-    """Sketch bits in which a pair at the limit may differ: 4 standard deviations above the mean, which one such pair in 30,000 exceeds."""
+    """Sketch bits in which a pair at the limit may differ: 3.3 standard deviations above the mean, which one such pair in 2,000 exceeds."""
     p = (1 - similarity) / 2
-    return int(SKETCH * p + 4.0 * (SKETCH * p * (1 - p)) ** 0.5)
+    return int(SKETCH * p + 3.3 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
