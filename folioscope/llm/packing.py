@@ -1,10 +1,14 @@
 """Filling containers of fixed capacity with texts that are alike, leaving as little room as possible.
 
-Items are dealt to shards of bounded size by a hash. A shard holds a BM25 inverted index over the tokens of its
-items. The longest unused item seeds a container; the index returns its unused neighbours, which fill the
-container greedily in the order of their score, as long as they fit; what room is left goes to the longest
-unused items that still fit, best fit first. A text longer than the capacity is cut into full containers and a
-rest, which is an item like any other; nothing else is split.
+Items that are alike come to one shard: an item goes by its most telling token, the one of the highest count times
+inverse document frequency over all items. The tokens' items are counted; rare tokens share a shard up to
+`shard` items, and a token with more has several, to which its items are dealt by a hash. The plan has a row a
+token of the vocabulary, whatever the number of items. A shard holds a BM25 inverted index over the tokens of its
+items. The longest unused item seeds a container; the index is asked with all its tokens, and the unused items that
+share any fill the container greedily in the order of their score, as long as they fit; what room is left goes to the
+longest unused items that still fit, best fit first. The items of containers that stay emptier than SLACK allows, which are
+those filled last, are filled once more, by size alone, together with those of the TOGETHER shards around. A text longer than the capacity is cut into full containers and
+a rest, which is an item like any other; nothing else is split.
 
 Empty and null texts take no room: they come out with 0 tokens and no container. Equal texts are items of their
 own. Ties go to the lower key, so the result does not depend on the order of the rows.
@@ -12,20 +16,20 @@ own. Ties go to the lower key, so the result does not depend on the order of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered
+from .common import gathered, staged
 from .encoding import default_ranks, encoder, lists
 
 K1, B = 1.5, 0.75
 SHARD = 2000
-#: Terms of a seed that are looked up: those of the highest weight.
-TERMS, NEIGHBOURS = 24, 48
+#: Room, as a share of the capacity, with which a container is done at first; shards whose rest is filled together.
+SLACK, TOGETHER = 0.02, 64
 
 
 def _items(rows: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -42,10 +46,10 @@ def _items(rows: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator
                 rest = ids[full * capacity :]
                 if len(rest) or not full:
                     term, tf = np.unique(rest, return_counts=True)
-                    out.append((k, full, full * capacity, len(rest), len(rest) == capacity, term, np.minimum(tf, 32767)))
+                    out.append((k, full, full * capacity, len(rest), len(rest) == capacity, term, tf.astype(np.int32)))
             c = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.bool_()), lists(list(c[5]), pa.int32()), lists(list(c[6]), pa.int16())],
+                [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.bool_()), lists(list(c[5]), pa.int32()), lists(list(c[6]), pa.int32())],
                 names=["key", "piece", "first", "tokens", "full", "terms", "tf"],
             )
 
@@ -91,19 +95,17 @@ def fill(size: np.ndarray, terms: list[np.ndarray], tf: list[np.ndarray], capaci
         box[seed], free[seed] = next_box, False
         if room:
             own = np.searchsorted(names, terms[seed])
-            if len(own) > TERMS:
-                own = own[np.argsort(-idf[own], kind="stable")[:TERMS]]
             spans = [np.arange(start[t], start[t + 1]) for t in own]
             if spans:
                 span = np.concatenate(spans)
                 score = np.bincount(posted[span], weights=weight[span], minlength=n)
-                score[~free] = 0
-                top = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if n > NEIGHBOURS else np.arange(n)
-                top = top[score[top] > 0]
-                for i in top[np.lexsort((top, -score[top]))].tolist():
+                near = np.flatnonzero(free & (score > 0) & (size <= room))
+                for i in near[np.lexsort((near, -score[near]))].tolist():
                     if sizes[i] <= room:
                         box[i], free[i] = next_box, False
                         room -= sizes[i]
+                        if not room:
+                            break
             while room and (i := longest(room)) >= 0:
                 box[i], free[i] = next_box, False
                 room -= sizes[i]
@@ -111,12 +113,68 @@ def fill(size: np.ndarray, terms: list[np.ndarray], tf: list[np.ndarray], capaci
     return box
 
 
-def _filled(rows: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+def _spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many items each token is."""
+    n = np.zeros(0, np.int64)
+    for b in rows:
+        more = np.bincount(b.column("terms").flatten().to_numpy())
+        n, more = (n, more) if len(n) >= len(more) else (more, n)
+        n[: len(more)] += more
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["token", "n"])
+
+
+def telling(terms: pa.ListArray, tf: pa.ListArray, idf: np.ndarray) -> np.ndarray:
+    """The token of the highest count times idf of each item, the lowest of equal ones; -1 for an item without tokens."""
+    ends = terms.offsets.to_numpy() - terms.offsets.to_numpy()[0] if len(terms) else np.zeros(1, np.int64)
+    token, count = terms.flatten().to_numpy(), tf.flatten().to_numpy()
+    out, some = np.full(len(terms), -1, np.int64), np.flatnonzero(np.diff(ends))
+    if len(some):
+        weight = (count * idf[token]).round(9)
+        most = np.repeat(np.maximum.reduceat(weight, ends[some]), np.diff(ends)[some])
+        out[some] = np.minimum.reduceat(np.where(weight == most, token, len(idf)), ends[some])
+    return out
+
+
+def _told(rows: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How many items go by each token (counted from 1; 0: none)."""
+    total = np.zeros(len(idf) + 1, np.int64)
+    for b in rows:
+        total += np.bincount(telling(b.column("terms"), b.column("tf"), idf) + 1, minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
+
+
+def shards_of(count: np.ndarray, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each token: neighbours share one until it is full, a token of many items has its own."""
+    first, number, at, held = np.zeros(len(count), np.int64), np.maximum(1, -(-count // shard)), 0, 0
+    for t in np.flatnonzero(count).tolist():
+        n = int(count[t])
+        if held and held + n > shard:
+            at, held = at + 1, 0
+        first[t] = at
+        if number[t] > 1:
+            at, held = at + int(number[t]), 0
+        else:
+            held += n
+    return first, number
+
+
+def _dealt(rows: Iterator[pa.RecordBatch], idf: np.ndarray, first: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in rows:
+        t = telling(b.column("terms"), b.column("tf"), idf) + 1
+        with np.errstate(over="ignore"):
+            spread = ((b.column("key").to_numpy().astype(np.uint64) * np.uint64(31) + b.column("piece").to_numpy().astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first[t] + spread % number[t])], names=[*b.schema.names, "shard"])
+
+
+def _filled(rows: Iterator[pa.RecordBatch], capacity: int, by: str = "shard", first_name: int = 0, slack: float = 1.0) -> Iterator[pa.RecordBatch]:
+    """The container of each item; where one has more room than slack allows, its items come out to be filled again, then without their tokens."""
     t = gathered(rows)
     if t is None:
         return
-    t = t.sort_by([("shard", "ascending"), ("key", "ascending"), ("piece", "ascending")]).combine_chunks()
-    shard = t["shard"].to_numpy()
+    t = t.sort_by([(by, "ascending"), ("key", "ascending"), ("piece", "ascending")]).combine_chunks()
+    shard = t[by].to_numpy()
     for s in np.unique(shard):
         lo, hi = np.searchsorted(shard, [s, s + 1])
         part = t.slice(lo, hi - lo)
@@ -127,8 +185,12 @@ def _filled(rows: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Record
         box[loose] = fill(size[loose], [terms[i] for i in loose], [tf[i] for i in loose], capacity)
         full = np.flatnonzero((size > 0) & (box < 0))
         box[full] = box.max(initial=-1) + 1 + np.arange(len(full))
-        name = pa.array(s * 10_000_000 + box, pa.int64(), mask=box < 0)
-        yield pa.RecordBatch.from_arrays([part[c].combine_chunks() for c in ("key", "piece", "first", "tokens")] + [name], names=["key", "piece", "first", "tokens", "container"])
+        free = capacity - np.bincount(box[box >= 0], weights=size[box >= 0], minlength=1)
+        again = (box >= 0) & (free[box] > slack * capacity)
+        name = pa.array(s * 10_000_000 + first_name + box, pa.int64(), mask=(box < 0) | again)
+        kept = [part[c].combine_chunks() for c in ("key", "piece", "first", "tokens", "full")]
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(box) + 1, np.int32)), pa.array([], pa.int32()))
+        yield pa.RecordBatch.from_arrays([*kept, none, none, part["shard"].combine_chunks(), pa.array(again), name], names=["key", "piece", "first", "tokens", "full", "terms", "tf", "shard", "again", "container"])
 
 
 def _arrays(col: pa.ChunkedArray) -> list[np.ndarray]:
@@ -141,10 +203,28 @@ def _arrays(col: pa.ChunkedArray) -> list[np.ndarray]:
 def pack(df: DataFrame, key: str, text: str, capacity: int = 2048, ranks: str | None = None, shard: int = SHARD) -> DataFrame:
     """key, piece, first (token), tokens, container: where every text, or piece of a longer one, goes."""
     path = ranks or default_ranks()
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    shards = max(1, -(-rows.count() // shard))
-    items = rows.mapInArrow(lambda it: _items(it, path, capacity), "key long, piece int, first int, tokens int, full boolean, terms array<int>, tf array<short>")
-    items = items.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    kind = "key long, piece int, first int, tokens int, full boolean, terms array<int>, tf array<int>"
+    items = staged(rows.mapInArrow(lambda it: _items(it, path, capacity), kind), "items")
+
+    def summed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], size: int) -> np.ndarray:
+        """A count for each token of the vocabulary."""
+        got = items.mapInArrow(f, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size or int(max(got["token"].to_pylist(), default=0)) + 1, np.int64)
+        out[got["token"].to_numpy()] = got["n"].to_numpy()
+        return out
+
+    df_of = summed(_spread, 0)
+    idf = np.log(1 + (items.count() + 0.5) / (df_of + 0.5))
+    first, number = shards_of(summed(lambda it: _told(it, idf), len(idf) + 1), shard)
+    shards = int((first + number).max())
+    dealt = items.mapInArrow(lambda it: _dealt(it, idf, first, number), kind + ", shard long")
     parts = min(shards, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 8))
-    filled = items.repartitionById(parts, F.col("shard") % parts).mapInArrow(lambda it: _filled(it, capacity), "key long, piece int, first int, tokens int, container long")
-    return filled.withColumnRenamed("key", key)
+    kind += ", shard long"
+    most = kind + ", again boolean, container long"
+    filled = staged(dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")).mapInArrow(lambda it: _filled(it, capacity, slack=SLACK), most), "filled")
+    rest = filled.where("again").drop("again", "container").withColumn("around", F.floor(F.col("shard") / TOGETHER))
+    parts = max(1, min(parts, shards // TOGETHER))
+    rest = rest.repartitionById(parts, (F.col("around") % parts).cast("int")).mapInArrow(lambda it: _filled(it, capacity, "around", 9_000_000), most)
+    out = ["key", "piece", "first", "tokens", "container"]
+    return filled.where("not again").select(out).unionByName(rest.select(out)).withColumnRenamed("key", key)

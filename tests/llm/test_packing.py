@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from folioscope.llm import encoding as en
 from folioscope.llm import packing as pk
@@ -50,3 +51,24 @@ def test_everything_fits_somewhere():
         terms = [np.unique(r.integers(0, 30, 8)) for _ in range(n)]
         box = pk.fill(size, terms, [np.ones(len(t)) for t in terms], 100)
         assert (box >= 0).all() and np.bincount(box, weights=size).max() <= 100
+
+
+def test_shards_by_the_most_telling_token():
+    count = np.array([0, 5, 90, 3, 0, 250, 4, 100, 1])
+    first, number = pk.shards_of(count, 100)
+    assert number.tolist() == [1, 1, 1, 1, 1, 3, 1, 1, 1]
+    load = {}
+    for t in np.flatnonzero(count):
+        for i in range(number[t]):
+            load.setdefault(int(first[t]) + i, []).append(int(t))
+    assert load == {0: [1, 2, 3], 1: [5], 2: [5], 3: [5], 4: [6], 5: [7], 6: [8]}
+    terms, tf = pa.array([[1, 2], [], [2, 3]], pa.list_(pa.int32())), pa.array([[3, 1], [], [1, 1]], pa.list_(pa.int32()))
+    assert pk.telling(terms, tf, np.array([9.0, 1.0, 2.0, 2.0])).tolist() == [1, -1, 2]
+
+
+def test_a_seed_is_asked_with_all_its_tokens():
+    """The only likeness of seed and neighbour is one token among hundreds, and a hundred others are less like it."""
+    size = np.array([60] + [40] * 101)
+    terms = [np.arange(300)] + [np.array([7, 1000 + i]) for i in range(100)] + [np.arange(290, 300)]
+    box = pk.fill(size, terms, [np.ones(len(t)) for t in terms], 100)
+    assert box[0] == box[101]
