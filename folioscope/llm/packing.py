@@ -27,7 +27,7 @@ from .common import gathered, staged
 from .encoding import default_ranks, encoder, lists
 
 K1, B = 1.5, 0.75
-SHARD = 2000
+SHARD = 1000
 #: Room, as a share of the capacity, with which a container is done at first; shards whose rest is filled together.
 SLACK, TOGETHER = 0.02, 64
 
