@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Paths of staged tables that have not been dropped.
+_STAGED: list[str] = []
 
 
 def session(app: str = "folioscope", **conf: str) -> SparkSession:
@@ -27,12 +31,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Marks df for broadcast if it has at most `rows` rows; beyond that Spark joins by shuffle.
+def broadcast_if_small(df: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> DataFrame:
+    """Marks df for broadcast if it has at most `rows` rows of at most `size` bytes, about; beyond that Spark joins by shuffle.
 
-    Meant for sides that are cheap to count: dimension tables, batches of queries, aggregates.
+    Meant for sides that are cheap to count: staged tables, dimension tables, batches of queries, aggregates.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
+            item = F.length(F.array_join(f.name, "")) if isinstance(inner, T.StringType) else F.lit(16) * F.size(f.name)
+            width = width + F.coalesce(item, F.lit(0))
+    some = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("size")).first()
+    return F.broadcast(df) if some.n <= rows and (some["size"] or 0) <= size else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +54,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = given.get() if given.isDefined() else None
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
         spark.sparkContext.setCheckpointDir(folder)
@@ -52,10 +67,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    dropped_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    _STAGED.append(path)
+    if len(_STAGED) == 1:
+        atexit.register(release, spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Drops what has been staged so far. A long session calls it when the results that rest on it have been written."""
+    while _STAGED:
+        _drop(spark, _STAGED.pop())
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
