@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import broadcast_if_small, dropped_at_exit, shared_folder, staged
 
-__all__ = ["broadcast_if_small", "gathered", "once", "staged", "table"]
+__all__ = ["broadcast_if_small", "gathered", "kept_by", "once", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def once(df: DataFrame, key: str, *cols: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(c).alias(c) for c in cols))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A staged table of narrow rows, marked for broadcast if it has few; beyond that Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def kept_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets by the key: sums and joins by it find its rows together."""
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/{table}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    dropped_at_exit(spark, path)
+    return spark.table(table)

@@ -3,19 +3,24 @@
 Documents that share a distinctive phrase are alike in what they are about; instead of an edge for each such pair,
 the graph has the phrase as a hub, linked to each of its documents. A phrase (a word or two adjacent words) is
 distinctive, and its links are verified, if the lower bound of the share of one subject among its labelled
-documents is high enough. The phrases are chosen once, from the labels given. Labels go from documents to phrases, by
-a groupBy, and back, by broadcast weights, `rounds` times:
-
-* a phrase's distribution over the subjects is that of its documents, known so far;
-* a sentence deals with the subject for which its phrases speak most, if they speak clearly; a document's shares
-  are those of its sentences, and it has every subject of at least `share` of them: one, several or none;
+documents is high enough. The phrases are chosen once, from the labels given. The links are a table of (document,
+sentence, phrase), kept by document; labels go over it by joins and sums, `rounds` times, and nothing but the list of
+subjects comes to the driver:
+
+* from documents to phrases: a phrase's distribution over the subjects is that of its documents, known so far;
+* from phrases to documents: a sentence deals with the subject for which its phrases speak most, if they speak
+  clearly; a document's shares are those of its sentences (of at least LEAST_WORDS words; shorter ones are headings and
+  numbers and count on neither side), and it has every subject of at least `share` of them: one, several or none;
 * seeds are clamped: a labelled document keeps its labels while its own sentences bear them out. A label that they
   do not bear out is not trusted, and the document takes what its sentences say.
 
+The phrases of a text are looked up in a broadcast table of phrases while it has at most `most` rows; beyond that the
+words and pairs of the texts are joined with it, which gives the same links.
+
 The subjects' prototypes and terms count as PROTOTYPE labelled documents each. A label is matched to a subject without regard to
 case, white space, hyphens and underscores; labels of no known subject are left out, null labels say "none".
 Nulls, empty and blank texts have no subject. A document delivered again counts once; equal texts under different
-ids are documents of their own. Empty tables give an empty result.
+ids are documents of their own. Equal scores go to the subject first in order. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +29,12 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, once, staged
+from .common import broadcast_if_small, kept_by, once, staged
 
 WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 #: Scripts whose vowel signs are marks, which \w does not hold: words are runs of their letters and marks.
@@ -95,51 +98,37 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(rows: Iterator[pa.RecordBatch], phrases: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """key, sentences, and the phrases of each sentence that has any, end to end, each sentence closed by -1."""
+    """key, sentences (of the document), sentence, phrase: each different phrase of each sentence."""
     single = {p for p in phrases if " " not in p}
     starts = {p.split(" ")[0] for p in phrases if " " in p}
     get = phrases.get
     for b in rows:
-        keys, totals, hits = [], [], []
+        keys, totals, at, hits = [], [], [], []
         for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
             all_ = sentences(text)
-            flat: list[int] = []
-            for w in all_:
+            n = 0
+            for i, w in enumerate(all_):
                 found = [phrases[x] for x in single.intersection(w)]
                 if not starts.isdisjoint(w):
                     found += {p for x, y in zip(w, w[1:]) if x in starts and (p := get(f"{x} {y}")) is not None}
                 if found:
-                    flat += sorted(found)
-                    flat.append(-1)
-            if all_:
-                keys.append(k)
-                totals.append(len(all_))
-                hits.append(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int32()), pa.array(hits, pa.list_(pa.int32()))], names=["key", "sentences", "hits"])
+                    hits += found
+                    at += [i] * len(found)
+                    n += len(found)
+            keys += [k] * n
+            totals += [len(all_)] * n
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int32()), pa.array(at, pa.int32()), pa.array(hits, pa.int32())], names=["key", "sentences", "sentence", "phrase"])
 
 
-def _judged(rows: Iterator[pa.RecordBatch], weights: np.ndarray, names: list[str], least: float) -> Iterator[pa.RecordBatch]:
-    """key, hits, and the subjects with at least `least` of the sentences and their shares.
-
-    weights: of (phrase, subject), a last row of zeros for the ends of sentences.
-    """
+def _phrases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for all phrases, by their text."""
     for b in rows:
-        hits, keys, totals = b.column("hits"), b.column("key"), b.column("sentences").to_numpy()
-        ends = hits.offsets.to_numpy()
-        flat = hits.values.to_numpy()[ends[0] : ends[-1]]
-        count = np.zeros((len(keys), len(names)), np.int64)
-        if len(flat):
-            stop = np.flatnonzero(flat < 0)
-            speaks = np.add.reduceat(weights[flat], np.concatenate([[0], stop[:-1] + 1]))
-            best = speaks.argmax(axis=1)
-            clear = speaks[np.arange(len(best)), best] > 0
-            doc = np.searchsorted(ends - ends[0], stop, side="right") - 1
-            count = np.bincount(doc[clear] * len(names) + best[clear], minlength=count.size).reshape(count.shape)
-        share = count / totals[:, None]
-        d, s = np.nonzero(share >= least)
-        cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(keys)))]).astype(np.int32))
-        subjects = pa.ListArray.from_arrays(cuts, pa.array(np.array(names, object)[s], pa.string()))
-        yield pa.RecordBatch.from_arrays([keys, hits, subjects, pa.ListArray.from_arrays(cuts, pa.array(share[d, s]))], names=["key", "hits", "subjects", "shares"])
+        for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+            all_ = sentences(text)
+            for i, w in enumerate(all_):
+                found = list({*w, *map(" ".join, zip(w, w[1:]))})
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([len(all_)] * n, pa.int32()), pa.array([i] * n, pa.int32()), pa.array(found, pa.string())], names=["key", "sentences", "sentence", "name"])
 
 
 def lower_bound(n: Column, of: Column, z: float = 1.96) -> Column:
@@ -153,8 +142,7 @@ def subjects_of(
 ) -> DataFrame:
     """key, subject, share of the document's sentences, for shares of at least `share`.
 
-    docs: key, text. labels: key, subject. areas: subject, prototype, hindi_terms. At most `most` phrases, those
-    of the most documents, are sent to the tasks.
+    docs: key, text. labels: key, subject. areas: subject, prototype, hindi_terms. Up to `most` phrases are broadcast.
     """
     known = areas.where(F.col(subject).isNotNull()).select(F.col(subject).alias("subject"), subject_key(F.col(subject)).alias("_k"))
     given = labels.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), subject_key(F.col(subject)).alias("_k")).join(F.broadcast(known), "_k", "left")
@@ -174,46 +162,51 @@ def subjects_of(
     clear = broadcast_if_small(clear)
     pairs = top.where(F.col("phrase").contains(" ")).withColumns({"a": F.split_part("phrase", F.lit(" "), F.lit(1)), "b": F.split_part("phrase", F.lit(" "), F.lit(2))})
     pairs = pairs.join(clear.withColumnRenamed("phrase", "a"), "a", "left_anti").join(clear.withColumnRenamed("phrase", "b"), "b", "left_anti").drop("a", "b")
-    chosen = top.where(~F.col("phrase").contains(" ")).unionByName(pairs).orderBy(F.desc("docs"), "phrase").limit(most).toArrow()
-    phrases = {p: i for i, p in enumerate(chosen["phrase"].to_pylist())}
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    linked = staged(rows.select("key", "text").mapInArrow(lambda it: _linked(it, shared.value), "key long, sentences int, hits array<int>"), "linked")
-    subjects = sorted(r.subject for r in known.select("subject").distinct().collect())
-    if not subjects:
-        return docs.sparkSession.createDataFrame([], f"{key} long, subject string, share double")
-    given = broadcast_if_small(given)
-    # What is known of documents: their hits with their subjects; no subject for "none", null for nothing known.
-    state = linked.join(given, "key").select("hits", F.col("labels").alias("kept"))
+    chosen = staged(top.where(~F.col("phrase").contains(" ")).unionByName(pairs).select(F.col("phrase").alias("name"), F.monotonically_increasing_id().alias("id")), "chosen")
+    n = chosen.count()
+    kind = "key long, sentences int, sentence int"
+    if n <= most:
+        table = chosen.orderBy("name").toArrow()  # bounded by `most`
+        shared = docs.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(table["name"].to_pylist())})
+        numbers = docs.sparkSession.createDataFrame(list(shared.value.items()), "name string, phrase long") if n else chosen.toDF("name", "phrase")
+        hits = rows.select("key", "text").mapInArrow(lambda it: _linked(it, shared.value), kind + ", phrase int").withColumn("phrase", F.col("phrase").cast("long"))
+    else:
+        numbers = chosen.toDF("name", "phrase")
+        hits = rows.select("key", "text").mapInArrow(_phrases, kind + ", name string").join(numbers, "name").drop("name")
+    hits = kept_by(hits, "key", "links")
 
     # The prototypes are clamped seeds of every round.
-    names = docs.sparkSession.createDataFrame(list(phrases.items()), "name string, phrase int")
     own = prototypes.where("text is not null").mapInArrow(_counted, "name string, subject string, n long").where("subject <> ''").groupBy("name", "subject").agg(F.sum("n").cast("double").alias("w"))
-    own = staged(own.join(names, "name").select("phrase", "subject", "w"), "prototypes")
+    own = staged(own.join(broadcast_if_small(numbers), "name").select("phrase", "subject", "w"), "prototypes")
+    links = hits.select("key", "phrase").distinct()
+    # What is known of documents: their subjects with weights; a null one for "none", no row for nothing known.
+    state = given.select("key", F.col("labels").alias("kept"))
     for i in range(rounds + 1):
         weight = F.lit(1.0) / F.greatest(F.size("kept"), F.lit(1))
-        spoken = state.select(F.explode_outer("kept").alias("subject"), weight.alias("w"), "hits")
-        mass = spoken.select(F.explode(F.array_distinct("hits")).alias("phrase"), "subject", "w").where("phrase >= 0")
-        mass = mass.groupBy("phrase", "subject").agg(F.sum("w").alias("w")).unionByName(own)
+        spoken = broadcast_if_small(staged(state.select("key", F.explode_outer("kept").alias("subject"), weight.alias("w")), "spoken"))
+        mass = links.join(spoken, "key").groupBy("phrase", "subject").agg(F.sum("w").alias("w")).unionByName(own)
         mass = mass.groupBy("phrase", "subject").agg(F.sum("w").alias("w"))
-        weights = np.zeros((len(phrases) + 1, max(1, len(subjects))), np.float32)
-        total: Counter[int] = Counter()
-        held = mass.collect()  # phrases times subjects, bounded
-        for r in held:
-            total[r.phrase] += r.w
-        for r in held:
-            p = r.w / total[r.phrase]
-            if r.subject is not None and p >= CLEAR:
-                weights[r.phrase, subjects.index(r.subject)] = 0.5 + log(p / (1.02 - p))
-        told = docs.sparkSession.sparkContext.broadcast(weights)
-        kind = "key long, hits array<int>, subjects array<string>, shares array<double>"
-        judged = staged(linked.mapInArrow(lambda it, told=told: _judged(it, told.value, subjects, share), kind), "judged")
+        speaks = mass.groupBy("phrase").agg(F.max(F.when(F.col("subject").isNotNull(), F.struct("w", "subject"))).alias("x"), F.sum("w").alias("total"))
+        p = F.col("x.w") / F.col("total")
+        # At most one subject of a phrase can be that clear.
+        speaks = staged(speaks.where(p >= CLEAR).select("phrase", F.col("x.subject").alias("subject"), (0.5 + F.ln(p / (1.02 - p))).alias("w")), "weights")
+        judged = staged(_judged(hits, speaks, share), "judged")
         if i < rounds:
             state = _clamped(judged, given)
-    return judged.select(F.col("key").alias(key), F.explode(F.arrays_zip(F.col("subjects").alias("subject"), F.col("shares").alias("share"))).alias("x")).select(key, "x.subject", "x.share")
+    return judged.select(F.col("key").alias(key), F.explode("subjects").alias("x")).select(key, "x.subject", "x.share")
+
+
+def _judged(hits: DataFrame, speaks: DataFrame, least: float) -> DataFrame:
+    """key, subjects: those with at least `least` of the sentences, with their shares. hits are kept by key, so none of the sums moves them."""
+    heard = hits.join(broadcast_if_small(speaks), "phrase").groupBy("key", "sentences", "sentence", "subject").agg(F.sum("w").alias("w"))
+    best = heard.groupBy("key", "sentences", "sentence").agg(F.min_by("subject", F.struct((-F.round("w", 6)).alias("far"), "subject")).alias("subject"))
+    shares = best.groupBy("key", "sentences", "subject").agg((F.count("*") / F.col("sentences")).alias("share"))
+    many = F.sort_array(F.collect_list(F.when(F.col("share") >= least, F.struct("subject", "share"))))
+    return shares.groupBy("key").agg(many.alias("subjects"))
 
 
 def _clamped(judged: DataFrame, given: DataFrame) -> DataFrame:
     """Seeds with a label that their sentences bear out keep their labels; all others take their sentences' subjects."""
     labels = F.coalesce("labels", F.array().cast("array<string>"))
-    kept = F.when(F.size(F.array_intersect("subjects", labels)) > 0, labels).otherwise(F.col("subjects"))
-    return judged.join(given, "key", "left").select("hits", kept.alias("kept"))
+    rows = judged.select("key", F.transform("subjects", lambda x: x["subject"]).alias("subjects")).join(broadcast_if_small(given), "key", "left")
+    return rows.select("key", F.when(F.size(F.array_intersect("subjects", labels)) > 0, labels).otherwise(F.col("subjects")).alias("kept"))
