@@ -98,15 +98,15 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(rows: Iterator[pa.RecordBatch], phrases: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """key, sentences (of the document), sentence, phrase: each different phrase of each sentence."""
+    """key, sentences (of the document), sentence, phrase: each different phrase of each sentence; first: of the document."""
     single = {p for p in phrases if " " not in p}
     starts = {p.split(" ")[0] for p in phrases if " " in p}
     get = phrases.get
     for b in rows:
-        keys, totals, at, hits = [], [], [], []
+        keys, totals, at, hits, first = [], [], [], [], []
         for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
             all_ = sentences(text)
-            n = 0
+            n, seen = 0, set()
             for i, w in enumerate(all_):
                 found = [phrases[x] for x in single.intersection(w)]
                 if not starts.isdisjoint(w):
@@ -115,20 +115,23 @@ def _linked(rows: Iterator[pa.RecordBatch], phrases: dict[str, int]) -> Iterator
                     hits += found
                     at += [i] * len(found)
                     n += len(found)
+                    first += [x not in seen for x in found]
+                    seen.update(found)
             keys += [k] * n
             totals += [len(all_)] * n
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int32()), pa.array(at, pa.int32()), pa.array(hits, pa.int32())], names=["key", "sentences", "sentence", "phrase"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int32()), pa.array(at, pa.int32()), pa.array(hits, pa.int32()), pa.array(first, pa.bool_())], names=["key", "sentences", "sentence", "phrase", "first"])
 
 
 def _phrases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same for all phrases, by their text."""
     for b in rows:
         for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-            all_ = sentences(text)
+            all_, seen = sentences(text), set()
             for i, w in enumerate(all_):
                 found = list({*w, *map(" ".join, zip(w, w[1:]))})
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([len(all_)] * n, pa.int32()), pa.array([i] * n, pa.int32()), pa.array(found, pa.string())], names=["key", "sentences", "sentence", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([len(all_)] * n, pa.int32()), pa.array([i] * n, pa.int32()), pa.array(found, pa.string()), pa.array([x not in seen for x in found], pa.bool_())], names=["key", "sentences", "sentence", "name", "first"])
+                seen.update(found)
 
 
 def lower_bound(n: Column, of: Column, z: float = 1.96) -> Column:
@@ -168,17 +171,19 @@ def subjects_of(
     if n <= most:
         table = chosen.orderBy("name").toArrow()  # bounded by `most`
         shared = docs.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(table["name"].to_pylist())})
-        numbers = docs.sparkSession.createDataFrame(list(shared.value.items()), "name string, phrase long") if n else chosen.toDF("name", "phrase")
-        hits = rows.select("key", "text").mapInArrow(lambda it: _linked(it, shared.value), kind + ", phrase int").withColumn("phrase", F.col("phrase").cast("long"))
+        numbers = docs.sparkSession.createDataFrame(list(shared.value.items()), "name string, phrase int") if n else chosen.toDF("name", "phrase")
+        hits = rows.select("key", "text").mapInArrow(lambda it: _linked(it, shared.value), kind + ", phrase int, first boolean")
     else:
         numbers = chosen.toDF("name", "phrase")
-        hits = rows.select("key", "text").mapInArrow(_phrases, kind + ", name string").join(numbers, "name").drop("name")
+        hits = rows.select("key", "text").mapInArrow(_phrases, kind + ", name string, first boolean").join(numbers, "name").drop("name")
     hits = kept_by(hits, "key", "links")
 
     # The prototypes are clamped seeds of every round.
     own = prototypes.where("text is not null").mapInArrow(_counted, "name string, subject string, n long").where("subject <> ''").groupBy("name", "subject").agg(F.sum("n").cast("double").alias("w"))
     own = staged(own.join(broadcast_if_small(numbers), "name").select("phrase", "subject", "w"), "prototypes")
-    links = hits.select("key", "phrase").distinct()
+    links = hits.where("first").select("key", "phrase")
+    names = sorted(r.subject for r in known.select("subject").distinct().collect())
+    number = F.array_position(F.lit(names), F.col("x.subject")).cast("int")
     # What is known of documents: their subjects with weights; a null one for "none", no row for nothing known.
     state = given.select("key", F.col("labels").alias("kept"))
     for i in range(rounds + 1):
@@ -189,18 +194,25 @@ def subjects_of(
         speaks = mass.groupBy("phrase").agg(F.max(F.when(F.col("subject").isNotNull(), F.struct("w", "subject"))).alias("x"), F.sum("w").alias("total"))
         p = F.col("x.w") / F.col("total")
         # At most one subject of a phrase can be that clear.
-        speaks = staged(speaks.where(p >= CLEAR).select("phrase", F.col("x.subject").alias("subject"), (0.5 + F.ln(p / (1.02 - p))).alias("w")), "weights")
-        judged = staged(_judged(hits, speaks, share), "judged")
+        speaks = staged(speaks.where(p >= CLEAR).select("phrase", number.alias("subject"), (0.5 + F.ln(p / (1.02 - p))).alias("w")), "weights")
+        judged = staged(_judged(hits, speaks, names, share), "judged")
         if i < rounds:
             state = _clamped(judged, given)
     return judged.select(F.col("key").alias(key), F.explode("subjects").alias("x")).select(key, "x.subject", "x.share")
 
 
-def _judged(hits: DataFrame, speaks: DataFrame, least: float) -> DataFrame:
-    """key, subjects: those with at least `least` of the sentences, with their shares. hits are kept by key, so none of the sums moves them."""
+def _judged(hits: DataFrame, speaks: DataFrame, names: list[str], least: float) -> DataFrame:
+    """key, subjects: those with at least `least` of the sentences, with their shares. hits are kept by key, so none of the sums moves them.
+
+    speaks: phrase, subject (its number in names, from 1), w.
+    """
     heard = hits.join(broadcast_if_small(speaks), "phrase").groupBy("key", "sentences", "sentence", "subject").agg(F.sum("w").alias("w"))
-    best = heard.groupBy("key", "sentences", "sentence").agg(F.min_by("subject", F.struct((-F.round("w", 6)).alias("far"), "subject")).alias("subject"))
-    shares = best.groupBy("key", "sentences", "subject").agg((F.count("*") / F.col("sentences")).alias("share"))
+    # The score to six decimals and the subject in one number, so that its largest value is the first of the best.
+    scored = (F.round(F.col("w") * 1e6).cast("long") * F.lit(1 << 16) + (F.lit((1 << 16) - 1) - F.col("subject"))).alias("x")
+    best = heard.select("key", "sentences", "sentence", scored).groupBy("key", "sentences", "sentence").agg(F.max("x").alias("x"))
+    subject = (F.lit((1 << 16) - 1) - F.col("x").bitwiseAND((1 << 16) - 1)).cast("int").alias("subject")
+    shares = best.select("key", "sentences", subject).groupBy("key", "sentences", "subject").agg(F.count("*").alias("n"))
+    shares = shares.select("key", F.element_at(F.lit(names or [""]), F.col("subject")).alias("subject"), (F.col("n") / F.col("sentences")).alias("share"))
     many = F.sort_array(F.collect_list(F.when(F.col("share") >= least, F.struct("subject", "share"))))
     return shares.groupBy("key").agg(many.alias("subjects"))
 

@@ -77,7 +77,7 @@ def test_phrases_joined_or_broadcast_give_the_same(spark):
 def test_sums_by_document_move_no_rows(spark):
     """The links lie in buckets by document, so judging documents needs no shuffle."""
     links = sb.kept_by(spark.createDataFrame([(1, 2, 0, 5), (1, 2, 1, 5), (2, 1, 0, 6)], "key long, sentences int, sentence int, phrase long"), "key", "links")
-    speaks = spark.createDataFrame([(5, "a", 1.0), (6, "b", 1.0)], "phrase long, subject string, w double")
-    judged = sb._judged(links, speaks, 0.25)
+    speaks = spark.createDataFrame([(5, 1, 1.0), (6, 2, 1.0)], "phrase long, subject int, w double")
+    judged = sb._judged(links, speaks, ["a", "b"], 0.25)
     assert {r.key: [tuple(x) for x in r.subjects] for r in judged.collect()} == {1: [("a", 1.0)], 2: [("b", 1.0)]}
     assert "Exchange hashpartitioning" not in judged._jdf.queryExecution().executedPlan().toString()
