@@ -30,6 +30,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def _linked(rows: Iterator[pa.RecordBatch], phrases: dict[str, int]) -> Iterator
     starts = {p.split(" ")[0] for p in phrases if " " in p}
     get = phrases.get
     for b in rows:
-        keys, totals, at, hits, first = [], [], [], [], []
+        keys, totals, number, at, hits, first = [], [], [], [], [], []
         for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
             all_ = sentences(text)
             n, seen = 0, set()
@@ -117,9 +118,12 @@ def _linked(rows: Iterator[pa.RecordBatch], phrases: dict[str, int]) -> Iterator
                     n += len(found)
                     first += [x not in seen for x in found]
                     seen.update(found)
-            keys += [k] * n
-            totals += [len(all_)] * n
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int32()), pa.array(at, pa.int32()), pa.array(hits, pa.int32()), pa.array(first, pa.bool_())], names=["key", "sentences", "sentence", "phrase", "first"])
+            keys.append(k)
+            totals.append(len(all_))
+            number.append(n)
+        number = np.array(number, np.int64)
+        own = (np.repeat(np.array(x, np.int64), number) for x in (keys, totals))
+        yield pa.RecordBatch.from_arrays([pa.array(next(own)), pa.array(next(own).astype(np.int32)), pa.array(at, pa.int32()), pa.array(hits, pa.int32()), pa.array(first, pa.bool_())], names=["key", "sentences", "sentence", "phrase", "first"])
 
 
 def _phrases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
