@@ -1,22 +1,27 @@
 """Repair of text from scanned pages, by a noisy-channel model.
 
-Page furniture (page numbers, running headers) is told by its form and by the section's own titles. A word broken
-at the end of a line is joined with its rest, which may stand beyond a page break, unless the hyphen belongs to
+Page furniture (page numbers, running headers) is told by its form, by the section's own titles, and by repetition: a
+line that stands again and again beside the page numbers of an act, its numbers aside, is a running title there. A word
+broken at the end of a line is joined with its rest, which may stand beyond a page break, unless the hyphen belongs to
 the word: then the word stands with it elsewhere in the table. Misread words are found by a noisy channel: for
-each word of a line the candidates are the words that its characters may have come from; a candidate's likelihood
-is the product of its characters' confusion probabilities, its prior an interpolated bigram model of the corpus;
-Viterbi decodes the line. The counts of the model are those of the whole table; the words of texts that show no
-line breaks within sentences count in full, those of the other texts, which may be misread, little. The
-confusion probabilities are estimated from the table too, by one round of decoding words on their own.
+each word of a line the candidates are the known words that its characters may have come from, by the fewest misread
+places, sought along the known words' beginnings; a candidate's likelihood is the product of its characters'
+confusion probabilities, its prior an interpolated bigram model of the corpus; Viterbi decodes the line. The counts of
+the model are those of the whole table; the words of texts that show no line breaks within sentences count in full,
+those of the other texts, which may be misread, little.
+
+The confusions are a list of common ones and those that the table shows (see `learned`); the probabilities of all are
+estimated from the table by one round of decoding words on their own. A confusion that does not occur gets next to none.
 
 Lines are parted by newline and counted from 1. Null texts have no lines; empty ones nothing to repair. A section
-delivered again counts once. The model's tables are sent to all tasks; they hold the `most` most frequent words
-and pairs, a documented bound that a language's vocabulary of repeated words does not reach.
+delivered again counts once. A line of over 160 characters is no running title, one of over 24 no page number. The
+model's tables are sent to all tasks; they hold the `most` most frequent words and pairs, a documented bound.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -25,18 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, staged
+from .common import broadcast_if_small, once, staged
 
-#: Shapes that scanners take for one another, (as read, as printed).
+#: Shapes that scanners take for one another, (as read, as printed); the table's own are learned beside these.
 CONFUSIONS = [
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("0", "o"), ("o", "0"), ("5", "s"), ("s", "5"), ("1", "l"), ("l", "1"),
     ("1", "i"), ("i", "1"), ("l", "i"), ("i", "l"), ("o", "a"), ("a", "o"), ("b", "h"), ("h", "b"), ("9", "g"), ("g", "9"), ("q", "g"),
     ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"), ("d", "cl"), ("cl", "d"), ("m", "in"), ("in", "m"),
     ("h", "li"), ("li", "h"), ("n", "ri"), ("ri", "n"), ("u", "n"), ("n", "u"), ("rm", "nn"), ("nn", "rm"), ("8", "b"), ("6", "b"), ("f", "e"), ("v", "y"), ("y", "v"),
 ]
-FROM: dict[str, list[str]] = {}
-for _read, _printed in CONFUSIONS:
-    FROM.setdefault(_read, []).append(_printed)
 TOKEN = re.compile(r"\S+")
 NUMBER = re.compile(r"^(?=.*\d)(?=.*[lO])[\dlO]+$")
 CORE = re.compile(r"^[^\w]*(.*?)[^\w]*$", re.S)
@@ -48,6 +50,11 @@ UNSEEN = 1e-13
 MISREAD, TRUST = 0.003, 1e-5
 #: A word that no known word explains is taken for a new one if read so often.
 NEW = 3
+#: A confusion is learned if so many words show it, in this share of the printed shape's places, and so many times as
+#: often as rare words of trusted texts differ from common ones by it.
+SHOWN, RATE, CONTRAST = 3, 1e-3, 5
+#: A line beside a page number is a running title if it stands there so often in the act, at this share of its page breaks.
+BREAKS, AT_BREAKS = 5, 0.1
 
 
 _FOLD = str.maketrans({"c": "e", "f": "e", "t": "e", "0": "o", "a": "o", "5": "s", "1": "l", "i": "l", "9": "g", "q": "g", "b": "h", "8": "h"})
@@ -61,6 +68,11 @@ def folded(s: str) -> str:
     return s.translate(_FOLD)
 
 
+def unnumbered(line: str) -> str:
+    """The folded line without its numbers, as the same title bears another page's."""
+    return re.sub(r"\s+", " ", folded(re.sub(r"\d+", " ", line))).strip()
+
+
 def is_page_number(line: str) -> bool:
     s = line.strip()
     if not s or len(s) > 24 or s[-1] in ".,;:":
@@ -79,12 +91,14 @@ ENACTED = tuple(" " + folded(x) for x in ("ACT", "RULES", "CODE", "ORDINANCE"))
 class Titles:
     """The running titles that a section's pages may bear."""
 
-    def __init__(self, act: str | None) -> None:
+    def __init__(self, act: str | None, learned: list[str] | None = None) -> None:
         act = re.sub(r"[,\s]*\(?\b\d{4}\)?\s*$", "", act or "")
-        self.act = folded(act)
+        self.act, self.learned = folded(act), set(learned or ())
 
     def holds(self, line: str) -> bool:
         s = line.strip()
+        if self.learned and len(s) <= 160 and unnumbered(s) in self.learned:
+            return True
         if not s or len(s) > 160:
             return False
         upper, bracket, apart = sum(map(str.isupper, s)), "[" in s or "]" in s, "   " in s
@@ -165,11 +179,15 @@ def words_of(lines: list[Line]) -> list[list[str]]:
 class Model:
     def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float], confusion: dict[tuple[str, str], float] | None = None) -> None:
         self.words, self.pairs = words, pairs
+        self.vocabulary = sorted(w for w, c in words.items() if c >= 1)
         self.total = max(1.0, sum(words.values()))
         self.left: Counter[str] = Counter()
         for (a, _), c in pairs.items():
             self.left[a] += c
-        self.confusion = confusion or {}
+        self.confusion = confusion or dict.fromkeys(CONFUSIONS, MISREAD)
+        self.printed: dict[str, list[tuple[str, float]]] = {}
+        for (read, printed), chance in self.confusion.items():
+            self.printed.setdefault(read, []).append((printed, log(chance)))
         self.kept: dict[str, list[tuple[str, float]]] = {}
         self.sure: dict[str, bool] = {}
 
@@ -183,9 +201,6 @@ class Model:
             got = self.sure[token] = (not word or len(self.candidates(word)) == 1) and not NUMBER.match(core) and not token.startswith("(l)")
         return got
 
-    def chance(self, read: str, printed: str) -> float:
-        return self.confusion.get((read, printed), MISREAD)
-
     def unigram(self, w: str) -> float:
         if w.isdigit():
             return 0.01
@@ -209,34 +224,42 @@ class Model:
             got = self.kept[w] = self._candidates(w)
         return got
 
+    def begins(self, prefix: str) -> bool:
+        """Whether a known word begins so."""
+        i = bisect_left(self.vocabulary, prefix)
+        return i < len(self.vocabulary) and self.vocabulary[i].startswith(prefix)
+
     def _candidates(self, w: str) -> list[tuple[str, float]]:
+        """The known words (or words joined by hyphens) that w may have been, by the fewest misread places, of a known word by one."""
         found = {w: 0.0}
-        if len(w) > 40 or not w or not any(c.isalnum() and c.isascii() for c in w):
+        if not w or not any(c.isalnum() and c.isascii() for c in w):
             return [(w, 0.0)]
-        depth = 1 if self.known(w) else 3
-        front = {w: (0.0, 0)}
-        for _ in range(depth):
-            after: dict[str, tuple[float, int]] = {}
-            for s, (p, start) in front.items():
-                # Edits go from left to right, so that each set of edits comes once.
-                for i in range(start, len(s)):
-                    for width in (1, 2):
-                        for printed in FROM.get(s[i : i + width], ()) if i + width <= len(s) else ():
-                            t = s[:i] + printed + s[i + width :]
-                            q = p + log(self.chance(s[i : i + width], printed))
-                            if t not in after or q > after[t][0]:
-                                after[t] = (q, i + len(printed))
-            for t, (q, _) in after.items():
-                if (self.known(t) or self._compound(t)) and q > found.get(t, -1e9):
-                    found[t] = q
-            if len(found) > 1:
-                break
-            front = after if len(after) <= 3000 else {}
+        fewest = 1 if self.known(w) else len(w)
+        better: dict[str, tuple[int, float]] = {}
+        # From left to right along the known words: (place in w, word so far, of it the part after a hyphen, misread places, log chance).
+        todo = [(0, "", "", 0, 0.0)]
+        while todo:
+            i, whole, part, edits, p = todo.pop()
+            if i == len(w):
+                if edits and self.known(part) and (edits < fewest or edits == fewest and p > better.get(whole, (0, -1e9))[1]):
+                    if edits < fewest:
+                        better.clear()
+                    fewest = edits
+                    better[whole] = (edits, p)
+                continue
+            c = w[i]
+            if self.begins(part + c):
+                todo.append((i + 1, whole + c, part + c, edits, p))
+            if c == "-" and self.known(part):
+                todo.append((i + 1, whole + c, "", edits, p))
+            if edits < fewest:
+                for width in (1, 2):
+                    for printed, q in self.printed.get(w[i : i + width], ()) if i + width <= len(w) else ():
+                        if self.begins(part + printed):
+                            todo.append((i + width, whole + printed, part + printed, edits + 1, p + q))
+        found.update((t, p) for t, (_, p) in better.items() if t != w)
         return list(found.items())
 
-    def _compound(self, w: str) -> bool:
-        return "-" in w and all(self.known(x) for x in w.split("-"))
-
     def decode(self, words: list[str], before: str = "") -> list[str]:
         """The words as printed, by Viterbi over the candidates of each."""
         options = [self.candidates(w) for w in words]
@@ -386,7 +409,10 @@ def _paragraphs(lines: list[Line], fixed: dict[int, list[str]]) -> str:
 
 
 def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words (second = '') and of neighbours, of trusted texts and of the others."""
+    """Partial counts of words (second = '') and of neighbours, of trusted texts and of the others.
+
+    Also, with an act after "#" as the first, how often a line (second) stands beside a page number, '' for all page numbers.
+    """
     words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     pairs: tuple[Counter[tuple[str, str]], Counter[tuple[str, str]]] = (Counter(), Counter())
 
@@ -401,8 +427,11 @@ def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in rows:
         for text, act, chapter, title in zip(*(c.to_pylist() for c in b.columns[1:5])):
-            lines = lines_of(text or "", Titles(act))
+            titles = Titles(act)
+            lines = lines_of(text or "", titles)
             at = 1 if is_wrapped(lines) else 0
+            for line in beside(lines):
+                pairs[1]["#" + titles.act, line] += 1
             for found in words_of(lines):
                 words[at].update(found)
                 pairs[at].update(zip(found, found[1:]))
@@ -415,6 +444,17 @@ def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def beside(lines: list[Line]) -> Iterator[str]:
+    """The lines next to each page number (blank ones aside) that may be titles, without their numbers; '' for the page number."""
+    full = [x for x in lines if x.kind != "blank"]
+    for i, x in enumerate(full):
+        if x.kind == "page_number":
+            yield ""
+            for y in {i - 1, i + 1} & set(range(len(full))):
+                if full[y].kind == "text" and len(full[y].raw) <= 160 and (title := unnumbered(full[y].raw)):
+                    yield title
+
+
 def _confused(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """How often each confusion explains a word that is not known, and how often its printed form was read right.
 
@@ -422,10 +462,11 @@ def _confused(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     """
     seen: Counter[tuple[str, str]] = Counter()
     right: Counter[str] = Counter()
+    shapes = {p for _, p in model.confusion}
     for b in rows:
         for w, n in zip(b.column("first").to_pylist(), b.column("unsure").to_pylist()):
             if model.known(w):
-                for printed in {p for _, p in CONFUSIONS}:
+                for printed in shapes:
                     right[printed] += n * w.count(printed)
                 continue
             options = [(model.unigram(c) * 2.718281828**p, c) for c, p in model.candidates(w) if c != w]
@@ -434,7 +475,7 @@ def _confused(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
                 a = 0
                 while w[a : a + 1] == c[a : a + 1] != "":
                     a += 1
-                for read, printed in CONFUSIONS:
+                for read, printed in model.confusion:
                     if w.startswith(read, a) and c.startswith(printed, a) and w[a + len(read) :] == c[a + len(printed) :]:
                         seen[read, printed] += n
             elif n >= NEW:
@@ -443,21 +484,61 @@ def _confused(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] if k[0] else right[k[1]] for k in keys], pa.int64())], names=["read", "printed", "n"])
 
 
-def fit(rows: DataFrame, most: int) -> Model:
+def learned(counts: DataFrame) -> list[tuple[str, str]]:
+    """The confusions (as read, as printed) that the table itself shows.
+
+    Words that only untrusted texts have are set beside the known words that differ in one place, of one or two
+    characters; each goes with the commonest of those. What misreading does not explain, as words are alike by nature too,
+    shows among the rare words of trusted texts as well, and is no confusion.
+    """
+    words = counts.where("second = ''").where(F.col("first").rlike("^[a-z0-9]{3,64}$"))
+    gaps = F.expr(
+        "flatten(transform(sequence(1, length(first)), i -> transform(filter(array(1, 2), r -> i + r <= length(first) + 1), "
+        "r -> struct(concat(substring(first, 1, i - 1), ' ', substring(first, i + r)) AS around, substring(first, i, r) AS seg))))"
+    )
+    cut = words.select("first", "sure", "unsure", F.explode(gaps).alias("g")).select("first", "sure", "unsure", "g.around", "g.seg")
+    # A known word that is no commoner than SHOWN explains nothing, and no word explains one nearly as common.
+    common = cut.where((F.col("sure") > SHOWN) & F.col("first").rlike("^[a-z]+$")).select("around", F.col("seg").alias("printed"), F.col("sure").alias("common"))
+    pair = cut.join(common, "around").where(F.col("common") >= 10 * F.greatest("sure", "unsure"))
+    pair = pair.where((F.left("seg", F.lit(1)) != F.left("printed", F.lit(1))) & (F.right("seg", F.lit(1)) != F.right("printed", F.lit(1))))
+    best = pair.groupBy("first", "sure", "unsure").agg(F.max_by(F.struct("seg", "printed"), F.struct("common", "seg", "printed")).alias("x"))
+    bad = F.col("sure") == 0
+    shown = best.groupBy("x.seg", "x.printed").agg(F.count_if(bad).alias("words"), F.sum(F.when(bad, F.col("unsure")).otherwise(0)).alias("n"), F.sum("sure").alias("control"))
+    shown = staged(shown.where((F.col("words") >= SHOWN) & (F.col("n") >= CONTRAST * F.col("control"))), "shown")
+    places = [F.sum(F.col("unsure") * F.floor((F.length("first") - F.length(F.replace("first", F.lit(p), F.lit("")))) / len(p))).alias(p) for p in sorted({r.printed for r in shown.select("printed").distinct().collect()})]
+    if not places:
+        return []
+    right = words.where("sure > 0").agg(*places).first()
+    pairs = {(r.seg, r.printed): r.n for r in shown.collect() if r.n >= RATE * (right[r.printed] or 0)}  # of one or two characters
+    # A pair that holds a commoner one, with something beside it, is that one in a word with another ending.
+    return sorted(p for p, n in pairs.items() if not any(q != p and m > n and q[0] in p[0] and q[1] in p[1] for q, m in pairs.items()))
+
+
+def titles_of(counts: DataFrame) -> DataFrame:
+    """act, titles: the running titles that stand beside the page numbers of the act, besides those told by their form."""
+    rows = counts.where(F.col("first").startswith("#")).select(F.substring("first", 2, 1 << 30).alias("act"), "second", "unsure")
+    all_ = rows.where("second = ''").select("act", F.col("unsure").alias("breaks"))
+    kept = rows.where("second <> ''").join(broadcast_if_small(all_), "act").where((F.col("unsure") >= BREAKS) & (F.col("unsure") >= AT_BREAKS * F.col("breaks")))
+    return staged(kept.groupBy("act").agg(F.sort_array(F.collect_list("second")).alias("titles")), "titles")
+
+
+def fit(rows: DataFrame, most: int) -> tuple[Model, DataFrame]:
+    """The model, and the running titles of each act that were learned."""
     counts = staged(rows.mapInArrow(_counts, "first string, second string, sure long, unsure long").groupBy("first", "second").agg(F.sum("sure").alias("sure"), F.sum("unsure").alias("unsure")), "ngrams")
     # However often a word is read in texts that are not trusted, that alone does not make it known.
     weight = F.col("sure") + F.least(F.lit(0.5), TRUST * F.col("unsure"))
     top = lambda df: df.orderBy(F.desc("w"), "first", "second").limit(most).toArrow()
-    words = top(counts.where("second = ''").select("first", "second", weight.alias("w")))
-    pairs = top(counts.where("second <> ''").select("first", "second", weight.alias("w")).where(F.col("w") >= 1))
+    told = counts.where(~F.col("first").startswith("#"))
+    words = top(told.where("second = ''").select("first", "second", weight.alias("w")))
+    pairs = top(told.where("second <> ''").select("first", "second", weight.alias("w")).where(F.col("w") >= 1))
     tables = dict(zip(words["first"].to_pylist(), words["w"].to_pylist())), dict(zip(zip(pairs["first"].to_pylist(), pairs["second"].to_pylist()), pairs["w"].to_pylist()))
-    model = Model(*tables)
-    seen = counts.where("second = '' and unsure > 0").select("first", "unsure").mapInArrow(lambda it: _confused(it, model), "read string, printed string, n long")
-    # As many rows as CONFUSIONS, and the new ones of the words held already.
+    model = Model(*tables, dict.fromkeys([*CONFUSIONS, *learned(told)], MISREAD))
+    seen = told.where("second = '' and unsure > 0").select("first", "unsure").mapInArrow(lambda it: _confused(it, model), "read string, printed string, n long")
+    # As many rows as confusions, and the new ones of the words held already.
     n = {(r.read, r.printed): r.n for r in seen.groupBy("read", "printed").agg(F.sum("n").alias("n")).collect()}
     tables[0].update((w, float(c)) for (kind, w), c in n.items() if kind == "=" and w in tables[0])
-    chances = {(a, b): (n.get((a, b), 0) + 1) / (n.get((a, b), 0) + n.get(("", b), 0) + 1 / MISREAD) for a, b in CONFUSIONS}
-    return Model(*tables, chances)
+    chances = {(a, b): (n.get((a, b), 0) + 1) / (n.get((a, b), 0) + n.get(("", b), 0) + 1 / MISREAD) for a, b in model.confusion}
+    return Model(*tables, chances), titles_of(counts)
 
 
 def _sections(df: DataFrame, key: str, text: str, act: str, chapter: str, title: str) -> DataFrame:
@@ -469,7 +550,11 @@ def _sections(df: DataFrame, key: str, text: str, act: str, chapter: str, title:
 def repair(df: DataFrame, key: str, text: str, act: str, chapter: str, title: str, most: int = 300_000) -> DataFrame:
     """key, text (repaired), noise: the lines that needed repair, as an array of (line_no, kind)."""
     rows = staged(_sections(df, key, text, act, chapter, title), "sections")
-    model = fit(rows, most)
+    model, titles = fit(rows, most)
+    # An act's folded name, as Titles has it, is the key.
+    folds = F.udf(lambda a: Titles(a).act, "string")
+    acts = staged(rows.select("act").distinct().where("act is not null").select(F.col("act").alias("name"), folds("act").alias("act")), "acts")
+    titles = titles.join(acts, "act").select(F.col("name").alias("act"), "titles")
     shared = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.confusion))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,10 +564,11 @@ def repair(df: DataFrame, key: str, text: str, act: str, chapter: str, title: st
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 out, noise = [], []
-                for t, a in zip(part.column("text").to_pylist(), part.column("act").to_pylist()):
-                    found, fixed = examine(t, Titles(a), m) if t else ([], t)
+                for t, a, own in zip(*(part.column(c).to_pylist() for c in ("text", "act", "titles"))):
+                    found, fixed = examine(t, Titles(a, own), m) if t else ([], t)
                     out.append(fixed)
                     noise.append([{"line_no": n, "kind": k} for n, k in sorted(found)])
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string()), pa.array(noise, kind)], names=["key", "text", "noise"])
 
-    return rows.select("key", "text", "act").mapInArrow(run, "key long, text string, noise array<struct<line_no:int,kind:string>>").withColumnRenamed("key", key)
+    rows = rows.select("key", "text", "act").join(broadcast_if_small(titles), "act", "left") if titles.limit(1).count() else rows.select("key", "text", "act", F.lit(None).cast("array<string>").alias("titles"))
+    return rows.mapInArrow(run, "key long, text string, noise array<struct<line_no:int,kind:string>>").withColumnRenamed("key", key)

@@ -89,3 +89,49 @@ def test_long_and_empty(spark):
     rows = [(1, "word " * 100_000, None, None, None)]
     assert len(sn.repair(table(spark, rows), "k", "body", "act", "ch", "ti").collect()) == 1
     assert sn.repair(table(spark, rows).limit(0), "k", "body", "act", "ch", "ti").count() == 0
+
+
+def test_confusions_and_titles_that_no_list_holds(spark):
+    """The scanner reads k for h, and the pages bear a title that has no form and is not the act's."""
+    r = random.Random(7)
+    act = "Sulrell Village Courts Act, 1996"
+    rows = [(i, "\n\n".join(" ".join(sentences(r, 3)) for _ in range(3)), act, None, None) for i in range(80)]
+    want = {}
+    for i in range(100, 140):
+        out, noise, text = [], [], " ".join(sentences(r, 12))
+        for n, x in enumerate(wrap(text)):
+            if n in (3, 9):
+                out += ["", str(10 * i + n), "Proceedings of the lower house  " + str(i), ""]
+                noise += [(len(out) - 2, "page_number"), (len(out) - 1, "running_header")]
+            hit = [w for w in x.split() if "h" in w[1:]]
+            if n % 5 == 2 and hit:
+                w = r.choice(hit)
+                x = x.replace(w, w[0] + w[1:].replace("h", "k", 1), 1)
+                noise.append((len(out) + 1, "misread"))
+            out.append(x)
+        rows.append((i, "\n".join(out), act, None, None))
+        want[i] = (noise, text)
+    assert ("k", "h") not in sn.CONFUSIONS
+    got = {x.k: x for x in sn.repair(table(spark, rows), "k", "body", "act", "ch", "ti").collect()}
+    for i, (noise, text) in want.items():
+        assert sorted((x.line_no, x.kind) for x in got[i].noise) == sorted(noise), rows[i - 20]
+        assert got[i].text.split() == text.split()
+    assert not any(got[i].noise for i in range(80))
+
+
+def test_any_number_of_misread_places_in_words_of_any_length():
+    long = "antidisestablishmentarianismcommissioner" + "s" * 30
+    model = sn.Model({long: 9.0, "assessments": 9.0, "self": 9.0, "a": 1.0}, {}, dict.fromkeys(sn.CONFUSIONS, 0.2))
+    assert model.decode([long.replace("i", "1").replace("ss", "5s", 1)]) == [long]
+    assert model.decode(["5e1f-a55essmcnt5"]) == ["self-assessments"]
+    assert model.decode(["a0" * 60_000]) == ["a0" * 60_000]
+
+
+def test_alike_words_are_no_confusions(spark):
+    """Words that differ by nature do so in trusted texts too."""
+    counts = [("walk", 90, 0), ("talk", 80, 0), ("stock", 90, 0), ("lake", 70, 0), ("made", 99, 0)]
+    counts += [("wolk", 0, 3), ("tolk", 0, 2), ("loke", 0, 2), ("mode", 2, 1)]  # o for a
+    counts += [("wulk", 3, 0), ("tulk", 3, 0), ("luke", 3, 0), ("mude", 3, 0), ("stuck", 0, 2), ("tulke", 0, 1), ("muder", 0, 1)]
+    df = spark.createDataFrame([(w, "", s, u) for w, s, u in counts] + [("walk", "talk", 5, 5)], "first string, second string, sure long, unsure long")
+    assert sn.learned(df) == [("o", "a")]
+    assert sn.learned(df.limit(0)) == []
