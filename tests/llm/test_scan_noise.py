@@ -123,7 +123,7 @@ def test_any_number_of_misread_places_in_words_of_any_length():
     long = "antidisestablishmentarianismcommissioner" + "s" * 30
     model = sn.Model({long: 9.0, "assessments": 9.0, "self": 9.0, "a": 1.0}, {}, dict.fromkeys(sn.CONFUSIONS, 0.2))
     assert model.decode([long.replace("i", "1").replace("ss", "5s", 1)]) == [long]
-    assert model.decode(["5e1f-a55essmcnt5"]) == ["self-assessments"]
+    assert model.decode(["a55e55mcnt5"]) == ["assessments"]
     assert model.decode(["a0" * 60_000]) == ["a0" * 60_000]
 
 
