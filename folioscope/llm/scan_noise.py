@@ -488,7 +488,7 @@ def learned(counts: DataFrame) -> list[tuple[str, str]]:
     """The confusions (as read, as printed) that the table itself shows.
 
     Words that only untrusted texts have are set beside the known words that differ in one place, of one or two
-    characters; each goes with the commonest of those. What misreading does not explain, as words are alike by nature too,
+    characters; each goes with that of the shortest difference, then the commonest. What misreading does not explain, as words are alike by nature too,
     shows among the rare words of trusted texts as well, and is no confusion.
     """
     words = counts.where("second = ''").where(F.col("first").rlike("^[a-z0-9]{3,64}$"))
@@ -501,7 +501,7 @@ def learned(counts: DataFrame) -> list[tuple[str, str]]:
     common = cut.where((F.col("sure") > SHOWN) & F.col("first").rlike("^[a-z]+$")).select("around", F.col("seg").alias("printed"), F.col("sure").alias("common"))
     pair = cut.join(common, "around").where(F.col("common") >= 10 * F.greatest("sure", "unsure"))
     pair = pair.where((F.left("seg", F.lit(1)) != F.left("printed", F.lit(1))) & (F.right("seg", F.lit(1)) != F.right("printed", F.lit(1))))
-    best = pair.groupBy("first", "sure", "unsure").agg(F.max_by(F.struct("seg", "printed"), F.struct("common", "seg", "printed")).alias("x"))
+    best = pair.groupBy("first", "sure", "unsure").agg(F.max_by(F.struct("seg", "printed"), F.struct(-F.length("seg") - F.length("printed"), "common", "seg", "printed")).alias("x"))
     bad = F.col("sure") == 0
     shown = best.groupBy("x.seg", "x.printed").agg(F.count_if(bad).alias("words"), F.sum(F.when(bad, F.col("unsure")).otherwise(0)).alias("n"), F.sum("sure").alias("control"))
     shown = staged(shown.where((F.col("words") >= SHOWN) & (F.col("n") >= CONTRAST * F.col("control"))), "shown")
