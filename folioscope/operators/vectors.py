@@ -1,7 +1,8 @@
 """Vector arithmetic and exact nearest neighbours.
 
 Single pairs are column expressions; a batch of queries against a table goes through numpy in Arrow batches: each
-batch of rows is multiplied with the whole batch of queries, and only its k best per query leave the task.
+batch of rows is multiplied with the whole batch of queries. A task keeps one running list of the k best for each
+query and gives it out once, at its end.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: st
 
         def run(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, x, fs, groups = held.value
+            best, place = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
             for b in it:
                 ok = _usable(b.column("v"), dim)
                 b = b.filter(pa.array(ok))
@@ -92,15 +94,22 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: st
                     for lo in range(0, len(qs) if len(sel) else 0, 512):
                         q = qs[lo : lo + 512]
                         yy = y[sel]
-                        # The short form orders the rows; the distances given are summed term by term.
-                        near = (yy * yy).sum(axis=1)[None, :] - 2 * x[q] @ yy.T
+                        # The short form tells which rows may come near; the distances given are summed term by term.
+                        near = (x[q] * x[q]).sum(axis=1)[:, None] + (yy * yy).sum(axis=1)[None, :] - 2 * x[q] @ yy.T
+                        if metric == "cosine":
+                            near /= 2
+                        open_ = near.min(axis=1) <= best[q, -1] + 1e-6
+                        q, near = q[open_], near[open_]
+                        if not len(q):
+                            continue
                         m = min(k + 8, len(sel))
-                        best = np.argpartition(near, m - 1, axis=1)[:, :m]
-                        d = 1 - (x[q][:, None, :] * yy[best]).sum(axis=2) if metric == "cosine" else ((x[q][:, None, :] - yy[best]) ** 2).sum(axis=2)
-                        d = d.round(12)
-                        order = np.lexsort((rid[sel][best], d), axis=1)[:, :k]
-                        d, r = np.take_along_axis(d, order, 1), np.take_along_axis(rid[sel][best], order, 1)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], d.shape[1])), pa.array(r.ravel()), pa.array(d.ravel())], names=["query", "id", "distance"])
+                        at = np.argpartition(near, m - 1, axis=1)[:, :m]
+                        d = 1 - (x[q][:, None, :] * yy[at]).sum(axis=2) if metric == "cosine" else ((x[q][:, None, :] - yy[at]) ** 2).sum(axis=2)
+                        both, held_ids = np.concatenate([best[q], d.round(12)], axis=1), np.concatenate([place[q], rid[sel][at]], axis=1)
+                        order = np.lexsort((held_ids, both), axis=1)[:, :k]
+                        best[q], place[q] = np.take_along_axis(both, order, 1), np.take_along_axis(held_ids, order, 1)
+            q, at = np.nonzero(best < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(place[q, at]), pa.array(best[q, at])], names=["query", "id", "distance"])
 
         got = rows.mapInArrow(run, "query long, id long, distance double")
         found = got if found is None else found.unionByName(got)

@@ -231,8 +231,7 @@ def bm25_topk(s, d):
 @query
 def bm25_zscore_sigmoid(s, d):
     index = index_of(s, d)
-    asked = lexical_queries(s, d), "query_id", "text"
-    rows = lexical.z_scores(index, lexical.scores(index, *asked), lexical.moments(index, *asked))
+    rows = lexical.z_scores(index, *lexical.scores_and_moments(index, lexical_queries(s, d), "query_id", "text"))
     return rows.select(c("query").alias("query_id"), c("doc").alias("chunk_key"), r4("z").alias("z"), F.round("squashed", 4).alias("squashed"))
 
 

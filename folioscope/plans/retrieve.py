@@ -63,8 +63,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Confi
     index = lexical.build(chunks, "doc", "text", cfg.bm25)
     near = staged(near, "near")
     pairs = near.select(c("query_id").alias("query"), "doc")
-    scored = lexical.scores(index, q, "query_id", "lexical_text", pairs).withColumnRenamed("query", "query_id")
-    moments = lexical.moments(index, q, "query_id", "lexical_text").withColumnRenamed("query", "query_id")
+    scored, moments = (x.withColumnRenamed("query", "query_id") for x in lexical.scores_and_moments(index, q, "query_id", "lexical_text", pairs))
 
     rows = near.join(scored, ["query_id", "doc"], "left").join(broadcast_if_small(moments), "query_id", "left")
     bm25 = F.coalesce("score", F.lit(0.0))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import broadcast_if_small
 
 
 def parent(path: Column) -> Column:
@@ -72,7 +73,7 @@ def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def with_defaults(rows: DataFrame, metadata: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
     """Columns from a lookup table by key, with computed values where it has none."""
-    found = rows.join(F.broadcast(metadata.select(key, *(F.col(c).alias(f"_{c}") for c in defaults))), key, "left")
+    found = rows.join(broadcast_if_small(metadata.select(key, *(F.col(c).alias(f"_{c}") for c in defaults))), key, "left")
     return found.withColumns({c: F.coalesce(f"_{c}", d) for c, d in defaults.items()}).drop(*(f"_{c}" for c in defaults))
 
 

@@ -44,7 +44,7 @@ def test_bm25(spark, index):
 def test_z_scores(spark, index):
     q = spark.createDataFrame([(1, "court appeal")], "q long, t string")
     s = np.array(list(okapi(DOCS, "court appeal").values()))
-    for r in lexical.z_scores(index, lexical.scores(index, q, "q", "t"), lexical.moments(index, q, "q", "t")).collect():
+    for r in lexical.z_scores(index, *lexical.scores_and_moments(index, q, "q", "t")).collect():
         z = (okapi(DOCS, "court appeal")[r.doc] - s.mean()) / (s.std() + 1e-6)
         assert (r.z, r.squashed) == pytest.approx((z, 1 / (1 + exp(-z))))
 
