@@ -65,3 +65,15 @@ def from_batches(encode: Callable[[list[str]], np.ndarray], batch: int = 64) ->
             yield pd.Series(rows, index=s.index)
 
     return run
+
+
+def pairs_from_batches(score: Callable[[list[tuple[str, str]]], np.ndarray], batch: int = 8) -> Callable[[Column, Column], Column]:
+    """A cross-encoder of lists of (query, document) as a scorer of two text columns; it is called in batches, on executors."""
+
+    @F.pandas_udf("double")
+    def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, d in columns:
+            pairs = list(zip(q.fillna("").tolist(), d.fillna("").tolist()))
+            yield pd.Series([float(v) for lo in range(0, len(pairs), batch) for v in score(pairs[lo : lo + batch])], index=q.index, dtype="float64")
+
+    return run

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def outcomes(results: DataFrame, gold: DataFrame, cases: DataFrame) -> DataFrame:
     """query_id, primary_rank, secondary_rank, strict_rank, relaxed_rank of every case; null for a miss.
@@ -33,11 +35,21 @@ def duplicate_citations(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "act_name", "section_number").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def category_leaks(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """query_id, leaks: the results of another category than the one asked for, where one was asked for."""
+def passed(rows: DataFrame) -> DataFrame:
+    """cases, misses, passed: whether every case is met strictly. No cases pass."""
+    misses = F.count_if(F.col("strict_rank").isNull())
+    return rows.agg(F.count("*").alias("cases"), misses.alias("misses"), (misses == 0).alias("passed"))
+
+
+def leaked_results(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """The results (with all their columns) of another category than the one asked for, where one was asked for."""
     asked = cases.where(F.coalesce("category_filter", F.lit("")) != "").select("query_id", "category_filter")
-    rows = results.join(asked, "query_id").where((F.coalesce("category", F.lit("")) != "") & (F.col("category") != F.col("category_filter")))
-    return rows.groupBy("query_id").agg(F.count("*").alias("leaks"))
+    return results.join(broadcast_if_small(asked), "query_id").where((F.coalesce("category", F.lit("")) != "") & (F.col("category") != F.col("category_filter")))
+
+
+def category_leaks(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, leaks: how many results leaked."""
+    return leaked_results(results, cases).groupBy("query_id").agg(F.count("*").alias("leaks"))
 
 
 def wrong_but_sure(results: DataFrame, rows: DataFrame, score: float) -> DataFrame:

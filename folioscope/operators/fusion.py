@@ -95,6 +95,14 @@ def finish(rows: DataFrame, k: int, *ties: str, cfg: FusionConfig = FusionConfig
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def of_acts(rows: DataFrame, acts: list[str], by: str = "score") -> DataFrame:
-    """For diagnosis: the candidates from some acts, best first."""
-    return rows.where(F.col("act_name").isin(*acts)).orderBy("query_id", F.desc_nulls_last(by))
+def kept(rows: DataFrame, min_score: float | None = None, asked: str | None = None, by: str = "score") -> DataFrame:
+    """Rows of at least that score and, where the column `asked` names a category, of that category."""
+    if min_score is not None:
+        rows = rows.where(F.col(by) >= min_score)
+    return rows.where(F.col(asked).isNull() | (F.col("category") == F.col(asked))) if asked else rows
+
+
+def of_acts(rows: DataFrame, acts: list[str] | DataFrame, by: str = "score") -> DataFrame:
+    """For diagnosis: the candidates from some acts (names, or a table with act_name)."""
+    rows = rows.where(F.col("act_name").isin(*acts)) if isinstance(acts, list) else rows.join(broadcast_if_small(acts.select("act_name").distinct()), "act_name", "left_semi")
+    return rows

@@ -109,3 +109,10 @@ def parse_acts(raw: DataFrame, cfg: ParseConfig = ParseConfig(), noise: list[str
     rows = rows.join(raw.select("path", "category"), "path").select("*", *meta.values())
     citation = F.concat(F.col("act_name"), F.lit(" › Section "), F.col("section_number"), F.lit(" › "), F.col("section_title"))
     return rows.select("path", "category", "act_name", "short_name", "year", "ministry", "chapter", "section_number", "section_title", "text", citation.alias("citation"), F.length("text").alias("char_count"), "pos")
+
+
+def parse_failures(raw: DataFrame, sections: DataFrame) -> DataFrame:
+    """path, reason: the documents that gave no section, for an error of the extraction (a column `error`, if there is one) or for what they hold."""
+    error = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
+    empty = F.when(F.col("text").isNull(), "no text").otherwise("no sections")
+    return raw.select("path", F.coalesce(error, empty).alias("reason")).join(sections.select("path").distinct(), "path", "left_anti")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FusionConfig, RouteConfig
+from ..config import Config, FusionConfig, RouteConfig
 from ..functions import text as T
+from ..functions.embed import hashing, pairs_from_batches
 from ..operators import chunks as C
 from ..operators import evaluation, fusion, ingestion, lexical, routing, sections, vectors
-from ..session import broadcast_if_small, read
+from ..session import broadcast_if_small, read, shared_folder
 from ..sources import files
+from ..sources.store import Store
+from ..streaming.ingest import ingest_stream
 from . import oracles
-from .retrieve import SHOWN, retrieve
+from .retrieve import SHOWN, contexts, nearest_texts as probe, retrieve, retrieve_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 c = F.col
@@ -179,6 +183,13 @@ def parse_acts(s, d):
     return rows.select("path", "act_name", "short_name", "chapter", "section_number", "section_title", "citation", c("char_count").cast("long").alias("char_count"), c("pos").cast("long").alias("pos"), F.md5("text").alias("md5"))
 
 
+@query
+def parse_failed(s, d):
+    """Documents without text, and those without section heads whose paragraphs are all short."""
+    docs = read(s, d, "documents").select(c("doc_id").cast("string").alias("path"), F.lit("statute").alias("category"), F.substring_index("text", "\n", 1).alias("text"))
+    return sections.parse_failures(docs, sections.parse_acts(docs))
+
+
 # Chunks ----------------------------------------------------------------------------------------------------------
 
 
@@ -216,6 +227,14 @@ def bm25_stats(s, d):
     return index_of(s, d).terms.select("term", "df", F.round("idf", 4).alias("idf"))
 
 
+@query
+def bm25_saved(s, d):
+    """The statistics of an index that was saved and loaded again."""
+    folder = f"{shared_folder(s)}/bm25-{uuid.uuid4().hex}"
+    lexical.save(index_of(s, d), folder)
+    return lexical.load(s, folder).terms.select("term", "df", F.round("idf", 4).alias("idf"))
+
+
 @query
 def bm25_scores(s, d):
     rows = lexical.scores(index_of(s, d), lexical_queries(s, d), "query_id", "text")
@@ -371,7 +390,7 @@ def fusion_top20(s, d):
 
 @query
 def min_score_and_filter(s, d):
-    rows = fusion.fuse(candidates(s, d)).where((c("score") >= 0.45) & (c("asked_category").isNull() | (c("category") == c("asked_category"))))
+    rows = fusion.kept(fusion.fuse(candidates(s, d)), 0.45, "asked_category")
     return rows.select("query_id", "result_id", r4("score").alias("score"))
 
 
@@ -379,7 +398,7 @@ def min_score_and_filter(s, d):
 def diagnostic_acts(s, d):
     """The candidates from the acts of even years."""
     acts = read(s, d, "acts").where("year % 2 = 0").select("act_name").distinct()
-    rows = fusion.fuse(candidates(s, d)).join(broadcast_if_small(acts), "act_name", "left_semi")
+    rows = fusion.of_acts(fusion.fuse(candidates(s, d)), acts)
     return rows.select("query_id", "result_id", "act_name", r4("score").alias("score"))
 
 
@@ -389,6 +408,19 @@ def rerank_overlap(s, d):
     return rows.select("result_id", F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
 
 
+@query
+def rerank_batched(s, d):
+    """A scorer that takes lists of pairs, as a cross-encoder does; here the share of the query's words that the document has."""
+    import re
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        found = [[set(re.findall("[a-z0-9]+", x.lower())) for x in pair] for pair in pairs]
+        return [len(a & b) / len(a) if a else 0.0 for a, b in found]
+
+    rows = fusion.rerank(fusion.fuse(candidates(s, d)), scorer=pairs_from_batches(score))
+    return rows.select("result_id", F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
+
+
 @query
 def rerank_blend(s, d):
     rows = fusion.blend(results_of(s, d))
@@ -454,6 +486,28 @@ def category_leakage(s, d):
     return evaluation.category_leaks(results_of(s, d), cases)
 
 
+@query
+def leaked_results(s, d):
+    """Which results leaked, with act, section and category."""
+    asked = F.when(c("query_id") % 3 == 0, "criminal").otherwise(c("category"))
+    cases = read(s, d, "retrieval_queries").select("query_id", asked.alias("category_filter"))
+    return evaluation.leaked_results(results_of(s, d), cases).select("query_id", "result_id", "act_name", "section_number", "category", "category_filter")
+
+
+@query
+def eval_passed(s, d):
+    return evaluation.passed(outcomes_of(s, d))
+
+
+@query
+def eval_report(s, d):
+    """The metrics written as a report and read again."""
+    folder = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
+    rows = hit_mrr(s, d)
+    files.write_report(rows, folder)
+    return s.read.schema(rows.schema).json(f"{folder}/json").select(rows.columns)
+
+
 @query
 def wrong_but_sure(s, d):
     rows = ranked(s, d).withColumn("final_score", c("score"))
@@ -499,6 +553,58 @@ def manifest_of(s: SparkSession, d: str) -> DataFrame:
     return keyed(s, d).join(read(s, d, "doc_subject_labels").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+@query
+def fetch_failed(s, d):
+    return files.failed_fetches(files.first_fetched(attempts(s, d), "source"), "source")
+
+
+@query
+def fetch_documents(s, d):
+    """The acts fetched from an invented host that has no document at the first address of every other act, and none of some acts."""
+
+    def get(url: str) -> tuple[int, str, bytes]:
+        number = int(url.rsplit("/", 1)[1])
+        if "/first/" in url and number % 2:
+            return 404, "text/html", b""
+        if number % 5 == 0:
+            raise TimeoutError("no answer")
+        return 200, "application/pdf", f"act {number}".encode()
+
+    number = c("act_key").cast("string")
+    rows = read(s, d, "acts").select("act_key", F.array(F.concat(F.lit("host/first/"), number), F.concat(F.lit("host/second/"), number)).alias("urls"))
+    return files.fetch(rows, "act_key", get).select("act_key", "url", c("content").cast("string").alias("content"), c("error").isNotNull().alias("failed"))
+
+
+@query
+def scan_files(s, d):
+    """Texts written to files by category, found again at any depth; the category comes from the folder."""
+    folder = f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
+    one_line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r\f]+", " ")
+    sections_of(s, d, "category", "text").select(F.coalesce("category", F.lit("none")).alias("category"), one_line.alias("value")).where("trim(value) <> ''").write.partitionBy("category").text(folder)
+    rows = files.scan_documents(s, folder, files.text_pages, "*.txt")
+    lines = rows.select(F.regexp_replace("category", "^category=", "").alias("category"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(c("category"), F.md5("line").alias("md5"))
+
+
+@query
+def sections_json(s, d):
+    """Parsed sections written as JSON and read again."""
+    folder = f"{shared_folder(s)}/sections-{uuid.uuid4().hex}"
+    cols = ("category", "act_name", "section_number", "section_title", "topics", "text")
+    rows = sections_of(s, d, *cols).select(F.coalesce("category", F.lit("none")).alias("category"), *cols[1:])
+    files.write_sections(rows, folder)
+    return files.read_sections(s, folder).select("category", "act_name", "section_number", "section_title", F.array_join("topics", "|").alias("topics"), F.md5("text").alias("md5"))
+
+
+@query
+def dimension_json(s, d):
+    """The subject areas written as one JSON array and read again."""
+    path = f"{shared_folder(s)}/areas-{uuid.uuid4().hex}"
+    files.write_dimension(read(s, d, "subject_areas").select("subject_no", "subject", "prototype", "hindi_terms"), path)
+    rows = files.read_dimension(s, path, "subject_no int, subject string, prototype string, hindi_terms array<string>")
+    return rows.select("subject_no", "subject", "prototype", F.array_join("hindi_terms", "|").alias("hindi_terms"))
+
+
 @query
 def incremental_new(s, d):
     return ingestion.new_rows(keyed(s, d), manifest_of(s, d), "file_key").select("doc_id", "file_key")
@@ -547,38 +653,89 @@ def assign_ids(s, d):
 # The whole cascade -----------------------------------------------------------------------------------------------
 
 
-@query
-def hybrid_retrieve(s, d):
-    """All queries against all chunks; both sides by the hashing embedder, in the routed category."""
-    from ..functions.embed import hashing
-
+def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks and their vectors."""
     cols = [x for x in SHOWN if x not in ("text",)]
     rows = chunks_of(s, d, "text", *cols).withColumnRenamed("chunk_key", "doc")
     rows = rows.withColumn("category", F.lower("category")).withColumn("topics", T.topics(c("text"), default=True))
     text = T.search_text(*(c(x) for x in ("act_name", "section_number", "section_title", "chapter", "text")))
-    store = rows.select("doc", "category", hashing(64)(text).alias("embedding"))
-    found = retrieve(read(s, d, "retrieval_queries"), rows, store)
+    return rows, rows.select("doc", "category", hashing(64)(text).alias("embedding"))
+
+
+@query
+def hybrid_retrieve(s, d):
+    """All queries against all chunks; both sides by the hashing embedder, in the routed category."""
+    found = retrieve(read(s, d, "retrieval_queries"), *corpus(s, d))
     return found.select("query_id", c("rank").cast("long").alias("rank"), c("doc").alias("chunk_key"), "act_name", "section_number", "citation", "semantic_score", "bm25_score", r4("score").alias("score"), F.round("rerank_score", 4).alias("rerank_score"), F.round("final_score", 4).alias("final_score"))
 
 
+INGESTED = ("category", "act_name", "year", "chapter", "section_number", "section_title", "topics", "text", "citation", "char_count", "short_name", "source")
+
+
 @query
 def stream_ingest(s, d):
     """The parsed sections as a stream of files into a new store, run twice; the second run finds nothing new."""
-    import uuid
-
-    from ..session import shared_folder
-    from ..sources.store import Store
-    from ..streaming.ingest import ingest_stream
-
     base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    cols = ("category", "act_name", "year", "chapter", "section_number", "section_title", "topics", "text", "citation", "char_count", "short_name", "source")
-    sections_of(s, d, *cols).drop("section_key").withColumn("ministry", F.lit(None).cast("string")).write.parquet(f"{base}/in")
+    sections_of(s, d, *INGESTED).drop("section_key").withColumn("ministry", F.lit(None).cast("string")).write.parquet(f"{base}/in")
     store = Store(s, f"{base}/store")
     for run in ("first", "again"):
         ingest_stream(s, f"{base}/in", store, f"{base}/{run}").awaitTermination()
     return store.rows_by_source()
 
 
+def stored(s: SparkSession, d: str) -> Store:
+    """The acts' sections in a store, of which those of even years came a second time, changed, and the store was compacted."""
+    store = Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+    rows = sections_of(s, d, *INGESTED).drop("section_key").where("source is not null").withColumn("ministry", F.lit(None).cast("string"))
+    store.ingest(rows.withColumn("file_key", F.concat("source", F.lit(":1"))), reset=True)
+    changed = rows.where("year % 2 = 0").withColumns({"file_key": F.concat("source", F.lit(":2")), "text": F.concat(F.lit("New: "), "text")})
+    store.ingest(changed)
+    store.compact()
+    return store
+
+
+@query
+def store_chunks(s, d):
+    return stored(s, d).chunks.select("source", "category", "chunk_id")
+
+
+@query
+def store_vectors(s, d):
+    """Every chunk of the store has its vector, and the cache one for each text that was embedded."""
+    store = stored(s, d)
+    rows = store.vectors.join(store.chunks.select("category", "chunk_id"), ["category", "chunk_id"]).groupBy("source").agg(F.count("*").alias("n"))
+    return rows.unionByName(store.manifest.select(c("file_key").alias("source"), F.lit(1).cast("long").alias("n")))
+
+
+@query
+def nearest_texts(s, d):
+    """A look at the store: the nearest chunks of each query's text."""
+    rows = chunks_of(s, d, "text").select(c("chunk_key").alias("doc"), hashing(64)(c("text")).alias("embedding"))
+    found = probe(read(s, d, "retrieval_queries").select("query_id", c("original_query").alias("query")), rows, 5)
+    return found.select("query_id", c("doc").alias("chunk_key"), r4("distance").alias("distance"), c("rank").cast("long").alias("rank"))
+
+
+@query
+def routed_contexts(s, d):
+    """Contexts from the queries' texts: prototypes and intents, both of the subject areas, are embedded by the same embedder."""
+    areas = read(s, d, "subject_areas")
+    prototypes = areas.select(c("subject").alias("category"), c("subject_no").alias("pos"), "prototype")
+    intents = areas.select(F.concat(F.lit("about_"), c("subject")).alias("intent"), c("subject").alias("category"), F.array(c("subject")).alias("anchors"), "prototype", F.split("prototype", ", ").alias("examples"), c("subject_no").alias("pos"))
+    queries_ = read(s, d, "retrieval_queries").select("query_id", c("original_query").alias("query"))
+    rows = contexts(queries_, prototypes, intents, Config(route=RouteConfig(threshold=0.2, intent_floor=0.2)))
+    return rows.select("query_id", "category", F.array_join("intents", "|").alias("intents"), "expanded_query", F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def retrieve_candidates(s, d):
+    """All candidates of the cascade beside its results, with a category filter on some queries and a least score."""
+    asked = read(s, d, "retrieval_queries").withColumn("category_filter", F.when(c("query_id") % 3 == 0, "criminal"))
+    got = retrieve_all(asked, *corpus(s, d), min_score=0.3)
+    cols = ["query_id", c("doc").alias("chunk_key"), "category", r4("score").alias("score")]
+    rows = got.candidates.select(*cols, F.lit("candidate").alias("kind")).unionByName(got.results.select(*cols, F.lit("result").alias("kind")))
+    return rows.join(broadcast_if_small(got.contexts.select("query_id", "asked_category")), "query_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from ..functions.text import LOW_VALUE, TOPICS
 
 #: Appended to every seventh section of the acts put together from their sections: a commencement footnote.
-FOOTNOTE = "\n2. 24th July, 2020.— S. 2 [clauses (4)], vide notification No. S.O. 2421(E), dated 23rd July 2020, see Gazette of India, Extraordinary, Part II, sec. 3(ii).\n(9) And the words that follow go on from the page before."
+FOOTNOTE = "\n7. 3rd May, 1987.— Ss. 4 to 9 [but not rule (6)], vide notification No. S.O. 55(B), see Gazette of India, Extraordinary, Part IV, sec. 1(k).\n(2) What the leaf before had begun is carried on below the note."
 
 #: White space of any script, as RE2 writes it.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Fixed values, as RE2 writes them: the forms of section heads, chapter heads and footnotes, and lines of noise.
 SECTION = r"(?m)^(?:Section\s+)?(\d+[A-Z]?)\.\s+(.+?)\.[—–―-]"
 CHAPTER = r"(?m)^CHAPTER\s+([IVXLCDM]+|[0-9]+)\s*\n(.+)$"
 DATE = r"(?i)^\d{1,2}(st|nd|rd|th)?\s+(January|February|March|April|May|June|July|August|September|October|November|December)[,]?\s+\d{4}$"
@@ -220,6 +221,41 @@ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, act_n
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, chunk_key) AS rank, chunk_key, act_name, section_number, citation, round(semantic, 4) AS semantic_score, round(bm25, 4) AS bm25_score, round(score, 4) + 0.0::DOUBLE AS score, round(rr, 4) AS rerank_score, round(f, 4) AS final_score FROM one"""
 
 
+def ingested(rows: str) -> str:
+    """x: the chunks that a store makes of rows: none of low value, an id once a category, with the file that comes first."""
+    low = " OR ".join(f"contains(lower(coalesce(section_title, '')), {q(p)})" for p in LOW_VALUE)
+    return f"""s AS (SELECT *, {pieces('text')} AS ps FROM {rows} WHERE text IS NOT NULL AND NOT ({low})),
+            u AS (SELECT coalesce(category, 'general') AS category, coalesce(source, '') AS source, version, act_name, section_number, unnest(range(len(ps))) AS chunk_index, unnest(ps) AS piece FROM s),
+            x AS (SELECT category, chunk_id, version, min(source) AS source FROM (SELECT *, sha256(coalesce(act_name, '') || '|' || coalesce(section_number, '') || '|' || chunk_index || '|' || piece) AS chunk_id FROM u) GROUP BY ALL)"""
+
+
+RERANKED = f"""WITH {CANDIDATES}, p AS (SELECT *, list_distinct({tokens("query || '. Related legal concepts: ' || coalesce(array_to_string(intents, ' '), '')")}) AS qt,
+            {tokens("coalesce(act_name, '') || ' Section ' || coalesce(section_number, '') || ' ' || coalesce(section_title, '') || '. ' || text")} AS dt FROM fused),
+            s AS (SELECT *, CASE WHEN coalesce(text, '') <> '' THEN coalesce(len(list_intersect(qt, dt))::DOUBLE / nullif(len(qt), 0), 0.0) END AS rr FROM p)
+            SELECT result_id, round(rr, 4) AS rerank_score, round(0.4::DOUBLE * rr + 0.6::DOUBLE * score, 4) AS final_score FROM s"""
+METRICS = f"""WITH {OUTCOMES}, k AS (SELECT 'strict' AS kind, strict_rank AS rank FROM outcomes UNION ALL SELECT 'relaxed', relaxed_rank FROM outcomes),
+            a AS (SELECT kind, count(*) AS cases, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (rank <= 3) AS hit_3, count(*) FILTER (rank <= 5) AS hit_5, sum(coalesce(1.0::DOUBLE / rank, 0.0)) / count(*) AS mrr FROM k GROUP BY kind)
+            SELECT kind, cases, hit_1, hit_3, hit_5, round(100.0::DOUBLE * hit_1 / cases, 4) AS hit_1_percent, round(100.0::DOUBLE * hit_3 / cases, 4) AS hit_3_percent, round(100.0::DOUBLE * hit_5 / cases, 4) AS hit_5_percent, round(mrr, 4) AS mrr FROM a"""
+SECTIONS = "(SELECT DISTINCT section_key, category, act_name, year, chapter, section_number, section_title, topics, text, citation, char_count, short_name, source FROM parsed_sections)"
+#: What comes to the store of the tests, and of it the chunks of each file's latest version.
+STORED = f"""v AS (SELECT *, 1 AS version FROM {SECTIONS} WHERE source IS NOT NULL UNION ALL SELECT * REPLACE ('New: ' || text AS text), 2 FROM {SECTIONS} WHERE source IS NOT NULL AND year % 2 = 0),
+            m AS (SELECT coalesce(category, 'general') AS category, source, max(version) AS version FROM v GROUP BY ALL), {ingested('v')}, live AS (SELECT x.* FROM x JOIN m USING (category, source, version))"""
+
+
+def contexts() -> str:
+    cosine = lambda a, b: f"list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    told = "array_to_string(string_split(prototype, ', '), ' ') || ' ' || subject || ' ' || prototype || ' ' || replace('about_' || subject, '_', ' ')"
+    return f"""WITH asked AS MATERIALIZED (SELECT query_id, original_query AS query, {embedded('original_query')} AS v FROM retrieval_queries),
+            areas AS MATERIALIZED (SELECT subject, subject_no AS pos, {embedded('prototype')} AS p, {embedded(told)} AS i FROM subject_areas),
+            c AS (SELECT query_id, subject, pos, {cosine('v', 'p')} AS score FROM asked, areas),
+            routed AS (SELECT query_id, CASE WHEN score >= 0.2 THEN subject END AS category, round(score, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM c) WHERE r = 1),
+            near AS (SELECT a.query_id, subject, pos, list_dot_product(v, i) AS score FROM asked a JOIN routed r USING (query_id) JOIN areas ON CASE WHEN r.confidence >= 0.2 THEN r.category END IS NULL OR r.category = subject),
+            gap AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM near),
+            m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM gap WHERE score >= 0.2 AND best - score <= 0.05::DOUBLE) WHERE rank <= 2),
+            l AS (SELECT query_id, string_agg('about_' || subject, '|' ORDER BY rank) AS intents, string_agg(replace('about_' || subject, '_', ' '), ' ' ORDER BY rank) AS words, max(score) AS best FROM m GROUP BY query_id)
+            SELECT query_id, category, coalesce(intents, '') AS intents, query || coalesce(' ' || words, '') AS expanded_query, round(coalesce(best, 0.0), 4) AS confidence FROM asked JOIN routed USING (query_id) LEFT JOIN l USING (query_id)"""
+
+
 def sql() -> dict[str, str]:
     low = " OR ".join(f"contains(lower(coalesce(section_title, '')), {q(p)})" for p in [*LOW_VALUE, "inquiry into", "penalty in respect of"])
     number = "coalesce(nullif(regexp_extract(lower(x), '(section|sec)\\s+(\\d+)', 2), ''), nullif(regexp_extract(lower(x), '\\b(\\d{2,4})\\b', 1), ''))"
@@ -282,18 +318,13 @@ def sql() -> dict[str, str]:
         "fusion_score": f"WITH {CANDIDATES} SELECT result_id, round(score, 4) + 0.0::DOUBLE AS score FROM fused",
         "fusion_top20": f"WITH {CANDIDATES}, o AS (SELECT query_id, result_id, round(score, 6) AS score FROM fused), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, result_id) AS rank FROM o) SELECT query_id, result_id, score, rank FROM r WHERE rank <= 20",
         "min_score_and_filter": f"WITH {CANDIDATES} SELECT query_id, result_id, round(score, 4) + 0.0::DOUBLE AS score FROM fused WHERE score >= 0.45 AND (asked IS NULL OR category = asked)",
-        "rerank_overlap": f"""WITH {CANDIDATES}, p AS (SELECT *, list_distinct({tokens("query || '. Related legal concepts: ' || coalesce(array_to_string(intents, ' '), '')")}) AS qt,
-            {tokens("coalesce(act_name, '') || ' Section ' || coalesce(section_number, '') || ' ' || coalesce(section_title, '') || '. ' || text")} AS dt FROM fused),
-            s AS (SELECT *, CASE WHEN coalesce(text, '') <> '' THEN coalesce(len(list_intersect(qt, dt))::DOUBLE / nullif(len(qt), 0), 0.0) END AS rr FROM p)
-            SELECT result_id, round(rr, 4) AS rerank_score, round(0.4::DOUBLE * rr + 0.6::DOUBLE * score, 4) AS final_score FROM s""",
+        "rerank_overlap": RERANKED,
         "rerank_blend": f"SELECT result_id, round(0.4::DOUBLE * rerank_score + 0.6::DOUBLE * score, 4) AS final_score FROM {RESULTS}",
         "rerank_min_max": f"SELECT result_id, round(0.4::DOUBLE * (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w + 1e-8::DOUBLE) + 0.6::DOUBLE * score, 4) AS final_score FROM {RESULTS} WINDOW w AS (PARTITION BY query_id)",
         "limit_then_dedupe": finish(False),
         "dedupe_then_limit": finish(True),
         "first_match_rank": f"WITH {OUTCOMES} SELECT * FROM outcomes",
-        "hit_mrr": f"""WITH {OUTCOMES}, k AS (SELECT 'strict' AS kind, strict_rank AS rank FROM outcomes UNION ALL SELECT 'relaxed', relaxed_rank FROM outcomes),
-            a AS (SELECT kind, count(*) AS cases, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (rank <= 3) AS hit_3, count(*) FILTER (rank <= 5) AS hit_5, sum(coalesce(1.0::DOUBLE / rank, 0.0)) / count(*) AS mrr FROM k GROUP BY kind)
-            SELECT kind, cases, hit_1, hit_3, hit_5, round(100.0::DOUBLE * hit_1 / cases, 4) AS hit_1_percent, round(100.0::DOUBLE * hit_3 / cases, 4) AS hit_3_percent, round(100.0::DOUBLE * hit_5 / cases, 4) AS hit_5_percent, round(mrr, 4) AS mrr FROM a""",
+        "hit_mrr": METRICS,
         "duplicate_citations": f"SELECT query_id, act_name, section_number, count(*) AS n FROM {RESULTS} GROUP BY ALL HAVING count(*) > 1",
         "category_leakage": f"SELECT r.query_id, count(*) AS leaks FROM {RESULTS} r JOIN (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'criminal' ELSE category END AS category FROM retrieval_queries) q USING (query_id) WHERE coalesce(q.category, '') <> '' AND coalesce(r.category, '') <> '' AND r.category <> q.category GROUP BY r.query_id",
         "wrong_but_sure": f"WITH {OUTCOMES} SELECT o.query_id, round(r.score, 4) AS final_score FROM outcomes o JOIN ranked r USING (query_id) WHERE o.strict_rank IS NULL AND r.rank = 1 AND r.score >= 0.4",
@@ -308,5 +339,29 @@ def sql() -> dict[str, str]:
         "embed_cache_attach": f"SELECT c.chunk_key, round(v.embedding[1]::DOUBLE, 4) AS \"first\" FROM (SELECT DISTINCT chunk_key, chunk_id FROM chunks) c JOIN {CACHED} v USING (chunk_id)",
         "replace_source": f"WITH o AS (SELECT * FROM {chunks('source')}), n AS (SELECT source FROM acts WHERE act_key % 2 = 0) SELECT chunk_key, source FROM o WHERE source IS NULL OR source NOT IN (SELECT source FROM n) UNION ALL SELECT -chunk_key, source FROM o WHERE source IN (SELECT source FROM n)",
         "hybrid_retrieve": cascade(search),
+        "retrieve_candidates": cascade(search).replace("FROM retrieval_queries", "FROM (SELECT * REPLACE (CASE WHEN query_id % 3 = 0 THEN 'criminal' ELSE category END AS category) FROM retrieval_queries)")
+        .replace("WHERE r <= 20)", "WHERE r <= 20 AND score >= 0.3)").rsplit("SELECT query_id, row_number()", 1)[0]
+        + "SELECT query_id, chunk_key, category, round(score, 4) + 0.0::DOUBLE AS score, 'result' AS kind, asked AS asked_category FROM one UNION ALL SELECT query_id, chunk_key, category, round(round(score, 9), 4) + 0.0::DOUBLE, 'candidate', asked FROM fused",
+        "routed_contexts": contexts(),
+        "nearest_texts": f"""WITH a AS MATERIALIZED (SELECT query_id, {embedded('original_query')} AS v FROM retrieval_queries), b AS MATERIALIZED (SELECT chunk_key, {embedded("coalesce(text, '')")} AS v FROM {chunks('text')}),
+            d AS (SELECT query_id, chunk_key, round({SQUARED}, 12) AS distance FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_key) AS rank FROM d)
+            SELECT query_id, chunk_key, round(distance, 4) + 0.0::DOUBLE AS distance, rank FROM r WHERE rank <= 5""",
+        "stream_ingest": f"WITH {ingested(f'(SELECT *, 1 AS version FROM {SECTIONS})')} SELECT source, count(*) AS n FROM x GROUP BY source",
+        "store_chunks": f"WITH {STORED} SELECT source, category, chunk_id FROM live",
+        "store_vectors": f"WITH {STORED} SELECT source, count(*) AS n FROM live GROUP BY source UNION ALL SELECT DISTINCT source || ':' || version, 1 FROM v",
+        "bm25_saved": f"WITH {BM25} SELECT term, df, round(idf, 4) AS idf FROM terms",
+        "scan_files": f"SELECT coalesce(category, 'none') AS category, md5(regexp_replace(text, '[\\n\\r\\f]+', ' ', 'g')) AS md5 FROM (SELECT DISTINCT section_key, category, text FROM parsed_sections) WHERE trim(regexp_replace(coalesce(text, ''), '[\\n\\r\\f]+', ' ', 'g')) <> ''",
+        "sections_json": "SELECT coalesce(category, 'none') AS category, act_name, section_number, section_title, array_to_string(topics, '|') AS topics, md5(text) AS md5 FROM (SELECT DISTINCT section_key, category, act_name, section_number, section_title, topics, text FROM parsed_sections)",
+        "dimension_json": "SELECT subject_no, subject, prototype, array_to_string(hindi_terms, '|') AS hindi_terms FROM subject_areas",
+        "fetch_failed": f"SELECT source FROM {FETCHED} WHERE url IS NULL",
+        "fetch_documents": """SELECT act_key, CASE WHEN failed THEN NULL ELSE 'host/' || CASE WHEN act_key % 2 = 0 THEN 'first/' ELSE 'second/' END || act_key END AS url, CASE WHEN failed THEN NULL ELSE 'act ' || act_key END AS content, failed
+            FROM (SELECT act_key, act_key % 5 = 0 AS failed FROM acts)""",
+        "parse_failed": f"""WITH docs AS (SELECT doc_id AS doc, {clean("split_part(text, chr(10), 1)")} AS text FROM documents WHERE text IS NOT NULL), source_text AS (SELECT * FROM docs), {spans('text')}, {folded()},
+            p AS (SELECT DISTINCT doc FROM folded UNION SELECT doc FROM ({paragraphs('docs')}))
+            SELECT doc_id::VARCHAR AS path, CASE WHEN text IS NULL THEN 'no text' ELSE 'no sections' END AS reason FROM documents WHERE doc_id NOT IN (SELECT doc FROM p)""",
+        "rerank_batched": RERANKED,
+        "leaked_results": f"SELECT r.query_id, result_id, act_name, section_number, r.category, q.category AS category_filter FROM {RESULTS} r JOIN (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'criminal' ELSE category END AS category FROM retrieval_queries) q USING (query_id) WHERE coalesce(q.category, '') <> '' AND coalesce(r.category, '') <> '' AND r.category <> q.category",
+        "eval_passed": f"WITH {OUTCOMES} SELECT count(*) AS cases, count(*) FILTER (strict_rank IS NULL) AS misses, count(*) FILTER (strict_rank IS NULL) = 0 AS passed FROM outcomes",
+        "eval_report": METRICS,
         "assign_ids": "SELECT doc_id, 99 + row_number() OVER (ORDER BY coalesce(source, ''), doc_id) AS number FROM documents",
     }

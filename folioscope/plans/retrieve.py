@@ -6,6 +6,8 @@ standardised over the whole corpus, fusion, rerank of the best, the top k, disti
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,25 @@ def nearest_texts(queries: DataFrame, store: DataFrame, k: int = 20, category: s
     return found.select(F.col("query").alias("query_id"), F.col("id").alias("doc"), "distance", "rank")
 
 
+@dataclass(frozen=True)
+class Retrieved:
+    """What a batch of queries gave: results, the contexts they were asked with, all candidates with their features and scores."""
+
+    results: DataFrame
+    contexts: DataFrame
+    candidates: DataFrame
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Config = Config(), top_k: int | None = None, min_score: float | None = None, embed: Embedder | None = None, dim: int = 64) -> DataFrame:
+    """The results of `retrieve_all`: query_id, rank, doc, SHOWN, topics, semantic_score, bm25_score, score, rerank_score, final_score."""
+    return retrieve_all(queries, chunks, store, cfg, top_k, min_score, embed, dim).results
+
+
+def retrieve_all(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Config = Config(), top_k: int | None = None, min_score: float | None = None, embed: Embedder | None = None, dim: int = 64) -> Retrieved:
     """queries: a context row each (query_id, original_query, expanded_query, intents, anchors, category, category_filter or not).
 
     chunks: doc, topics and SHOWN. store: doc, category, embedding. A category_filter of the query takes the place of
-    its routed category. Results: query_id, rank, doc, SHOWN, topics, semantic_score, bm25_score, score, rerank_score, final_score.
+    its routed category.
     """
     f = cfg.fusion
     embed = embed or hashing(dim)
@@ -72,10 +88,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, store: DataFrame, cfg: Confi
     rows = rows.join(broadcast_if_small(q.select("query_id", "query", "intents", "anchors", "asked_category")), "query_id")
     rows = rows.join(chunks.select("doc", "topics", *SHOWN), "doc").where(F.coalesce("text", F.lit("")) != "")
     # To nine decimals, so that the order of a sum decides nothing.
-    rows = fusion.fuse(rows, f).withColumn("score", F.round("score", 9))
-    rows = fusion.best(rows, f.fused_depth, "score", "distance", "doc", out="_r").drop("_r")
-    if min_score is not None:
-        rows = rows.where(c("score") >= min_score)
-    rows = fusion.finish(fusion.rerank(rows, f), top_k or f.top_k, "doc", cfg=f)
+    candidates = staged(fusion.fuse(rows, f).withColumn("score", F.round("score", 9)), "fused")
+    rows = fusion.best(candidates, f.fused_depth, "score", "distance", "doc", out="_r").drop("_r")
+    rows = fusion.finish(fusion.rerank(fusion.kept(rows, min_score), f), top_k or f.top_k, "doc", cfg=f)
     shown = [F.round("semantic", 4).alias("semantic_score"), F.round("bm25", 4).alias("bm25_score")]
-    return rows.select("query_id", "rank", "doc", *SHOWN, "topics", *shown, "score", "rerank_score", "final_score")
+    results = rows.select("query_id", "rank", "doc", *SHOWN, "topics", *shown, "score", "rerank_score", "final_score")
+    return Retrieved(results, q.drop("vector"), candidates)

@@ -52,18 +52,35 @@ def text_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
+def pdf_pages(content: bytes) -> list[str]:
+    """The texts of a PDF's pages, with the library pypdf, where it is installed."""
+    from io import BytesIO
+
+    from pypdf import PdfReader
+
+    return [page.extract_text() or "" for page in PdfReader(BytesIO(content)).pages]
+
+
 def write_sections(sections: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """JSON lines, one folder a category."""
     sections.write.mode(mode).partitionBy("category").json(folder)
 
 
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed sections, as JSON lines or as one array a file, with source, path (stem) and category from where they lie."""
-    rows = spark.read.schema(schemas.SECTION).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
-    rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    """Parsed sections, with source, path (stem) and category from where they lie.
+
+    Files named part-* are JSON lines, as write_sections gives them; any other file is one array.
+    """
+
+    def rows(lines: bool) -> DataFrame:
+        reader = spark.read.schema(schemas.SECTION).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        ours = F.col("_metadata.file_name").startswith("part-")
+        return reader.json(folder).where(ours if lines else ~ours).withColumn("_file", F.col("_metadata.file_path"))
+
     f = F.col("_file")
     category = F.regexp_replace(parent(f), "^category=", "")
-    return rows.withColumns({"source": F.regexp_extract(f, r"([^/]+)$", 1), "path": stem(f), "category": category}).drop("_file")
+    both = rows(True).unionByName(rows(False))
+    return both.withColumns({"source": F.regexp_extract(f, r"([^/]+)$", 1), "path": stem(f), "category": category}).drop("_file")
 
 
 def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -77,6 +94,34 @@ def with_defaults(rows: DataFrame, metadata: DataFrame, key: str, defaults: dict
     return found.withColumns({c: F.coalesce(f"_{c}", d) for c, d in defaults.items()}).drop(*(f"_{c}" for c in defaults))
 
 
+def fetch(acts: DataFrame, key: str, get: Callable[[str], tuple[int, str, bytes]]) -> DataFrame:
+    """key, url, content, error: the document of each row's `urls`, tried in order until one gives it.
+
+    get gives status, content type and content of a url, or raises. Where none succeeds, url and content are null and
+    error says what became of each. The fetching runs on the executors, a row after another; nothing is fetched twice.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, urls in zip(b["k"], b["urls"]):
+                failed, got = [], (None, None)
+                for url in urls if urls is not None else ():
+                    try:
+                        status, kind, content = get(url)
+                        if status == 200 and ("pdf" in (kind or "").lower() or "octet-stream" in (kind or "").lower()):
+                            got = (url, content)
+                            break
+                        failed.append(f"{url}: {status} {kind}")
+                    except Exception as e:
+                        failed.append(f"{url}: {type(e).__name__}: {e}")
+                out.append((k, *got, None if got[0] else "; ".join(failed) or "no urls"))
+            yield pd.DataFrame(out, columns=["k", "url", "content", "error"])
+
+    kind = acts.schema[key].dataType.simpleString()
+    return acts.select(F.col(key).alias("k"), "urls").mapInPandas(run, f"k {kind}, url string, content binary, error string").withColumnRenamed("k", key)
+
+
 def first_fetched(attempts: DataFrame, key: str) -> DataFrame:
     """attempts: key, pos, url, status, content_type -> key, url (null if none succeeded): the first that gave a document."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))
@@ -85,10 +130,20 @@ def first_fetched(attempts: DataFrame, key: str) -> DataFrame:
 
 
 def fetch_summary(fetched: DataFrame) -> DataFrame:
-    """How many were fetched and how many failed; which ones, the rows of first_fetched tell."""
+    """How many were fetched and how many failed; see failed_fetches."""
     return fetched.groupBy(F.col("url").isNotNull().alias("ok")).agg(F.count("*").alias("n"))
 
 
+def failed_fetches(fetched: DataFrame, key: str) -> DataFrame:
+    """Which ones failed."""
+    return fetched.where("url is null").select(key)
+
+
+def write_dimension(rows: DataFrame, path: str) -> None:
+    """A table of a few rows as one JSON array, as read_dimension takes it."""
+    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(metrics: DataFrame, folder: str) -> None:
     """A table of a few rows, as one JSON and one CSV file."""
     one = metrics.coalesce(1)

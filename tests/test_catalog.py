@@ -7,7 +7,7 @@ def test_contract():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
     core = {k for k in q if not (k[0] == "p" and k[1].isdigit())}
-    assert core - set(o) <= {"stream_ingest"}
+    assert core == core & set(o)
     assert importlib.util.find_spec("folioscope.llm") is None or sum(k.endswith("_found") for k in q) == 8
 
 

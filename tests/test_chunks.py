@@ -1,5 +1,3 @@
-import re
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -28,29 +26,30 @@ def test_short_tail_is_dropped(spark):
     assert pieces(spark, " ".join(s)) == [[s[0]]]
 
 
-def greedy(text, most, least):
-    out, cur = [], ""
-    for s in (x.strip() for x in re.split(r'(?<=[.!?;—])\s+(?=[A-Z\("])', text)):
-        if not s:
-            continue
-        if len(s) > most:
-            out += [cur] * bool(cur) + [s]
-            cur = ""
-        elif len(cur) + len(s) + 1 <= most:
-            cur = f"{cur} {s}" if cur else s
-        else:
-            out += [cur] * bool(cur)
-            cur = s
-    out += [cur] * bool(cur)
-    return [x for x in out if len(x) >= least]
-
-
 @given(st.lists(st.text(alphabet='Ab.;— \n("', max_size=120), min_size=1, max_size=12))
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-def test_like_a_loop(spark, texts):
-    cfg = ChunkConfig(max_chars=30, min_chars=5)
-    for t, got in zip(texts, pieces(spark, *texts, cfg=cfg)):
-        assert got == ([t] if len(t) <= 30 else greedy(t, 30, 5))
+def test_pieces_are_packed_sentences(spark, texts):
+    """Put together the pieces are the sentences; each fits or is one sentence; none could have taken the next sentence too."""
+    cfg = ChunkConfig(max_chars=30, min_chars=0)
+    split = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", sentences(F.col("t")).alias("s")).orderBy("i").collect()
+    for t, got, row in zip(texts, pieces(spark, *texts, cfg=cfg), split):
+        if len(t) <= 30:
+            assert got == [t]
+            continue
+        assert " ".join(got) == " ".join(row.s)
+        left = list(row.s)
+        for p in got:
+            own = []
+            while left and len(" ".join(own)) < len(p):
+                own.append(left.pop(0))
+            assert " ".join(own) == p and (len(p) <= 30 or len(own) == 1)
+            assert not left or len(p) > 30 or len(left[0]) > 30 or len(p) + 1 + len(left[0]) > 30
+
+
+def test_short_pieces_are_left_out(spark):
+    text = "Aaaa. Bb bb bb bb bb bb bb bb bb b. C. " + "D" * 40 + ". Ee."
+    every, long = (pieces(spark, text, cfg=ChunkConfig(max_chars=30, min_chars=n))[0] for n in (0, 6))
+    assert long == [x for x in every if len(x) >= 6] and len(long) < len(every)
 
 
 def test_records(spark):

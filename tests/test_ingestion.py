@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import ingestion
@@ -28,10 +29,50 @@ def test_store(spark, tmp_path):
     assert store.cache.count() == 4 and store.manifest.count() == 3
     assert store.vectors.join(store.chunks, "chunk_id").count() == 2
     assert tuple(store.ingest(one.limit(0)).first()) == (0, 0, 0)
+    before = sorted(map(tuple, store.chunks.select("source", "chunk_id").collect()))
+    store.compact()
+    assert store.versions() == [3] and sorted(map(tuple, store.chunks.select("source", "chunk_id").collect())) == before
+    assert store.cache.count() == 4 and store.vectors.count() == 2 and tuple(store.ingest(changed).first()) == (0, 2, 2)
     store.ingest(one, reset=True)
     assert store.manifest.count() == 1
 
 
+def test_store_after_a_crash(spark, tmp_path, monkeypatch):
+    """What was written without its marker is not there, and the next ingestion writes over it."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([section("1", "x" * 90)], DDL)
+    more = spark.createDataFrame([section("2", "y" * 90, "b.json", "b1")], DDL)
+    store.ingest(rows)
+    written = []
+    monkeypatch.setattr(store, "_path", lambda name, path=store._path: (_ for _ in ()).throw(OSError("lost")) if name == "commits/2" else path(name))
+    try:
+        store.ingest(more)
+    except OSError:
+        written.append(True)
+    monkeypatch.undo()
+    assert written and store.versions() == [1] and store.chunks.count() == store.manifest.count() == 1
+    assert tuple(store.ingest(more).first()) == (1, 0, 1) and store.chunks.count() == 2
+
+
+def test_fetch_documents(spark):
+    def get(url):
+        if "slow" in url:
+            raise TimeoutError("no answer")
+        return (404, "text/html", b"") if "gone" in url else (200, "application/pdf", url.encode())
+
+    acts = spark.createDataFrame([("a", ["gone/1", "slow/1", "x/1"]), ("b", ["slow/2"]), ("c", []), ("d", None)], "k string, urls array<string>")
+    got = {r.k: r for r in files.fetch(acts, "k", get).collect()}
+    assert (got["a"].url, bytes(got["a"].content), got["a"].error) == ("x/1", b"x/1", None)
+    assert got["b"].error == "slow/2: TimeoutError: no answer" and got["c"].error == got["d"].error == "no urls"
+    assert sorted(r.k for r in files.failed_fetches(files.fetch(acts, "k", get), "k").collect()) == ["b", "c", "d"]
+
+
+def test_pdf_pages():
+    pytest.importorskip("pypdf")
+    with pytest.raises(Exception):
+        files.pdf_pages(b"no pdf")
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([section("1", "x" * 90), section("2", "y" * 90)], DDL).drop("file_key")
     rows.write.parquet(f"{tmp_path}/in")
@@ -64,6 +105,9 @@ def test_sections_as_json(spark, tmp_path):
     files.write_sections(rows, str(tmp_path / "out"))
     again = spark.read.json(str(tmp_path / "out"))
     assert again.count() == 2 and again.select("category").distinct().first()[0] == "rights"
+    files.write_sections(rows.unionByName(rows.withColumn("section_number", F.lit("9"))).coalesce(1), str(tmp_path / "lines"))
+    back = files.read_sections(spark, str(tmp_path / "lines"))
+    assert sorted((r.category, r.section_number) for r in back.collect()) == [("rights", "66C"), ("rights", "9"), ("rights", "9"), ("rights", "P1")]
 
 
 def test_fetch(spark):

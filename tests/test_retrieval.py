@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.config import Config, FusionConfig, RouteConfig
-from folioscope.functions.embed import from_batches, hashing
+from folioscope.functions.embed import from_batches, hashing, pairs_from_batches
 from folioscope.operators import evaluation, fusion, lexical, routing, vectors
 from folioscope.plans.retrieve import contexts, nearest_texts, retrieve
 
@@ -156,3 +156,18 @@ def test_probe_and_saved_index(spark, index, tmp_path):
     asked = spark.createDataFrame([(1, "court appeal")], "q long, t string")
     rows = lambda i: sorted(tuple(r) for r in lexical.top_k(i, asked, "q", "t", 4).collect())
     assert rows(again) == rows(index)
+
+
+def test_pairs_in_batches(spark):
+    df = spark.createDataFrame([("a b", "b"), (None, "x"), ("c", None)] * 7, "q string, d string")
+    sizes = lambda pairs: [len(q) + 10 * len(d) + 100 * (len(pairs) > 8) for q, d in pairs]
+    got = df.select(pairs_from_batches(sizes)(F.col("q"), F.col("d")).alias("v")).collect()
+    assert sorted(r.v for r in got) == [1.0] * 7 + [10.0] * 7 + [13.0] * 7
+
+
+def test_leaks_and_pass(spark):
+    results = spark.createDataFrame([(1, "A", "5", "x"), (1, "B", "6", "y"), (2, "C", "7", "y")], "query_id long, act_name string, section_number string, category string")
+    cases = spark.createDataFrame([(1, "x"), (2, None)], "query_id long, category_filter string")
+    assert [(r.act_name, r.section_number, r.category) for r in evaluation.leaked_results(results, cases).collect()] == [("B", "6", "y")]
+    rows = spark.createDataFrame([(1, 2), (2, None)], "query_id long, strict_rank int")
+    assert [tuple(evaluation.passed(x).first()) for x in (rows, rows.where("query_id = 1"), rows.limit(0))] == [(2, 1, False), (1, 0, True), (0, 0, True)]
