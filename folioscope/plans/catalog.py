@@ -324,28 +324,31 @@ def route_ranked(s, d):
     return rows.select("query_id", F.posexplode("all_scores").alias("pos", "x")).select("query_id", c("pos").cast("long").alias("pos"), "x.category", "x.score")
 
 
-def intents_of(s: SparkSession, d: str) -> DataFrame:
-    """Every seventh vector is an intent of its label."""
-    name = F.concat(F.lit("intent_"), c("vec_id").cast("string"))
-    anchors = F.array(F.concat(F.lit("label "), c("label").cast("string")), name)
-    return read(s, d, "embeddings").where("vec_id % 7 = 0").select(name.alias("intent"), c("label").cast("string").alias("category"), anchors.alias("anchors"), c("vec_id").alias("pos"), c("embedding").alias("vector"))
+SUBJECTS = Config(route=RouteConfig(threshold=0.2, intent_floor=0.2))
 
 
-def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    queries = embedded(s, d)
-    routed = routing.route(routing.route_scores(queries, prototypes_of(s, d)))
-    return routed, routing.match_intents(queries, routed, intents_of(s, d), RouteConfig())
+def areas_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, prototypes and intents: both dimensions are the subject areas."""
+    areas = read(s, d, "subject_areas")
+    prototypes = areas.select(c("subject").alias("category"), c("subject_no").alias("pos"), "prototype")
+    intents = areas.select(F.concat(F.lit("about_"), c("subject")).alias("intent"), c("subject").alias("category"), F.array(c("subject")).alias("anchors"), "prototype", F.split("prototype", ", ").alias("examples"), c("subject_no").alias("pos"))
+    return read(s, d, "retrieval_queries").select("query_id", c("original_query").alias("query")), prototypes, intents
 
 
 @query
 def intent_gap_topk(s, d):
-    return matched(s, d)[1].select("query_id", "intent", r4("score").alias("score"), c("rank").cast("long").alias("rank"))
+    asked, prototypes, intents = areas_of(s, d)
+    text = routing.intent_text(c("examples"), c("anchors"), c("prototype"), c("intent"))
+    vectors_ = asked.select("query_id", hashing()(c("query")).alias("vector"))
+    routed = routing.route(routing.route_scores(vectors_, prototypes.select("category", "pos", hashing()(c("prototype")).alias("vector"))), SUBJECTS.route)
+    rows = routing.match_intents(vectors_, routed, intents.withColumn("vector", hashing()(text)), SUBJECTS.route)
+    return rows.select("query_id", "intent", r4("score").alias("score"), c("rank").cast("long").alias("rank"))
 
 
 @query
 def query_context(s, d):
-    routed, found = matched(s, d)
-    rows = routing.context(read(s, d, "embeddings").select(c("vec_id").alias("query_id"), F.concat(F.lit("query "), c("vec_id").cast("string")).alias("query")), routed, found)
+    """Contexts from the queries' texts; queries, prototypes and intents are embedded by the same embedder."""
+    rows = contexts(*areas_of(s, d), SUBJECTS)
     return rows.select("query_id", "expanded_query", F.array_join("intents", "|").alias("intents"), "category", F.round("confidence", 4).alias("confidence"), F.array_join("anchors", "|").alias("anchors"))
 
 
@@ -715,17 +718,6 @@ def nearest_texts(s, d):
     return found.select("query_id", c("doc").alias("chunk_key"), r4("distance").alias("distance"), c("rank").cast("long").alias("rank"))
 
 
-@query
-def routed_contexts(s, d):
-    """Contexts from the queries' texts: prototypes and intents, both of the subject areas, are embedded by the same embedder."""
-    areas = read(s, d, "subject_areas")
-    prototypes = areas.select(c("subject").alias("category"), c("subject_no").alias("pos"), "prototype")
-    intents = areas.select(F.concat(F.lit("about_"), c("subject")).alias("intent"), c("subject").alias("category"), F.array(c("subject")).alias("anchors"), "prototype", F.split("prototype", ", ").alias("examples"), c("subject_no").alias("pos"))
-    queries_ = read(s, d, "retrieval_queries").select("query_id", c("original_query").alias("query"))
-    rows = contexts(queries_, prototypes, intents, Config(route=RouteConfig(threshold=0.2, intent_floor=0.2)))
-    return rows.select("query_id", "category", F.array_join("intents", "|").alias("intents"), "expanded_query", F.round("confidence", 4).alias("confidence"))
-
-
 @query
 def retrieve_candidates(s, d):
     """All candidates of the cascade beside its results, with a category filter on some queries and a least score."""

@@ -143,13 +143,6 @@ ROUTED = f"""{PROTOTYPES},
 cosines AS (SELECT vec_id AS query_id, category, pos, list_cosine_similarity(embedding::DOUBLE[], p) AS score FROM embeddings, protos),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM cosines),
 routed AS (SELECT query_id, CASE WHEN score >= 0.5 THEN category END AS category, round(score, 4) AS confidence FROM placed WHERE r = 1)"""
-INTENTS = f"""{ROUTED},
-intents AS (SELECT 'intent_' || vec_id AS intent, label::VARCHAR AS category, vec_id AS pos, ['label ' || label, 'intent_' || vec_id] AS anchors, embedding::DOUBLE[] AS p FROM embeddings WHERE vec_id % 7 = 0),
-near AS (SELECT e.vec_id AS query_id, i.intent, i.anchors, i.pos, list_dot_product(e.embedding::DOUBLE[], i.p) AS score
-  FROM embeddings e JOIN routed r ON r.query_id = e.vec_id JOIN intents i ON CASE WHEN r.confidence >= 0.5 THEN r.category END IS NULL OR r.category = i.category),
-gap AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM near),
-matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM gap WHERE score >= 0.5 AND best - score <= 0.05::DOUBLE) WHERE rank <= 2)"""
-
 FEATURES = f"""feat AS (SELECT *,
   CASE WHEN len(list_intersect(coalesce({tokens("query")}, []), coalesce({tokens("section_title")}, []))) = 0 THEN -0.05::DOUBLE ELSE 0.02::DOUBLE END AS title,
   CASE WHEN asked IS NULL OR asked = '' OR category IS NULL OR category = '' THEN 0.0::DOUBLE WHEN category = asked THEN 0.10::DOUBLE WHEN contains(array_to_string(topics, ', '), asked) THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END AS category_bonus,
@@ -251,9 +244,7 @@ def contexts() -> str:
             routed AS (SELECT query_id, CASE WHEN score >= 0.2 THEN subject END AS category, round(score, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM c) WHERE r = 1),
             near AS (SELECT a.query_id, subject, pos, list_dot_product(v, i) AS score FROM asked a JOIN routed r USING (query_id) JOIN areas ON CASE WHEN r.confidence >= 0.2 THEN r.category END IS NULL OR r.category = subject),
             gap AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM near),
-            m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM gap WHERE score >= 0.2 AND best - score <= 0.05::DOUBLE) WHERE rank <= 2),
-            l AS (SELECT query_id, string_agg('about_' || subject, '|' ORDER BY rank) AS intents, string_agg(replace('about_' || subject, '_', ' '), ' ' ORDER BY rank) AS words, max(score) AS best FROM m GROUP BY query_id)
-            SELECT query_id, category, coalesce(intents, '') AS intents, query || coalesce(' ' || words, '') AS expanded_query, round(coalesce(best, 0.0), 4) AS confidence FROM asked JOIN routed USING (query_id) LEFT JOIN l USING (query_id)"""
+            m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM gap WHERE score >= 0.2 AND best - score <= 0.05::DOUBLE) WHERE rank <= 2)"""
 
 
 def sql() -> dict[str, str]:
@@ -308,10 +299,9 @@ def sql() -> dict[str, str]:
         "vector_mix": f"WITH {PROTOTYPES}, x AS (SELECT vec_id, embedding::DOUBLE[] AS v, p FROM embeddings e JOIN protos ON category = e.label::VARCHAR), y AS (SELECT vec_id, v, list_transform(range(1, 65), lambda i: CASE WHEN vec_id % 2 = 0 THEN 0.7::DOUBLE * v[i] + 0.3::DOUBLE * p[i] ELSE 0.7::DOUBLE * v[i] END) AS m FROM x) SELECT vec_id, round({dot}, 4) AS norm2, round(list_sum(list_transform(range(1, 65), lambda i: (m[i] - v[i]) * (m[i] - v[i]))), 4) AS moved FROM y",
         "route_category": f"WITH {ROUTED} SELECT query_id, category, confidence FROM routed",
         "route_ranked": f"WITH {ROUTED} SELECT query_id, r - 1 AS pos, category, round(score, 4) + 0.0::DOUBLE AS score FROM placed",
-        "intent_gap_topk": f"WITH {INTENTS} SELECT query_id, intent, round(score, 4) + 0.0::DOUBLE AS score, rank FROM matched",
-        "query_context": f"""WITH {INTENTS}, m AS (SELECT query_id, list(intent ORDER BY rank) AS names, flatten(list(anchors ORDER BY rank)) AS anchors, max(score) AS confidence FROM matched GROUP BY query_id)
-            SELECT r.query_id, array_to_string(list_concat(['query ' || r.query_id], coalesce(list_transform(names, lambda n: replace(n, '_', ' ')), [])), ' ') AS expanded_query, coalesce(array_to_string(names, '|'), '') AS intents, r.category, round(coalesce(m.confidence, 0.0), 4) AS confidence,
-            coalesce(array_to_string(list_filter(anchors, lambda a, i: list_position(anchors, a) = i), '|'), '') AS anchors FROM routed r LEFT JOIN m USING (query_id)""",
+        "intent_gap_topk": contexts() + " SELECT query_id, 'about_' || subject AS intent, round(score, 4) + 0.0::DOUBLE AS score, rank FROM m",
+        "query_context": contexts() + """, l AS (SELECT query_id, string_agg('about_' || subject, '|' ORDER BY rank) AS intents, string_agg(replace('about_' || subject, '_', ' '), ' ' ORDER BY rank) AS words, string_agg(subject, '|' ORDER BY rank) AS anchors, max(score) AS best FROM m GROUP BY query_id)
+            SELECT query_id, query || coalesce(' ' || words, '') AS expanded_query, coalesce(intents, '') AS intents, category, round(coalesce(best, 0.0), 4) AS confidence, coalesce(anchors, '') AS anchors FROM asked JOIN routed USING (query_id) LEFT JOIN l USING (query_id)""",
         "intent_text": "SELECT subject, array_to_string(list_concat(string_split(prototype, ', '), hindi_terms, [prototype, replace(subject, '_', ' ')]), ' ') AS intent_text FROM subject_areas",
         "diagnostic_acts": f"WITH {CANDIDATES} SELECT query_id, result_id, act_name, round(score, 4) + 0.0::DOUBLE AS score FROM fused WHERE act_name IN (SELECT act_name FROM acts WHERE year % 2 = 0)",
         "fusion_features": f"WITH {CANDIDATES} SELECT result_id, title, category_bonus, anchor_bonus, round(intent_boost, 4) AS intent_boost FROM feat",
@@ -342,7 +332,6 @@ def sql() -> dict[str, str]:
         "retrieve_candidates": cascade(search).replace("FROM retrieval_queries", "FROM (SELECT * REPLACE (CASE WHEN query_id % 3 = 0 THEN 'criminal' ELSE category END AS category) FROM retrieval_queries)")
         .replace("WHERE r <= 20)", "WHERE r <= 20 AND score >= 0.3)").rsplit("SELECT query_id, row_number()", 1)[0]
         + "SELECT query_id, chunk_key, category, round(score, 4) + 0.0::DOUBLE AS score, 'result' AS kind, asked AS asked_category FROM one UNION ALL SELECT query_id, chunk_key, category, round(round(score, 9), 4) + 0.0::DOUBLE, 'candidate', asked FROM fused",
-        "routed_contexts": contexts(),
         "nearest_texts": f"""WITH a AS MATERIALIZED (SELECT query_id, {embedded('original_query')} AS v FROM retrieval_queries), b AS MATERIALIZED (SELECT chunk_key, {embedded("coalesce(text, '')")} AS v FROM {chunks('text')}),
             d AS (SELECT query_id, chunk_key, round({SQUARED}, 12) AS distance FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_key) AS rank FROM d)
             SELECT query_id, chunk_key, round(distance, 4) + 0.0::DOUBLE AS distance, rank FROM r WHERE rank <= 5""",
