@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.embed import hashing, pairs_from_batches
 from ..operators import chunks as C
 from ..operators import evaluation, fusion, ingestion, lexical, routing, sections, vectors
-from ..session import broadcast_if_small, read, shared_folder
+from ..session import broadcast_if_small, read, shared_folder, staged
 from ..sources import files
 from ..sources.store import Store
 from ..streaming.ingest import ingest_stream
@@ -660,7 +660,7 @@ def corpus(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The chunks and their vectors."""
     cols = [x for x in SHOWN if x not in ("text",)]
     rows = chunks_of(s, d, "text", *cols).withColumnRenamed("chunk_key", "doc")
-    rows = rows.withColumn("category", F.lower("category")).withColumn("topics", T.topics(c("text"), default=True))
+    rows = staged(rows.withColumn("category", F.lower("category")).withColumn("topics", T.topics(c("text"), default=True)), "corpus")
     text = T.search_text(*(c(x) for x in ("act_name", "section_number", "section_title", "chapter", "text")))
     return rows, rows.select("doc", "category", hashing(64)(text).alias("embedding"))
 
