@@ -14,8 +14,11 @@ The confusions are a list of common ones and those that the table shows (see `le
 estimated from the table by one round of decoding words on their own. A confusion that does not occur gets next to none.
 
 Lines are parted by newline and counted from 1. Null texts have no lines; empty ones nothing to repair. A section
-delivered again counts once. A line of over 160 characters is no running title, one of over 24 no page number. The
-model's tables are sent to all tasks; they hold the `most` most frequent words and pairs, a documented bound.
+delivered again counts once. A line of over 160 characters is no running title, one of over 24 no page number.
+
+The model's tables are sent to all tasks while words and pairs have at most `most` rows each. Beyond that they stay
+tables: sections are dealt to groups, a group's words are joined with the known words that they may have been (which have
+the same strokes), and each group gets the part of the model that its lines ask for. Both ways give the same.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, once, staged
@@ -55,6 +59,8 @@ NEW = 3
 SHOWN, RATE, CONTRAST = 3, 1e-3, 5
 #: A line beside a page number is a running title if it stands there so often in the act, at this share of its page breaks.
 BREAKS, AT_BREAKS = 5, 0.1
+#: Sections, or different words, of a group that gets its own part of a model too large to be sent to all tasks.
+GROUP = 20_000
 
 
 _FOLD = str.maketrans({"c": "e", "f": "e", "t": "e", "0": "o", "a": "o", "5": "s", "1": "l", "i": "l", "9": "g", "q": "g", "b": "h", "8": "h"})
@@ -177,13 +183,19 @@ def words_of(lines: list[Line]) -> list[list[str]]:
 
 
 class Model:
-    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float], confusion: dict[tuple[str, str], float] | None = None) -> None:
+    """words, pairs: their weights; total, left: the sums of these, and by the first of a pair, where the tables are but a part of the model's."""
+
+    def __init__(
+        self, words: dict[str, float], pairs: dict[tuple[str, str], float], confusion: dict[tuple[str, str], float] | None = None, total: float | None = None, left: dict[str, float] | None = None
+    ) -> None:
         self.words, self.pairs = words, pairs
         self.vocabulary = sorted(w for w, c in words.items() if c >= 1)
-        self.total = max(1.0, sum(words.values()))
-        self.left: Counter[str] = Counter()
-        for (a, _), c in pairs.items():
-            self.left[a] += c
+        self.total = max(1.0, sum(words.values()) if total is None else total)
+        if left is None:
+            left = Counter()
+            for (a, _), c in pairs.items():
+                left[a] += c
+        self.left = left
         self.confusion = confusion or dict.fromkeys(CONFUSIONS, MISREAD)
         self.printed: dict[str, list[tuple[str, float]]] = {}
         for (read, printed), chance in self.confusion.items():
@@ -284,6 +296,18 @@ class Model:
         return out
 
 
+class Asked(Model):
+    """Knows nothing, and notes which words are looked up."""
+
+    def __init__(self) -> None:
+        super().__init__({}, {})
+        self.asked: set[str] = set()
+
+    def candidates(self, w: str) -> list[tuple[str, float]]:
+        self.asked.add(w)
+        return [(w, 0.0)]
+
+
 def joined(model: Model, left: str, right: str) -> tuple[bool, str, str]:
     """Whether the hyphen between the two was put in; the whole word as read; as printed."""
     a, b = left[:-1], right
@@ -522,23 +546,104 @@ def titles_of(counts: DataFrame) -> DataFrame:
     return staged(kept.groupBy("act").agg(F.sort_array(F.collect_list("second")).alias("titles")), "titles")
 
 
-def fit(rows: DataFrame, most: int) -> tuple[Model, DataFrame]:
-    """The model, and the running titles of each act that were learned."""
+#: Characters as strokes: words that a listed confusion turns into one another have the same ones.
+STROKES = [("[cfet]", "C"), ("[0oa]", "O"), ("[5s]", "S"), ("[1lir]", "I"), ("[buhn86]", "II"), ("m", "III"), ("d", "CI"), ("[9gq]", "G"), ("[vy]", "V"), ("w", "VV")]
+
+
+def left_out(confusions: list[tuple[str, str]]) -> str:
+    """The characters whose confusions change the strokes; without them, and all that is taken for them, words still have the same."""
+
+    def strokes(x: str) -> str:
+        for pattern, to in STROKES:
+            x = re.sub(pattern, to, x)
+        return x
+
+    out: set[str] = set()
+    while True:
+        odd = {c for a, b in confusions for c in a + b if out & set(a + b) or strokes(a) != strokes(b)}
+        if odd <= out:
+            return "".join(sorted(out))
+        out |= odd
+
+
+def _strokes(word: Column, out: str) -> Column:
+    for pattern, to in ([("[" + re.escape(out) + "]", "")] if out else []) + STROKES:
+        word = F.regexp_replace(word, pattern, to)
+    return word
+
+
+def _reach(needs: DataFrame, words: DataFrame, confusions: list[tuple[str, str]]) -> DataFrame:
+    """g, word, w: of each group the words needed, and the known words that these, or their parts between hyphens, may have been.
+
+    needs: g, word. words: word, w.
+    """
+    out = left_out(confusions)
+    parts = needs.select("g", F.explode(F.array_distinct(F.concat(F.array("word"), F.split("word", "-")))).alias("word")).where("word <> ''").distinct()
+    known = words.where("w >= 1").withColumn("key", _strokes(F.col("word"), out))
+    near = parts.select("g", _strokes(F.col("word"), out).alias("key")).distinct().join(known, "key").select("g", "word", "w")
+    return staged(near.unionByName(parts.join(words, "word").select("g", "word", "w")).distinct(), "slices")
+
+
+def _tables(t: pa.Table) -> tuple[dict, dict, dict]:
+    """Words, pairs and sums by first of a slice (first, second, w), where words have no second and sums have none but a blank."""
+    words, pairs, left = {}, {}, {}
+    for a, b, w in zip(*(t[c].to_pylist() for c in ("first", "second", "w"))):
+        if b is None:
+            words[a] = w
+        elif b == " ":
+            left[a] = w
+        else:
+            pairs[a, b] = w
+    return words, pairs, left
+
+
+@dataclass
+class Fitted:
+    """words: word, w; pairs: first, second, w; small: whether both may be sent to all tasks; titles: act, titles."""
+
+    words: DataFrame
+    pairs: DataFrame
+    confusion: dict[tuple[str, str], float]
+    titles: DataFrame
+    small: bool
+
+
+def fit(rows: DataFrame, most: int) -> Fitted:
     counts = staged(rows.mapInArrow(_counts, "first string, second string, sure long, unsure long").groupBy("first", "second").agg(F.sum("sure").alias("sure"), F.sum("unsure").alias("unsure")), "ngrams")
     # However often a word is read in texts that are not trusted, that alone does not make it known.
-    weight = F.col("sure") + F.least(F.lit(0.5), TRUST * F.col("unsure"))
-    top = lambda df: df.orderBy(F.desc("w"), "first", "second").limit(most).toArrow()
+    weight = (F.col("sure") + F.least(F.lit(0.5), TRUST * F.col("unsure"))).alias("w")
     told = counts.where(~F.col("first").startswith("#"))
-    words = top(told.where("second = ''").select("first", "second", weight.alias("w")))
-    pairs = top(told.where("second <> ''").select("first", "second", weight.alias("w")).where(F.col("w") >= 1))
-    tables = dict(zip(words["first"].to_pylist(), words["w"].to_pylist())), dict(zip(zip(pairs["first"].to_pylist(), pairs["second"].to_pylist()), pairs["w"].to_pylist()))
-    model = Model(*tables, dict.fromkeys([*CONFUSIONS, *learned(told)], MISREAD))
-    seen = told.where("second = '' and unsure > 0").select("first", "unsure").mapInArrow(lambda it: _confused(it, model), "read string, printed string, n long")
-    # As many rows as confusions, and the new ones of the words held already.
-    n = {(r.read, r.printed): r.n for r in seen.groupBy("read", "printed").agg(F.sum("n").alias("n")).collect()}
-    tables[0].update((w, float(c)) for (kind, w), c in n.items() if kind == "=" and w in tables[0])
-    chances = {(a, b): (n.get((a, b), 0) + 1) / (n.get((a, b), 0) + n.get(("", b), 0) + 1 / MISREAD) for a, b in model.confusion}
-    return Model(*tables, chances), titles_of(counts)
+    words = staged(told.where("second = ''").select(F.col("first").alias("word"), "unsure", weight), "words")
+    pairs = staged(told.where("second <> ''").select("first", "second", weight).where("w >= 1"), "pairs")
+    n = words.count()
+    small = n <= most and pairs.limit(most + 1).count() <= most
+    start = dict.fromkeys([*CONFUSIONS, *learned(told)], MISREAD)
+    asked = words.where("unsure > 0").select(F.col("word").alias("first"), "unsure")
+    kind = "read string, printed string, n long"
+    if small:
+        model = Model(_dict(words), {}, start)
+        seen = asked.mapInArrow(lambda it: _confused(it, model), kind)
+    else:
+        total = words.agg(F.sum("w")).first()[0]
+        asked = asked.withColumn("g", F.pmod(F.xxhash64("first"), F.lit(-(-n // GROUP))))
+        near = _reach(asked.select("g", F.col("first").alias("word")), words.select("word", "w"), list(start))
+
+        def explained(own: pa.Table, part: pa.Table) -> pa.Table:
+            m = Model(dict(zip(part["word"].to_pylist(), part["w"].to_pylist())), {}, start, total)
+            return pa.Table.from_batches(list(_confused(iter(own.to_batches()), m)))
+
+        seen = asked.groupBy("g").cogroup(near.groupBy("g")).applyInArrow(explained, kind)
+    seen = staged(seen.groupBy("read", "printed").agg(F.sum("n").alias("n")), "confusions")
+    shown = {(r.read, r.printed): r.n for r in seen.where("read <> '='").collect()}  # as many rows as confusions and printed shapes
+    chances = {(a, b): (shown.get((a, b), 0) + 1) / (shown.get((a, b), 0) + shown.get(("", b), 0) + 1 / MISREAD) for a, b in start}
+    new = seen.where("read = '='").select(F.col("printed").alias("word"), "n")
+    words = words.join(broadcast_if_small(new), "word", "left").select("word", F.coalesce(F.col("n").cast("double"), "w").alias("w"))
+    return Fitted(staged(words, "words"), pairs, chances, titles_of(counts), small)
+
+
+def _dict(words: DataFrame) -> dict[str, float]:
+    t = words.orderBy("word").toArrow()
+    return dict(zip(t["word"].to_pylist(), t["w"].to_pylist()))
 
 
 def _sections(df: DataFrame, key: str, text: str, act: str, chapter: str, title: str) -> DataFrame:
@@ -549,26 +654,56 @@ def _sections(df: DataFrame, key: str, text: str, act: str, chapter: str, title:
 
 def repair(df: DataFrame, key: str, text: str, act: str, chapter: str, title: str, most: int = 300_000) -> DataFrame:
     """key, text (repaired), noise: the lines that needed repair, as an array of (line_no, kind)."""
+    spark = df.sparkSession
     rows = staged(_sections(df, key, text, act, chapter, title), "sections")
-    model, titles = fit(rows, most)
+    fitted = fit(rows, most)
     # An act's folded name, as Titles has it, is the key.
     folds = F.udf(lambda a: Titles(a).act, "string")
     acts = staged(rows.select("act").distinct().where("act is not null").select(F.col("act").alias("name"), folds("act").alias("act")), "acts")
-    titles = titles.join(acts, "act").select(F.col("name").alias("act"), "titles")
-    shared = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.confusion))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
-        for b in it:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                out, noise = [], []
-                for t, a, own in zip(*(part.column(c).to_pylist() for c in ("text", "act", "titles"))):
-                    found, fixed = examine(t, Titles(a, own), m) if t else ([], t)
-                    out.append(fixed)
-                    noise.append([{"line_no": n, "kind": k} for n, k in sorted(found)])
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string()), pa.array(noise, kind)], names=["key", "text", "noise"])
-
+    titles = fitted.titles.join(acts, "act").select(F.col("name").alias("act"), "titles")
     rows = rows.select("key", "text", "act").join(broadcast_if_small(titles), "act", "left") if titles.limit(1).count() else rows.select("key", "text", "act", F.lit(None).cast("array<string>").alias("titles"))
-    return rows.mapInArrow(run, "key long, text string, noise array<struct<line_no:int,kind:string>>").withColumnRenamed("key", key)
+    kind, confusion = "key long, text string, noise array<struct<line_no:int,kind:string>>", fitted.confusion
+    if fitted.small:
+        t = fitted.pairs.orderBy("first", "second").toArrow()  # both bounded by `most`
+        shared = spark.sparkContext.broadcast((_dict(fitted.words), dict(zip(zip(t["first"].to_pylist(), t["second"].to_pylist()), t["w"].to_pylist()))))
+        return rows.mapInArrow(lambda it: _repaired(it, Model(*shared.value, confusion)), kind).withColumnRenamed("key", key)
+
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows.count() // GROUP)))))
+    needs = rows.select("g", "text", "act", "titles").mapInArrow(_needs, "g long, word string").distinct()
+    near = _reach(needs, fitted.words, list(confusion))
+    mine = near.select("g", F.col("word").alias("first"))
+    pairs = fitted.pairs.join(mine, "first").join(near.select("g", F.col("word").alias("second")), ["g", "second"])
+    sums = fitted.pairs.groupBy("first").agg(F.sum("w").alias("w")).join(mine, "first").select("g", "first", F.lit(" ").alias("second"), "w")
+    part = near.select("g", F.col("word").alias("first"), F.lit(None).cast("string").alias("second"), "w").unionByName(pairs.select("g", "first", "second", "w")).unionByName(sums)
+    total = fitted.words.agg(F.sum("w")).first()[0]
+
+    def mended(own: pa.Table, model: pa.Table) -> pa.Table:
+        words, known, left = _tables(model)
+        return pa.Table.from_batches(list(_repaired(iter(own.to_batches()), Model(words, known, confusion, total, left))))
+
+    return rows.groupBy("g").cogroup(part.groupBy("g")).applyInArrow(mended, kind).withColumnRenamed("key", key)
+
+
+def _needs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows:
+        found: dict[int, Asked] = {}
+        for g, t, a, own in zip(*(b.column(c).to_pylist() for c in ("g", "text", "act", "titles"))):
+            if t:
+                examine(t, Titles(a, own), found.setdefault(g, Asked()))
+        for g, m in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(m.asked), pa.int64()), pa.array(list(m.asked), pa.string())], names=["g", "word"])
+
+
+def _repaired(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
+    names = ["key", "text", "noise"]
+    yield pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], kind)], names=names)
+    for b in rows:
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            out, noise = [], []
+            for t, a, own in zip(*(part.column(c).to_pylist() for c in ("text", "act", "titles"))):
+                found, fixed = examine(t, Titles(a, own), model) if t else ([], t)
+                out.append(fixed)
+                noise.append([{"line_no": n, "kind": k} for n, k in sorted(found)])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string()), pa.array(noise, kind)], names=names)

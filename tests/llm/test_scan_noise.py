@@ -135,3 +135,20 @@ def test_alike_words_are_no_confusions(spark):
     df = spark.createDataFrame([(w, "", s, u) for w, s, u in counts] + [("walk", "talk", 5, 5)], "first string, second string, sure long, unsure long")
     assert sn.learned(df) == [("o", "a")]
     assert sn.learned(df.limit(0)) == []
+
+
+def test_listed_confusions_keep_the_strokes():
+    assert sn.left_out(sn.CONFUSIONS) == ""
+    assert set("kx") <= set(sn.left_out([*sn.CONFUSIONS, ("k", "x")])) and not set("co") & set(sn.left_out([*sn.CONFUSIONS, ("k", "x")]))
+    assert set("khbli1") <= set(sn.left_out([*sn.CONFUSIONS, ("k", "h")]))
+
+
+def test_a_model_in_parts_gives_the_same(spark, monkeypatch):
+    from folioscope.llm.common import table as load
+
+    monkeypatch.setattr(sn, "GROUP", 25)
+    rows = load(spark, "/root/testdata/sf0.001", "parsed_sections")
+    show = lambda df: sorted((r.section_key, r.text or "", tuple(map(tuple, r.noise))) for r in df.collect())
+    cols = ("section_key", "text", "act_name", "chapter", "section_title")
+    whole = show(sn.repair(rows, *cols))
+    assert show(sn.repair(rows, *cols, most=0)) == whole and sum(len(x[2]) for x in whole) > 20
