@@ -142,3 +142,17 @@ def encode(df: DataFrame, key: str, text: str, ranks: str | None = None) -> Data
 
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
+
+
+def decode(df: DataFrame, key: str, ids: str, ranks: str | None = None) -> DataFrame:
+    """key, text: the texts of lists of token ids. Bytes that are no text come out as replacement characters; null ids give null."""
+    path = ranks or default_ranks()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: t for t, i in encoder(path).ranks.items()}
+        for b in rows:
+            texts = [None if x is None else b"".join([token[i] for i in x]).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["k", "text"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, text string").withColumnRenamed("k", key)

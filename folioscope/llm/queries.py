@@ -53,6 +53,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("chunk_index = 0 and total_chunks > 1").select("chunk_key")
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces put together without what they repeat; whether each fits, repeats the end of the one before, and has its place."""
+    rows = p4_pieces(spark, sf_dir).groupBy("chunk_key").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "total_chunks", "overlap", "text"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: F.substr(x["text"], x["overlap"] + 1)), "")
+    before = lambda i: F.element_at("p", F.greatest(i, F.lit(1)))["text"]
+    repeats = F.transform("p", lambda x, i: (i == 0) & (x["overlap"] == 0) | (i > 0) & (x["overlap"] <= 150) & F.endswith(before(i), F.left(x["text"], x["overlap"])))
+    places = F.transform("p", lambda x, i: (x["chunk_index"] == i) & (x["total_chunks"] == F.size("p")))
+    return rows.select(
+        "chunk_key", F.md5(whole).alias("md5"), F.forall("p", lambda x: F.length(x["text"]) <= 1200).alias("fits"), F.forall(repeats, lambda x: x).alias("repeats"), F.forall(places, lambda x: x).alias("in_order")
+    )
+
+
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise.repair(table(spark, sf_dir, "parsed_sections"), "section_key", "text", "act_name", "chapter", "section_title")
 
@@ -95,10 +107,28 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids give back."""
+    return encoding.decode(p8_ids(spark, sf_dir), "doc_id", "ids").select("doc_id", F.md5("text").alias("md5"))
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all of a document's tokens lie in containers, none of which holds more than its capacity."""
+    rows = staged(p9_containers(spark, sf_dir), "containers")
+    used = staged(rows.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("used")), "used")
+    pieces = rows.join(used, "container", "left").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("tokens").alias("tokens"), F.max(F.coalesce("used", F.lit(0))).alias("used"), F.bool_and(F.col("container").isNotNull() == (F.col("tokens") > 0)).alias("placed")
+    )
+    ids = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("size"))
+    fits = (F.col("used") <= 2048) & F.col("placed")
+    whole = (F.col("tokens") == F.col("size")) & (F.col("n") == F.col("last") + 1) & (F.col("n") == F.greatest(F.ceil(F.col("size") / 2048), F.lit(1)))
+    return ids.join(pieces, "doc_id", "left").select("doc_id", F.coalesce(fits, F.lit(False)).alias("fits"), F.coalesce(whole, F.lit(False)).alias("whole"))
+
+
 def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_subject_labels"), table(spark, sf_dir, "subject_areas"))
 
