@@ -51,7 +51,7 @@ class Summary:
         line, at = np.unique(np.concatenate([self.line, other.line]), return_inverse=True)
         count = np.bincount(at, weights=np.concatenate([self.count, other.count])).astype(np.int64)
         self.line, self.count, self.docs, self.lost = line, count, self.docs + other.docs, self.lost + other.lost
-        if len(line) > max(CAPACITY, 2 * int(other.count.sum() / max(1, other.docs) / share)):
+        if len(line) > max(CAPACITY, 2 * int(other.count.sum() / max(1, other.docs) / max(share, 1e-9))):
             # No more is lost than a quarter of what makes a line repeated, so that alone makes no candidate.
             self.drop(min(int(np.median(count)), int(share * self.docs / 4) - self.lost))
 
