@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Paths of staged tables that have not been dropped.
-_STAGED: list[str] = []
+#: Staged tables that have not been dropped: the session and the path.
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def session(app: str = "folioscope", **conf: str) -> SparkSession:
@@ -72,15 +72,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped_at_exit(spark: SparkSession, path: str) -> None:
-    _STAGED.append(path)
-    if len(_STAGED) == 1:
-        atexit.register(release, spark)
+    if not _STAGED:
+        atexit.register(release)
+    _STAGED.append((spark, path))
 
 
-def release(spark: SparkSession) -> None:
+def release() -> None:
     """Drops what has been staged so far. A long session calls it when the results that rest on it have been written."""
     while _STAGED:
-        _drop(spark, _STAGED.pop())
+        _drop(*_STAGED.pop())
 
 
 def _drop(spark: SparkSession, path: str) -> None:

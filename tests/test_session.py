@@ -21,7 +21,7 @@ def test_staged_tables_last_until_they_are_released(spark, monkeypatch):
     df = session.staged(spark.range(5), "five")
     path = df.inputFiles()[0].removeprefix("file://")
     assert df.count() == 5 and os.path.exists(path)
-    session.release(spark)
+    session.release()
     assert not os.path.exists(path) and session._STAGED == []
 
 
