@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, kept_by, once, staged
 
-WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
+#: Words are runs of [a-z], with single hyphens between letters. In ASCII texts all else but the ends of sentences becomes blank.
+LETTERS = "".join(c if c.islower() or c in "-\n" else " " for c in map(chr, range(128)))
+LOOSE = re.compile(r"-(?:(?<![a-z]-)|(?![a-z]))")
 #: Scripts whose vowel signs are marks, which \w does not hold: words are runs of their letters and marks.
 MARKED = re.compile(r"[a-z]+(?:-[a-z]+)*|[ऀ-ॣ०-෿]+|[^\W\d_]+")
-SENTENCE = re.compile(r"(?<![\s.])[.?!।]+\s+|\n+")
+#: (?<![\s.])[.?!।]+\s+|\n+, with its first character in front: the search skips to it.
+SENTENCE = re.compile(r"[.?!।\n](?:(?<=\n)\n*|(?<![\s.][.?!।])[.?!।]*\s+)")
 LEAST_WORDS = 3
 #: Two of two documents will do for a link; what the documents labelled later do not bear out falls to CLEAR.
 PURE, CLEAR = 0.34, 0.65
@@ -68,8 +72,12 @@ def sentences(text: str | None) -> list[list[str]]:
     if not text:
         return []
     t = plain(text)
-    find = WORDS.findall if t.isascii() else MARKED.findall
-    return [w for w in map(find, SENTENCE.split(t)) if len(w) >= LEAST_WORDS]
+    if not t.isascii():
+        return [w for w in map(MARKED.findall, SENTENCE.split(t)) if len(w) >= LEAST_WORDS]
+    t = SENTENCE.sub("\n", t).translate(LETTERS)
+    if "-" in t:
+        t = LOOSE.sub(" ", t)
+    return [w for s in t.split("\n") if len(w := s.split()) >= LEAST_WORDS]
 
 
 def subject_key(c: Column) -> Column:
@@ -90,7 +98,7 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: set[str] = set()
             for w in sentences(text):
                 found.update(w)
-                found.update(map(" ".join, zip(w, w[1:])))
+                found.update(map(" ".join, pairwise(w)))
             for s in ("", *(labels or ())):
                 count.setdefault(s, Counter()).update(found)
         if sum(map(len, count.values())) > 1_000_000:
@@ -100,18 +108,16 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(rows: Iterator[pa.RecordBatch], phrases: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """key, sentences (of the document), sentence, phrase: each different phrase of each sentence; first: of the document."""
+    number_of = {tuple(p.split(" ")) if " " in p else p: i for p, i in phrases.items()}
     single = {p for p in phrases if " " not in p}
-    starts = {p.split(" ")[0] for p in phrases if " " in p}
-    get = phrases.get
+    pairs = number_of.keys() - single
     for b in rows:
         keys, totals, number, at, hits, first = [], [], [], [], [], []
         for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
             all_ = sentences(text)
             n, seen = 0, set()
             for i, w in enumerate(all_):
-                found = [phrases[x] for x in single.intersection(w)]
-                if not starts.isdisjoint(w):
-                    found += {p for x, y in zip(w, w[1:]) if x in starts and (p := get(f"{x} {y}")) is not None}
+                found = [number_of[x] for x in (*single.intersection(w), *pairs.intersection(pairwise(w)))]
                 if found:
                     hits += found
                     at += [i] * len(found)
@@ -132,7 +138,7 @@ def _phrases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
             all_, seen = sentences(text), set()
             for i, w in enumerate(all_):
-                found = list({*w, *map(" ".join, zip(w, w[1:]))})
+                found = list({*w, *map(" ".join, pairwise(w))})
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([len(all_)] * n, pa.int32()), pa.array([i] * n, pa.int32()), pa.array(found, pa.string()), pa.array([x not in seen for x in found], pa.bool_())], names=["key", "sentences", "sentence", "name", "first"])
                 seen.update(found)

@@ -1,4 +1,8 @@
 import random
+import re
+import time
+
+import pyarrow as pa
 
 from folioscope.llm import subjects as sb
 
@@ -68,6 +72,46 @@ def test_sentences():
     assert sb.sentences(None) == sb.sentences("  ") == []
 
 
+WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
+END = re.compile(r"(?<![\s.])[.?!।]+\s+|\n+")
+
+
+def defined(text):
+    """sentences() by the patterns that define it."""
+    t = sb.plain(text)
+    find = WORD.findall if t.isascii() else sb.MARKED.findall
+    return [w for w in map(find, END.split(t)) if len(w) >= sb.LEAST_WORDS]
+
+
+def test_sentences_are_as_defined():
+    r = random.Random(1)
+    for i in range(20_000):
+        text = "".join(r.choices("abzA.- \n?!।\t\r\x0b\x1c\x1f{`~™é़क_1'\u200b\x85", k=r.randint(1, 30)))
+        text = text.encode("ascii", "ignore").decode() if i % 2 else text
+        assert sb.sentences(text) == defined(text), repr(text)
+
+
+def test_sentences_take_less_time_than_their_definition():
+    r = random.Random(2)
+    texts = [document(r, list(AREAS), 60) for _ in range(200)]
+
+    def took(f):
+        began = time.process_time()
+        for t in texts:
+            f(t)
+        return time.process_time() - began
+
+    assert min(took(sb.sentences) for _ in range(7)) < 0.75 * min(took(defined) for _ in range(7))
+
+
+def test_linked_phrases_are_those_of_each_sentence():
+    phrases = {x: i for i, x in enumerate(["boat", "boat permit", "harbour dues", "the tide", "one-off fee"])}
+    texts = ["The boat permit and the boat. Of the tide.\nThe one-off fee is a boat", "Harbour. Dues of the harbour-dues", None, "Harbour dues, harbour dues"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["key", "text"])
+    got = sorted(tuple(x.values()) for b in sb._linked(iter([rows]), phrases) for x in b.to_pylist())
+    assert got == [(0, 3, 0, 0, True), (0, 3, 0, 1, True), (0, 3, 1, 3, True), (0, 3, 2, 0, False), (0, 3, 2, 4, True), (3, 1, 0, 2, True)]
+
+
 def test_phrases_joined_or_broadcast_give_the_same(spark):
     d, labels, areas, _ = tables(spark, docs=80)
     show = lambda df: sorted((x.doc_id, x.subject, round(x.share, 9)) for x in df.collect())
