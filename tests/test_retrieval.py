@@ -171,3 +171,24 @@ def test_leaks_and_pass(spark):
     assert [(r.act_name, r.section_number, r.category) for r in evaluation.leaked_results(results, cases).collect()] == [("B", "6", "y")]
     rows = spark.createDataFrame([(1, 2), (2, None)], "query_id long, strict_rank int")
     assert [tuple(evaluation.passed(x).first()) for x in (rows, rows.where("query_id = 1"), rows.limit(0))] == [(2, 1, False), (1, 0, True), (0, 0, True)]
+
+
+def test_scores_of_all_pairs_are_not_staged(spark, monkeypatch):
+    kept = {}
+
+    def counted(df, name, write=lexical.staged):
+        out = write(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lexical, "staged", counted)
+    docs = {i: f"the court hears {'the ' * (i % 7)}case {i % 50}" for i in range(500)}
+    asked = {k: f"court the {k}" for k in range(40)}
+    index = lexical.build(spark.createDataFrame(list(docs.items()), "doc long, text string"), "doc", "text")
+    found, stats = lexical.scores_and_moments(index, spark.createDataFrame(list(asked.items()), "q long, t string"), "q", "t")
+    got = {(r.query, r.doc): r.z for r in lexical.z_scores(index, found, stats).collect()}
+    assert len(got) == 500 * 40 and max(kept.values()) < len(got) / 10, kept
+    for k in (0, 39):
+        s = okapi(docs, asked[k])
+        mean, std = np.mean(list(s.values())), np.std(list(s.values()))
+        assert [got[k, d] for d in docs] == pytest.approx([(s[d] - mean) / (std + 1e-6) for d in docs], abs=1e-7)
